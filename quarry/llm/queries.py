@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, langid, packing, secrets, tokencount
+from quarry.llm import decontam, langid, packing, pii, secrets, tokencount
 from quarry.llm._base import read
 
 
@@ -38,6 +38,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    base = list(pii.PATTERNS)
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(pii.KINDS).alias("spans"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -47,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
+    "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
 }
 
