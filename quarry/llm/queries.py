@@ -97,9 +97,9 @@ sh AS (
   SELECT DISTINCT doc_id, array_to_string(w[k : k + 3], ' ') AS s
   FROM dw, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS r(k) WHERE len(w) > 0),
 sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT a, b FROM both JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+  SELECT a, b FROM pairs JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(doc_id, other) AS (
   SELECT a, b FROM sym
