@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; longer single texts are taken alone.
 CHUNK_BYTES = 2 << 20
@@ -143,3 +144,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 def lower_az(data: np.ndarray) -> np.ndarray:
     upper = (data >= 65) & (data <= 90)
     return np.where(upper, data + np.uint8(32), data)
+
+
+#: Bits of an id bitmap: 8 MB at any input size.
+BITMAP_BITS = 1 << 26
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``col`` may be in ``ids``, rows whose ``col`` surely is not).
+
+    A bitmap of hashed ids of fixed size (at most 2**20 words of 64 bits) is
+    broadcast, so the rows that an id table does not touch are never shuffled.
+    With more ids than bits all rows may be in; joins that follow are exact.
+    """
+    slot = F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(BITMAP_BITS))
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = table(ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")), "bitmap")
+    marked = df.withColumn("_slot_word", word).join(F.broadcast(words), F.col("_slot_word") == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)

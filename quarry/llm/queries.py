@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, langid, ngramjoin, packing, pii, secrets, tokencount
+from quarry.llm import decontam, langid, ngramjoin, packing, pii, secrets, suffixdedup, tokencount
 from quarry.llm._base import read
 
 
@@ -29,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_language_id": op3_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
