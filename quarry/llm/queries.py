@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, langid, ngramjoin, packing, pii, secrets, suffixdedup, tokencount
+from quarry.llm import decontam, langid, ngramjoin, packing, pii, secrets, suffixdedup, tokencount, vectors
 from quarry.llm._base import read
 
 
@@ -33,6 +33,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_language_id": op3_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
@@ -113,3 +118,19 @@ reach(doc_id, other) AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sz USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id, n
 """
+
+ORACLE_SQL["op5_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+sym AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(vec_id, other) AS (
+  SELECT a, b FROM sym UNION SELECT r.vec_id, s.b FROM reach r JOIN sym s ON r.other = s.a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM sym GROUP BY a),
+c AS (SELECT e.vec_id, least(e.vec_id, coalesce(min(other), e.vec_id)) AS component_id FROM embeddings e LEFT JOIN reach USING (vec_id) GROUP BY e.vec_id)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
