@@ -8,8 +8,11 @@ driver and all executors); nothing is kept in executor-local storage.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +26,8 @@ CHUNK_BYTES = 2 << 20
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SCRATCH: dict[str, str] = {}
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+_scope: contextvars.ContextVar[str] = contextvars.ContextVar("quarry_scope", default="tables")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,11 +43,14 @@ def scratch_root(spark: SparkSession) -> str:
     return _SCRATCH[app]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _clean(spark: SparkSession, root: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, root)
     except Exception:  # the session may already be gone at exit; scratch is then left to the cluster's clean-up
         pass
 
@@ -50,9 +58,37 @@ def _clean(spark: SparkSession, root: str) -> None:
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:8]}"
+    path = f"{scratch_root(spark)}/{_scope.get()}/{label}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``table`` that nothing to come reads, and let Spark drop the shuffle files of finished work."""
+    for df in tables:
+        ref, path = _PATHS.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            _delete(df.sparkSession, path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def scope(name: str):
+    """Tables written inside belong to ``name`` and go with ``release``."""
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete all tables of a scope; what was read from them must have been written by then."""
+    _delete(spark, f"{scratch_root(spark)}/{name}")
+    spark.sparkContext._jvm.System.gc()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,7 +195,7 @@ def split_by_ids(df: DataFrame, ids: DataFrame, col: str) -> tuple[DataFrame, Da
     """
     slot = F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(BITMAP_BITS))
     word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
-    words = table(ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")), "bitmap")
+    words = table(ids.select(col).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")), "bitmap")
     marked = df.withColumn("_slot_word", word).join(F.broadcast(words), F.col("_slot_word") == F.col("_word"), "left")
     hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
     return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._base import table
+from quarry.llm._base import discard, table
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,11 +23,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = table(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        taken = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
+        taken = labels.select("node", "label").join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         taken = table(taken, "taken")
         up = taken.select(F.col("node").alias("label"), F.col("label").alias("higher"))
         jumped = taken.join(up, "label", "left").select("node", "before", F.least("label", F.coalesce("higher", "label")).alias("label"))
-        labels = table(jumped, "labels")
+        before, labels = labels, table(jumped, "labels")
+        discard(before, taken)
         if not labels.where("label <> before").head(1):
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))
-        labels = labels.drop("before")

@@ -26,6 +26,7 @@ extra columns are never read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._base import chunks, joined_bytes, lower_az, mix, prefix_hash, span_hash, table, word_spans
+from quarry.llm._base import chunks, discard, joined_bytes, lower_az, mix, prefix_hash, span_hash, split_by_ids, table, word_spans
 from quarry.llm.components import components
 
 #: Everything but the space and the five ASCII control characters 9 to 13.
@@ -46,6 +47,9 @@ BANDS = 4
 #: Representatives of one shingle that a task compares at a time.
 BLOCK = 4096
 LEAF = 32
+MAP_BITS = 1024
+#: Groups of so many rows are first thinned by counting shared keys of pairs.
+SMALL = 8
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,74 +94,94 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A token bitmap of at least four bits a token, a power of two of bits."""
-    bits = 1 << max(6, int(4 * len(hashes) - 1).bit_length())
+    """A token bitmap of at least four bits a token where MAP_BITS allow, a power of two of bits.
+
+    Long sets fill their map, which then bounds less; pairs of them go to the exact check.
+    """
+    bits = min(MAP_BITS, 1 << max(6, int(4 * len(hashes) - 1).bit_length()))
     out = np.zeros(bits, dtype=np.uint8)
     out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def fold(bits: int, width: int, to: int) -> int:
+    """A bitmap of ``to`` bits: halves are OR-combined, as its bits are token hashes modulo its width."""
+    while width > to:
+        width //= 2
+        bits = (bits >> width) | (bits & ((1 << width) - 1))
+    return bits
+
+
 class SignatureTree:
-    """Nodes over representatives by size: OR-combined bitmap, size range (of the ends), and the part if there is one only."""
+    """Nodes over representatives by size: OR-combined bitmap and width, size range (of the ends), and the part if there is one only.
 
-    def __init__(self, sizes: np.ndarray, maps: list[bytes], parts: np.ndarray):
-        self.order = np.argsort(sizes, kind="stable")
-        self.sizes, self.parts = sizes[self.order], parts[self.order]
-        self.maps = [np.frombuffer(maps[k], dtype=np.uint64) for k in self.order.tolist()]
-        self.nodes: dict[tuple[int, int], tuple[np.ndarray, object]] = {}
+    ``rest`` is how many tokens of a representative are not before the shared
+    shingle in its order: where that is the first common one, no overlap is larger.
+    """
+
+    def __init__(self, sizes: np.ndarray, maps: list[bytes], parts: np.ndarray, rest: np.ndarray | None = None):
+        order = np.argsort(sizes, kind="stable").tolist()
+        self.order = order
+        self.sizes, self.parts = [int(sizes[k]) for k in order], [int(parts[k]) for k in order]
+        self.rest = self.sizes if rest is None else [int(rest[k]) for k in order]
+        self.widths = [8 * len(maps[k]) for k in order]
+        self.maps = [int.from_bytes(maps[k], "little") for k in order]
+        self.nodes: dict[tuple[int, int], tuple[int, int, object]] = {}
         self.beyond: dict[tuple[int, int, int], int] = {}
-        if len(sizes):
-            self._build(0, len(sizes))
+        if order:
+            self._build(0, len(order))
 
-    def _build(self, lo: int, hi: int) -> tuple[np.ndarray, object]:
+    def _build(self, lo: int, hi: int) -> tuple[int, int, object]:
         if hi - lo <= LEAF:
-            width = min(len(m) for m in self.maps[lo:hi])
-            bits = np.bitwise_or.reduce([fold(m, width) for m in self.maps[lo:hi]], axis=0)
-            own = set(self.parts[lo:hi].tolist())
-            node = bits, own.pop() if len(own) == 1 else None
+            width, bits = min(self.widths[lo:hi]), 0
+            for k in range(lo, hi):
+                bits |= fold(self.maps[k], self.widths[k], width)
+            own = set(self.parts[lo:hi])
+            node = bits, width, own.pop() if len(own) == 1 else None
         else:
             a, b = self._build(lo, (lo + hi) // 2), self._build((lo + hi) // 2, hi)
-            width = min(len(a[0]), len(b[0]))
-            node = fold(a[0], width) | fold(b[0], width), a[1] if a[1] == b[1] else None
+            width = min(a[1], b[1])
+            node = fold(a[0], a[1], width) | fold(b[0], b[1], width), width, a[2] if a[2] == b[2] else None
         self.nodes[lo, hi] = node
         return node
 
     def bound(self, other: SignatureTree, x: tuple[int, int], y: tuple[int, int]) -> int:
         """The greatest overlap that a member of node x and one of node y can have."""
-        a, b = self.nodes[x][0], other.nodes[y][0]
-        width = min(len(a), len(b))
-        common = int(np.bitwise_count(fold(a, width) & fold(b, width)).sum())
-        return min(common + min(self._beyond(x, width), other._beyond(y, width)), int(self.sizes[x[1] - 1]), int(other.sizes[y[1] - 1]))
+        a, b = self.nodes[x], other.nodes[y]
+        width = min(a[1], b[1])
+        common = (fold(a[0], a[1], width) & fold(b[0], b[1], width)).bit_count()
+        return min(common + min(self._beyond(x, width), other._beyond(y, width)), self.sizes[x[1] - 1], other.sizes[y[1] - 1])
 
     def _beyond(self, x: tuple[int, int], width: int) -> int:
-        """Most tokens of a member that share their bit with another of its tokens, in maps folded to ``width`` words."""
+        """Most tokens of a member that share their bit with another of its tokens, in maps folded to ``width`` bits."""
         key = (*x, width)
         if key not in self.beyond:
             lo, hi = x
             if hi - lo > LEAF:
                 self.beyond[key] = max(self._beyond(half, width) for half in self._below(x))
             else:
-                self.beyond[key] = max(int(n) - int(np.bitwise_count(fold(m, width)).sum()) for n, m in zip(self.sizes[lo:hi], self.maps[lo:hi], strict=True))
+                self.beyond[key] = max(self.sizes[k] - fold(self.maps[k], self.widths[k], width).bit_count() for k in range(lo, hi))
         return self.beyond[key]
 
     def pairs(self, other: SignatureTree | None, percent: int) -> Iterator[tuple[int, int]]:
         """Index pairs (into the constructor's arguments) that the bounds let through, of different parts."""
-        if not len(self.sizes) or (other is not None and not len(other.sizes)):
+        if not self.order or (other is not None and not other.order):
             return
         right = self if other is None else other
-        stack = [((0, len(self.sizes)), (0, len(right.sizes)))]
+        stack = [((0, len(self.order)), (0, len(right.order)))]
         while stack:
             x, y = stack.pop()
             if right is self and y < x:
                 continue
             own, their = self.nodes[x], right.nodes[y]
-            if own[1] is not None and own[1] == their[1]:
+            if own[2] is not None and own[2] == their[2]:
                 continue
             if self.sizes[x[1] - 1] * 100 < right.sizes[y[0]] * percent or right.sizes[y[1] - 1] * 100 < self.sizes[x[0]] * percent:
                 continue
-            if self.bound(right, x, y) * (100 + percent) < percent * int(self.sizes[x[0]] + right.sizes[y[0]]):
+            small = x[1] - x[0] <= LEAF and y[1] - y[0] <= LEAF
+            if not small and self.bound(right, x, y) * (100 + percent) < percent * (self.sizes[x[0]] + right.sizes[y[0]]):
                 continue
-            if x[1] - x[0] <= LEAF and y[1] - y[0] <= LEAF:
+            if small:
                 yield from self._leaf_pairs(right, x, y, percent)
             else:
                 stack += [(a, b) for a in self._below(x) for b in right._below(y)]
@@ -168,21 +192,17 @@ class SignatureTree:
 
     def _leaf_pairs(self, right: SignatureTree, x: tuple[int, int], y: tuple[int, int], percent: int) -> Iterator[tuple[int, int]]:
         for i in range(*x):
+            n, part, rest, bits, width = self.sizes[i], self.parts[i], self.rest[i], self.maps[i], self.widths[i]
             for j in range(max(i + 1, y[0]) if right is self else y[0], y[1]):
-                n, m = int(self.sizes[i]), int(right.sizes[j])
-                if self.parts[i] == right.parts[j] or min(n, m) * 100 < max(n, m) * percent:
+                m = right.sizes[j]
+                need = percent * (n + m)
+                if part == right.parts[j] or min(rest, right.rest[j], n, m) * (100 + percent) < need:
                     continue
-                a, b = self.maps[i], right.maps[j]
-                width = min(len(a), len(b))
-                a, b = fold(a, width), fold(b, width)
-                miss_a, miss_b = int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
-                if min(n - miss_a, m - miss_b) * (100 + percent) >= percent * (n + m):
-                    yield int(self.order[i]), int(right.order[j])
-
-
-def fold(words: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap of fewer bits: halves are OR-combined, as its bits are token hashes modulo its size."""
-    return words if len(words) == width else np.bitwise_or.reduce(words.reshape(-1, width), axis=0)
+                other, wide = right.maps[j], right.widths[j]
+                low = min(width, wide)
+                a, b = bits if width == low else fold(bits, width, low), other if wide == low else fold(other, wide, low)
+                if min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count()) * (100 + percent) >= need:
+                    yield self.order[i], right.order[j]
 
 
 def _frequent(rows: DataFrame, n: int) -> np.ndarray:
@@ -232,7 +252,7 @@ def _profile(frequent, n: int, percent: int):
                 a, z = int(offsets[k]), int(offsets[k + 1])
                 own, last = hashes[a:z], is_late[a:z]
                 if a == z:
-                    rows.append((0, None, None, None, None, None))
+                    rows.append((0, 0, None, None, None, None, None))
                     continue
                 p = int(prefix_length(np.int64(z - a), percent))
                 key = np.concatenate([own[~last], own[last]])[:p]
@@ -240,10 +260,10 @@ def _profile(frequent, n: int, percent: int):
                 bands = [(low[2 * b] * 31 + low[2 * b + 1] * 17 + b) % (1 << 63) for b in range(BANDS)]
                 with np.errstate(over="ignore"):
                     d1, d2 = int(mix(own).sum(dtype=np.uint64) >> np.uint64(1)), int(np.bitwise_xor.reduce(mix(own ^ np.uint64(0xA5A5A5A5))) >> np.uint64(1))
-                rows.append((z - a, d1, d2, bands, key.view(np.int64), bitmap(own)))
+                rows.append((z - a, int((~last).sum()), d1, d2, bands, key.view(np.int64), bitmap(own)))
             cols = list(zip(*rows, strict=True))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n_shingles", "d1", "d2", "bands", "keys", "bits"])
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n_shingles", "n_rare", "d1", "d2", "bands", "keys", "bits"])
 
     return profile
 
@@ -258,7 +278,7 @@ def _shingles(n: int):
 
 
 def _tree_pairs(percent: int):
-    """Candidate pairs of each group of rows (grp, side, rep, part, n, bits), which come sorted by group."""
+    """Candidate pairs of each group of rows (grp, side, rep, part, at, n, bits), which come sorted by group."""
 
     def emit(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).to_pydict()
@@ -269,7 +289,8 @@ def _tree_pairs(percent: int):
             rep, side = t["rep"][lo:hi], t["side"][lo:hi]
             sizes, parts, maps = np.asarray(t["n"][lo:hi]), np.asarray(t["part"][lo:hi]), t["bits"][lo:hi]
             left, right = ([k for k, s in enumerate(side) if s == which] for which in (0, 1))
-            tree = [SignatureTree(sizes[k], [maps[j] for j in k], parts[k]) for k in (np.asarray(left, dtype=int), np.asarray(right, dtype=int))]
+            rest = sizes - np.asarray(t["at"][lo:hi])
+            tree = [SignatureTree(sizes[k], [maps[j] for j in k], parts[k], rest[k]) for k in (np.asarray(left, dtype=int), np.asarray(right, dtype=int))]
             found = tree[0].pairs(tree[1], percent) if right else tree[0].pairs(None, percent)
             names = right or left
             for i, j in found:
@@ -302,12 +323,40 @@ def _tree_pairs(percent: int):
     return pairs
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+def _checked(pairs: DataFrame, rows: DataFrame, n: int, percent: int, repeated: bool) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose whole shingle sets reach the threshold, and the table of sets; only texts in a pair are shuffled."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts, _ = split_by_ids(rows, ids, "id")
+    sets = texts.mapInArrow(_shingles(n), "id bigint, shingles array<bigint>")
+    if repeated:  # rows of equal id and text would multiply the pairs
+        sets = sets.dropDuplicates(["id", "shingles"])
+    sets = table(sets, "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), sets
+
+
+def _promising(placed: DataFrame, percent: int) -> DataFrame:
+    """Rows of large groups, and those of small groups whose document has a partner that shares enough of its prefix.
+
+    Two sets of n and m tokens that share c tokens of their prefixes (p and q
+    long) overlap in at most c + max(n - p, m - q): what comes after the prefix
+    that ends first is all that is unknown.  Keys in large groups count as shared.
+    """
+    small, large = placed.where(F.col("n_rows") <= SMALL), placed.where(F.col("n_rows") > SMALL)
+    cols = ["id", "own", "n", "part"]
+    x, y = (small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in "ab")
+    met = x.join(y, "key").where("id_a < id_b and part_a <> part_b and (own_a or own_b)")
+    met = met.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    shared = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    more = large.groupBy("id").agg(F.count("*").alias("g"))
+    shared = shared.join(more.select(F.col("id").alias("id_a"), F.col("g").alias("g_a")), "id_a", "left").join(more.select(F.col("id").alias("id_b"), F.col("g").alias("g_b")), "id_b", "left")
+    after = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  tokens beyond the prefix
+    most = F.col("c") + F.least(F.coalesce("g_a", F.lit(0)), F.coalesce("g_b", F.lit(0))) + F.greatest(after(F.col("n_a")), after(F.col("n_b")))
+    near = shared.where(most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    ids = near.select(F.col("id_a").alias("id")).union(near.select("id_b")).distinct()
+    return large.unionByName(small.join(ids, "id", "left_semi").select(*small.columns)).select("key", "id", "at", "n", "part")
 
 
 def join(df: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,7 +367,7 @@ def join(df: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(rows, n))
-    schema = "id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, keys array<bigint>, bits binary"
+    schema = "id bigint, n_shingles bigint, n_rare bigint, d1 bigint, d2 bigint, bands array<bigint>, keys array<bigint>, bits binary"
     profiles = table(rows.mapInArrow(_profile(frequent, n, percent), schema), "profiles")
     sized = profiles.where("n_shingles > 0 and id is not null")
     reps = sized.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"))
@@ -326,28 +375,39 @@ def join(df: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     # one row a representative; equal ids with different texts may each be one
     lead = table(sized.join(folded.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n_shingles", "d1", "d2"]), "reps")
 
-    banded = lead.select("id", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("band", "a")
-    near = table(banded.join(leaders, "band").where("a < id").select("a", F.col("id").alias("b")).distinct(), "near")
-
-    keyed = lead.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    keyed = table(keyed.join(shared, "key").select("key", "id"), "keyed")
-
-    wanted = keyed.select("id").union(near.select("a")).union(near.select("b")).distinct()
-    sets = rows.join(wanted, "id", "left_semi").mapInArrow(_shingles(n), "id bigint, shingles array<bigint>")
-    if profiles.groupBy("id").count().where("count > 1").head(1):  # repeated rows; else the sets need no shuffle
-        sets = sets.dropDuplicates(["id", "shingles"])
-    sets = table(sets, "sets")
-    first = table(verified(near, sets, percent), "first")
+    # of near copies, the one with the fewest shingles of its own is nearest to all others
+    banded = lead.select("id", "n_rare", F.explode("bands").alias("band")).repartition("band")
+    leaders = banded.groupBy("band").agg(F.min(F.struct("n_rare", "id")).alias("low"), F.count("*").alias("n")).where("n > 1").select("band", F.col("low.id").alias("leader"))
+    near = banded.join(leaders, "band").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    near = table(near.distinct(), "near")
+
+    keyed = lead.select("id", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("at", "key")).repartition("key")  # one exchange for the counts and the join
+    whole = F.struct("id", "at", "n")  # all columns, so that the exchange is the same on both sides
+    shared = keyed.groupBy("key").agg(F.min(whole).alias("lo"), F.max("id").alias("hi")).where("lo.id < hi").select("key")
+    keyed = table(keyed.join(shared, "key").select("key", "id", "at", "n"), "keyed")
+
+    repeated = bool(profiles.groupBy("id").count().where("count > 1").head(1))
+    checked, sets = _checked(near, rows, n, percent, repeated)
+    first = table(checked, "first")
+    discard(sets, near)
     parts = components(first)
 
-    placed = keyed.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    placed = table(placed, "placed")
-    # each key's largest part is one side; keys of one part have nothing left to compare
-    per_part = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    sides = per_part.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n_rows"), F.count("*").alias("n_parts")).where("n_parts > 1")
-    sides = sides.select("key", F.col("top.part").alias("main"), F.ceil(F.col("top.n") / BLOCK).alias("main_blocks"), F.ceil((F.col("n_rows") - F.col("top.n")) / BLOCK).alias("minor_blocks"))
+    placed = keyed.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "at", "n", F.coalesce("component", "id").alias("part"))
+    # similar sets differ in size by one step at most: each key is cut into groups of two neighbouring steps
+    step = F.floor(F.log("n") / F.lit(max(-1.001 * math.log(percent / 100), 1e-6))).cast("long")
+    both_steps = F.explode(F.array(*(F.struct(F.xxhash64("key", step + k).alias("key"), F.lit(k == 0).alias("own")) for k in (0, 1))))
+    placed = placed.select("id", "at", "n", "part", both_steps.alias("g")).select("g.key", "g.own", "id", "at", "n", "part").repartition("key")
+    groups = placed.groupBy("key").agg(F.count("*").alias("n_rows"), F.min(F.struct("part", "own", "id", "at", "n")).alias("p"), F.max("part").alias("q")).where("p.part < q").select("key", "n_rows")
+    placed = table(placed.join(groups, "key"), "placed")
+    placed = table(_promising(placed, percent), "promising")
+    # each key's largest part is one side; keys of one part have nothing left to compare, and most keys with two
+    # documents, whose sizes and places are known here, cannot reach the threshold
+    at = F.struct("id", "at", "n")
+    per_part = placed.groupBy("key", "part").agg(F.count("*").alias("rows"), F.min(at).alias("x"), F.max(at).alias("y"))
+    sides = per_part.groupBy("key").agg(F.max(F.struct("rows", "part")).alias("top"), F.sum("rows").alias("n_rows"), F.count("*").alias("n_parts"), F.min("x").alias("x"), F.max("y").alias("y")).where("n_parts > 1")
+    overlap = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    sides = sides.where((F.col("n_rows") > 2) | (overlap * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))))
+    sides = sides.select("key", F.col("top.part").alias("main"), F.ceil(F.col("top.rows") / BLOCK).alias("main_blocks"), F.ceil((F.col("n_rows") - F.col("top.rows")) / BLOCK).alias("minor_blocks"))
     work = placed.join(sides, "key").withColumn("own", F.when(F.col("part") == F.col("main"), F.pmod(F.xxhash64("id"), "main_blocks")).otherwise(F.pmod(F.xxhash64("id"), "minor_blocks")))
     main, rest = F.col("part") == F.col("main"), F.col("minor_blocks")
     blocks = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -356,11 +416,14 @@ def join(df: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     as_main = F.transform(blocks(rest), lambda j: F.struct(name("m", own, j).alias("grp"), F.lit(0).alias("side")))
     to_main = F.transform(blocks(F.col("main_blocks")), lambda i: F.struct(name("m", i, own).alias("grp"), F.lit(1).alias("side")))
     among = F.transform(blocks(rest), lambda j: F.struct(name("s", F.least(own, j), F.greatest(own, j)).alias("grp"), F.when(own <= j, 0).otherwise(1).alias("side")))
-    spread = work.select("id", "part", F.explode(F.when(main, as_main).otherwise(F.concat(to_main, among))).alias("g"))
-    signed = spread.join(lead.select("id", F.col("n_shingles").alias("n"), "bits"), "id").select("g.grp", "g.side", F.col("id").alias("rep"), "part", "n", "bits")
+    spread = work.select("id", "part", "at", "n", F.explode(F.when(main, as_main).otherwise(F.concat(to_main, among))).alias("g"))
+    signed = spread.join(lead.select("id", F.col("n_shingles").alias("n"), "bits"), ["id", "n"]).select("g.grp", "g.side", F.col("id").alias("rep"), "part", "at", "n", "bits")
     sorted_rows = signed.repartition("grp").sortWithinPartitions("grp", "side", "rep")
     more = table(sorted_rows.mapInArrow(_tree_pairs(percent), "a bigint, b bigint").distinct(), "more")
-    links = first.unionByName(verified(more, sets, percent))
+    discard(lead, placed, keyed)
+    checked, sets = _checked(more, rows, n, percent, repeated)
+    links = table(first.unionByName(checked), "links")
+    discard(sets, more, first, profiles)
 
     # rows of one id whose texts differ are one node; the class of a set is that of its representative
     same_id = folded.where("rep is not null and id <> rep").groupBy("id", "rep").agg(F.lit(1).alias("x")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
