@@ -1,0 +1,101 @@
+"""Table operators on small tables, and the commands end to end."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry import pipeline
+from quarry.operators import extract, graph, refresh, resolve
+
+
+def test_pagerank_sums_to_one_and_prefers_the_cited(spark):
+    nodes = spark.createDataFrame([(c, k) for k, c in enumerate("abcd")], "id string, ord long")
+    edges = spark.createDataFrame([("a", "c"), ("b", "c"), ("c", "a")], "src string, dst string")
+    rank = {r.id: r.pagerank for r in graph.pagerank(nodes, edges).collect()}
+    assert sum(rank.values()) == pytest.approx(1) and max(rank, key=rank.get) == "c"
+
+
+def test_edges_and_routes_of_equal_keys(spark):
+    nodes = spark.createDataFrame([("a", "file", 1), ("b", "file", 2), ("r", "route", 3), ("r", "route", 4), ("a", "file", 5)], "id string, kind string, ord long")
+    assert {(r.id, r.ord) for r in graph.merge_nodes(nodes).collect()} == {("a", 5), ("b", 2), ("r", 3)}
+    edges = spark.createDataFrame([("a", "b", "IMPORTS"), ("a", "b", "CONTAINS"), ("a", "b", "CALLS"), ("a", "zz", "CALLS"), ("a", "yy", "CONTAINS")], "src string, dst string, relation string")
+    assert {tuple(r) for r in graph.merge_edges(edges, nodes).collect()} == {("a", "b", "CONTAINS"), ("a", "yy", "CONTAINS")}
+
+
+def test_communities_are_cliques_and_modularity_is_positive(spark):
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "xyz" for i in range(4) for j in range(i)] + [("x0", "y0"), ("y1", "z1")]
+    nodes = spark.createDataFrame([(f"{g}{i}", k * 4 + i) for k, g in enumerate("xyz") for i in range(4)] + [("alone", 99)], "id string, ord long")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    found = graph.communities(nodes, edges)
+    got = {r.id: r.community for r in found.collect()}
+    assert [len({got[f"{g}{i}"] for i in range(4)}) for g in "xyz"] == [1, 1, 1] and len(set(got.values())) == 4
+    assert graph.modularity(edges, found).head()[0] > 0.5
+    assert graph.modularity(edges.limit(0), found).head()[0] == 0
+
+
+@pytest.mark.parametrize(("changed", "total", "broken", "want"), [(0, 2, 0, "none"), (3, 4, 0, "full"), (1, 4, 0, "partial"), (2, 4, 0, "partial"), (0, 2, 1, "docs_only")])
+def test_decision(spark, changed, total, broken, want):
+    old = spark.createDataFrame([(str(k), "h") for k in range(total)], "path string, hash string")
+    now = spark.createDataFrame([(str(k), "x" if k < changed else "h") for k in range(total)], "path string, hash string")
+    row = refresh.decision(refresh.diff(now, old), spark.range(broken)).head()
+    assert row.decision == want and row.n_stale == changed
+
+
+def test_relative_imports_resolve_loosely(spark):
+    files = spark.createDataFrame([("src/a/models.py",), ("src/b.py",), ("src/pkg/__init__.py",)], "path string")
+    rows = [(1, "src/a/x.py", "python", ".models", ["M"]), (2, "src/a/x.py", "python", "b", []), (3, "x.py", "python", "os.path", []), (4, "x.py", "python", "nope", []), (5, "x.rs", "rust", "b", []), (6, "x.py", "python", "pkg", [])]
+    imports = spark.createDataFrame(rows, "imp long, file string, language string, module string, names array<string>")
+    got = {r.imp: (r.target, r.resolution) for r in resolve.resolve_imports(imports, files, bases=["src", ""]).collect()}
+    assert got == {1: ("src/a/models.py", "fuzzy"), 2: ("src/b.py", "exact"), 3: ("os.path", "external"), 4: ("nope", "unresolved"), 5: ("b", "unresolved"), 6: ("src/pkg/__init__.py", "exact")}
+
+
+PYTHON = '''"""Doc."""
+import os
+from .models import User
+LIMIT = 3
+class Service(Base):
+    """Does things."""
+    name = 1
+    def run(self, x: int) -> "User":
+        return self._go()
+    def _go(self):
+        return 1
+@app.get("/health")
+async def health(request):
+    return os.environ["API_KEY"]
+'''
+GO = 'package main\nimport (\n\t"fmt"\n)\nconst Limit = 3\ntype Server struct {\n\tname string\n}\nfunc (s *Server) Start() error {\n\treturn nil\n}\nfunc main() {\n\thttp.HandleFunc("/h", handle)\n}\n'
+
+
+def test_extraction(spark):
+    files = spark.createDataFrame([("a.py", "python", PYTHON), ("m.go", "go", GO), ("bad.py", "python", "def ("), ("x.txt", None, "TODO x")], "path string, language string, text string")
+    got = {r.path: r for r in extract.extractions(files).collect()}
+    a, m = got["a.py"], got["m.go"]
+    assert [f.name for f in a.functions] == ["health"] and a.functions[0].is_async
+    assert [x.name for x in a.classes[0].methods] == ["run", "_go"] and a.classes[0].methods[0].return_type == "'User'"
+    assert [(i.module, i.is_relative) for i in a.imports] == [("os", False), (".models", True)]
+    assert a.constants[0].name == "LIMIT" and a.db_models[0].fields == ["name"] and a.env_vars == ["API_KEY"]
+    assert (a.route_handlers[0].path, a.route_handlers[0].method) == ("/health", "GET") and a.has_module_docstring
+    assert [f.name for f in m.functions] == ["Start", "main"] and [x.name for x in m.classes[0].methods] == ["Start"]
+    assert {e.name for e in m.exports} >= {"Server", "Limit"} and m.route_handlers[0].handler_function == "handle"
+    assert got["bad.py"].error.startswith("SyntaxError") and got["x.txt"].tribal_signals[0].category == "todo"
+
+
+def test_commands_end_to_end(spark, tmp_path):
+    root, out = tmp_path / "repo", str(tmp_path / "out")
+    for name, body in {"src/app.py": PYTHON, "src/models.py": "class User:\n    pass\n", "src/util.py": "from models import User\n# HACK order matters\ndef go() -> User:\n    return User()\n", "node_modules/x.py": "x = 1\n", "README.md": "# r\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    p = pipeline.parse(spark, str(root), out)
+    assert {r.path for r in p.files.collect()} == {"src/app.py", "src/models.py", "src/util.py", "README.md"}
+    assert ("file::src/util.py", "file::src/models.py", "IMPORTS") in {tuple(r) for r in p.edges.select("src", "dst", "relation").collect()}
+    assert p.nodes.agg(F.sum("pagerank")).head()[0] == pytest.approx(1)
+    report = pipeline.generate(spark, out).collect()
+    assert {"dependency-index", "conventions"} <= {r.document for r in report}
+    scored, gaps = pipeline.assess(spark, out)
+    assert scored.count() == len(report)
+    assert pipeline.update(spark, str(root), out).head()["n_stale"] == 0
+    (root / "src/util.py").write_text("def other():\n    pass\n")
+    row = pipeline.update(spark, str(root), out).head()
+    assert (row.n_stale, row.decision) == (1, "partial")
+    names = {f.name for r in spark.read.parquet(f"{out}/extractions").collect() for f in r.functions}
+    assert "other" in names and "go" not in names
