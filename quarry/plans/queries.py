@@ -743,3 +743,124 @@ def _(s, d):
 @query("c11_c12_estimated_tokens", "SELECT doc_id, greatest(ceil(len(text) / 4), len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')))::BIGINT AS tokens FROM documents WHERE text IS NOT NULL")
 def _(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", chunks.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+# -- extraction over derived sources, configuration readers, remaining chunks and scores
+
+
+def _sources(s, d):
+    p = view(s, d, "v_place")
+    n = F.col("nk").cast("string")
+    code = F.concat(
+        F.lit("import os\nfrom .base import Base as B\nLIMIT_"), n, F.lit(" = "), n, F.lit("\n\n\nclass C"), n, F.lit("(Base):\n    field = 1\n\n    def run(self, x: int) -> str:\n        return self._go()\n\n    def _go(self):\n        return os.environ['KEY_"), n,
+        F.lit("']\n\n\n@app.get('/r"), n, F.lit("')\nasync def f"), n, F.lit("(q):\n    # HACK keep\n    return q\n"),
+    )
+    return p.select(F.col("file").alias("path"), F.lit("python").alias("language"), code.alias("text"))
+
+
+def _extracted(s, d):
+    from quarry.operators.extract import extractions
+
+    return extractions(_sources(s, d))
+
+
+@query("x1_functions", "SELECT file AS path, 'f' || nk AS name, 'async def f' || nk || '(q)' AS signature, 17::BIGINT AS line_start, 19::BIGINT AS line_end, true AS is_async FROM v_place", "v_place")
+def _(s, d):
+    return _extracted(s, d).select("path", F.explode("functions").alias("f")).select("path", "f.name", "f.signature", "f.line_start", "f.line_end", "f.is_async")
+
+
+@query("x2_classes", "SELECT file AS path, 'C' || nk AS name, 'Base' AS bases, 'run,_go' AS methods, 'C' || nk || '.run' AS qualified FROM v_place", "v_place")
+def _(s, d):
+    rows = _extracted(s, d).select("path", F.explode("classes").alias("c"))
+    return rows.select("path", "c.name", "c.bases", F.transform("c.methods", lambda m: m["name"]).alias("methods"), F.col("c.methods")[0]["qualified_name"].alias("qualified"))
+
+
+@query("x3_imports", "SELECT file AS path, 'os' AS module, '' AS names, false AS is_relative FROM v_place UNION ALL SELECT file, '.base', 'Base', true FROM v_place", "v_place")
+def _(s, d):
+    return _extracted(s, d).select("path", F.explode("imports").alias("i")).select("path", "i.module", "i.names", "i.is_relative")
+
+
+@query("x5_x6_exports_constants", "SELECT file AS path, 'f' || nk || ',C' || nk AS exports, 'LIMIT_' || nk || '=' || nk AS constants FROM v_place", "v_place")
+def _(s, d):
+    return _extracted(s, d).select("path", F.transform("exports", lambda e: e["name"]).alias("exports"), F.transform("constants", lambda c: F.concat(c["name"], F.lit("="), c["value"])).alias("constants"))
+
+
+@query("x7_x8_routes_models", "SELECT file AS path, '/r' || nk || ' GET f' || nk AS routes, 'C' || nk || ':field' AS models, 'KEY_' || nk AS env_vars, 'hack' AS signals FROM v_place", "v_place")
+def _(s, d):
+    e = _extracted(s, d)
+    return e.select("path", F.transform("route_handlers", lambda r: F.concat_ws(" ", r["path"], r["method"], r["handler_function"])).alias("routes"), F.transform("db_models", lambda m: F.concat(m["name"], F.lit(":"), F.array_join(m["fields"], "+"))).alias("models"), "env_vars", F.transform("tribal_signals", lambda t: t["category"]).alias("signals"))
+
+
+@query("s9_c22_path_aliases", "SELECT n_name, '@' || nk AS alias, 'src/' || n_name AS target FROM v_place", "v_place")
+def _(s, d):
+    p = view(s, d, "v_place")
+    config = F.concat(F.lit('// note\n{"compilerOptions": {"paths": {"@'), F.col("nk").cast("string"), F.lit('/*": ["src/'), "n_name", F.lit('/*", "x"]}}}'))
+    return p.select("n_name", F.explode(text.alias_map(config)).alias("alias", "target"))
+
+
+@query("s10_go_module", "SELECT 'example.com/' || max(n_name) AS module_path FROM v_place", "v_place")
+def _(s, d):
+    return repo.go_module(view(s, d, "v_place").select(F.concat(F.lit("// go\nmodule example.com/"), "n_name", F.lit("\n\ngo 1.22\n")).alias("text")))
+
+
+@query("c8_import_list", "SELECT n_name, CASE WHEN nk % 2 = 0 THEN 'none' ELSE n_name || ': a, b, c, d, e; os' END AS imports FROM v_place", "v_place")
+def _(s, d):
+    kind = "array<struct<module:string,names:array<string>>>"
+    two = F.array(F.struct(F.col("n_name").alias("module"), F.array(*map(F.lit, "abcdef")).alias("names")), F.struct(F.lit("os").alias("module"), F.array().cast("array<string>").alias("names"))).cast(kind)
+    return view(s, d, "v_place").select("n_name", text.import_list(F.when(F.col("nk") % 2 == 0, F.array().cast(kind)).otherwise(two)).alias("imports"))
+
+
+def _entities(s, d):
+    none = F.array().cast("array<string>")
+    p = view(s, d, "v_place")
+    return p.select(F.col("file").alias("file_path"), F.lit("python").alias("language"), F.col("r_name").alias("module"), F.array().cast("array<struct<module:string,names:array<string>>>").alias("imports"), F.col("n_name").alias("name"), F.array(F.lit("dataclass")).alias("decorators"), F.array(F.lit("Base")).alias("bases"), F.lit("First line.\nMore.").alias("docstring"), F.array(F.lit("def a(self)")).alias("methods"), (F.col("nk") / 100).alias("pagerank"), F.array("n_name").alias("exports"), none.alias("classes"), none.alias("functions"), F.concat(F.lit("x = 1\n"), "n_name").alias("content"))
+
+
+_HEAD = "'# Language: python | File: ' || file || chr(10) || '# Module: ' || r_name || chr(10) || '# Imports: none' || chr(10)"
+
+
+@query("v2_class_chunks", f"SELECT 'class::' || file || '::' || n_name AS chunk_id, {_HEAD} || '# PageRank: ' || printf('%.6f', nk / 100) || chr(10) || chr(10) || '@dataclass' || chr(10) || 'class ' || n_name || '(Base):' || chr(10) || '    \"\"\"First line.\"\"\"' || chr(10) || '    def a(self)' AS text FROM v_place", "v_place")
+def _(s, d):
+    return chunks.class_chunks(_entities(s, d)).select("chunk_id", "text")
+
+
+@query("v3_file_chunks", f"SELECT 'file_summary::' || file || '::' || file AS chunk_id, {_HEAD} || '# Exports: ' || n_name || chr(10) || '# Classes: none' || chr(10) || '# Functions: none' || chr(10) || '# PageRank: ' || printf('%.6f', nk / 100) || chr(10) || chr(10) || 'x = 1' || chr(10) || n_name AS text FROM v_place", "v_place")
+def _(s, d):
+    return chunks.file_chunks(_entities(s, d)).select("chunk_id", "text")
+
+
+@query("v5_v6_embed", "SELECT doc_id, len(text)::BIGINT AS n FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", "text")
+    rows = chunks.embedded(docs, lambda texts: [[float(len(t)), 1.0] for t in texts])
+    return rows.select("doc_id", F.col("embedding")[0].cast("long").alias("n"))
+
+
+@query("a14_composite", "SELECT o_orderkey, round(0.3 * (o_orderkey % 10) / 10 + 0.25 * (o_orderkey % 7) / 7 + 0.2 + 0.1 * 0.5 + 0.15 * (o_custkey % 3) / 3, 6) AS score FROM orders")
+def _(s, d):
+    o = table(s, d, "orders")
+    given = {"factual_accuracy": F.col("o_orderkey") % 10 / 10, "entity_coverage": F.col("o_orderkey") % 7 / 7, "conciseness": F.lit(1.0), "structural_completeness": F.lit(0.5), "usefulness": F.col("o_custkey") % 3 / 3}
+    return o.select("o_orderkey", scores.composite(given).alias("score"))
+
+
+@query("a17_coverage", "SELECT name, round(CASE WHEN nk % 5 = 0 THEN 1.0 ELSE 0.5 END, 6) AS coverage, CASE WHEN nk % 5 = 0 THEN '' ELSE 'NoSuchName' END AS missing FROM v_docs", "v_docs")
+def _(s, d):
+    names = F.when(F.col("nk") % 5 == 0, F.array(F.upper("n_name"))).otherwise(F.array(F.upper("n_name"), F.lit("NoSuchName")))
+    return view(s, d, "v_docs").select("name", scores.entity_coverage(F.col("text"), names).alias("coverage"), scores.missing_entities(F.col("text"), names).alias("missing"))
+
+
+@query("a20_usefulness", "SELECT name, round(0.3 + 0.7 * 0.75 - CASE WHEN nk > 0 THEN 0.075 ELSE 0 END, 4) AS score FROM v_docs", "v_docs")
+def _(s, d):
+    return view(s, d, "v_docs").select("name", scores.usefulness(F.col("text")).alias("score"))
+
+
+@query("a21_ordered_distinct", "SELECT string_agg(r_name, ',' ORDER BY first) AS names FROM (SELECT r_name, min(nk) AS first FROM v_place GROUP BY r_name)", "v_place")
+def _(s, d):
+    ordered = F.array_sort(F.collect_list(F.struct("nk", "r_name")))
+    return view(s, d, "v_place").agg(F.array_distinct(F.transform(ordered, lambda x: x["r_name"])).alias("names"))
+
+
+@query("a23_a24_name_universe", "SELECT string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT file) AS files FROM v_nodes WHERE kind IN ('function', 'class')", "v_nodes")
+def _(s, d):
+    rows = view(s, d, "v_nodes").where("kind in ('function', 'class')")
+    return rows.agg(F.array_sort(F.collect_set("name")).alias("names"), F.count_distinct("file").alias("files"))
