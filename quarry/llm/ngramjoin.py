@@ -214,10 +214,10 @@ def _frequent(rows: DataFrame, n: int) -> np.ndarray:
         for batch in chunks(batches, "text"):
             part.append(shingle_sets(batch.column(1), n)[0])
             waiting += len(part[-1])
-            if waiting > 2_000_000:
+            if waiting > 500_000:
                 held, sizes = _tally(held, sizes, part)
                 part, waiting = [], 0
-                if len(held) > 4_000_000:  # a summary: rare ones are let go, which changes the order only
+                if len(held) > 1_500_000:  # a summary: rare ones are let go, which changes the order only
                     keep = sizes > np.partition(sizes, len(sizes) // 2)[len(sizes) // 2]
                     held, sizes = held[keep], sizes[keep]
         held, sizes = _tally(held, sizes, part)
