@@ -17,19 +17,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, langid, ngramjoin, packing, pii
-from quarry.llm._base import read, table
+from quarry.llm._base import bounded_batches, read, release, scope, table
 from quarry.llm.queries import vocabulary
+from quarry.sources.ship import ship
 
 #: Packing, language models and corpus co-occurrence have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
+#: Working tables of a stage; its result is written before the next stage starts, which then deletes them.
+WORK = "pipeline"
+
+
+def _stage(function):
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        bounded_batches(spark)
+        release(spark, WORK)
+        with scope(WORK):
+            return function(spark, docs, sf_dir)
+
+    return stage
+
+
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """docs without the rows whose doc_id is in ids.  The ids are written first, so their true size decides how they are joined."""
     gone = table(ids.select("doc_id").distinct(), name)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     docs = docs.where("doc_id is not null")
@@ -37,6 +54,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, found, "undetermined")
 
 
+@_stage
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngramjoin.join(docs)
     kept = _without(docs, found.where(F.col("doc_id") != F.col("component_id")), "copies")
@@ -44,16 +62,19 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.find(docs, read(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("n_hit > 0"), "contaminated")
 
 
+@_stage
 def pii_sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = pii.sanitise(docs, pii.find(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -73,5 +94,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = table(docs, name)
+            docs = table(docs, name)  # outside the stages' scope
     return docs
