@@ -86,12 +86,12 @@ def critic_accuracy(text: Column) -> Column:
     return F.when((_lines(text) >= 5) & (structural_completeness(text) >= 0.75), 1.0).otherwise(0.6)
 
 
-def critic_coverage(text: Column, names: Column, tribal: Column) -> Column:
-    """Mentioned share of the top entities (0.8 without any), averaged with the share of tribal lines that the draft takes up."""
+def critic_coverage(text: Column, names: Column, known: Column) -> Column:
+    """Mentioned share of the top entities (0.8 without any), averaged with the share of known lines that the draft takes up."""
     low = F.lower(text)
     base = F.when(F.size(names) == 0, 0.8).otherwise(entity_coverage(text, names))
-    told = F.filter(tribal, lambda t: F.exists(F.split(F.lower(t), r"\s+"), lambda w: (F.length(w) > 4) & low.contains(w)))
-    return F.when(F.size(tribal) > 0, (base + F.size(told) / F.nullif(F.size(tribal), F.lit(0))) / 2).otherwise(base)
+    told = F.filter(known, lambda t: F.exists(F.split(F.lower(t), r"\s+"), lambda w: (F.length(w) > 4) & low.contains(w)))
+    return F.when(F.size(known) > 0, (base + F.size(told) / F.nullif(F.size(known), F.lit(0))) / 2).otherwise(base)
 
 
 def critic_usefulness(text: Column) -> Column:

@@ -61,7 +61,7 @@ def findings(entries: DataFrame, entities: DataFrame, signals: DataFrame, deps:
         "name",
         F.concat(F.col("description"), F.lit(".")).alias("overview"),
         F.slice(F.coalesce("entities", empty), 1, 5).alias("patterns"),
-        F.slice(F.coalesce("signals", empty), 1, 10).alias("tribal_knowledge"),
+        F.slice(F.coalesce("signals", empty), 1, 10).alias("known_signals"),
         F.slice(F.coalesce("d", empty), 1, 10).alias("dependencies"),
         "files",
     )
@@ -88,7 +88,7 @@ def draft(found: DataFrame) -> DataFrame:
         F.lit(""),
         F.lit("## Non-Obvious Patterns"),
         _bullets(code(F.col("patterns")), 3, "none found"),
-        _bullets(F.col("tribal_knowledge"), 3, "no signals"),
+        _bullets(F.col("known_signals"), 3, "no signals"),
         F.lit(""),
         F.lit("## See Also"),
         _bullets(F.col("dependencies"), 4, "no dependencies"),
@@ -98,9 +98,9 @@ def draft(found: DataFrame) -> DataFrame:
 
 def critique(drafts: DataFrame, found: DataFrame) -> DataFrame:
     """Four scores and their mean for drafts (name, text), and whether it passes."""
-    both = drafts.join(found.select("name", "patterns", "tribal_knowledge"), "name")
+    both = drafts.join(found.select("name", "patterns", "known_signals"), "name")
     text = F.col("text")
-    parts = both.select("name", scores.critic_accuracy(text).alias("accuracy"), scores.critic_coverage(text, F.col("patterns"), F.col("tribal_knowledge")).alias("coverage"), scores.critic_conciseness(text).alias("conciseness"), scores.critic_usefulness(text).alias("usefulness"))
+    parts = both.select("name", scores.critic_accuracy(text).alias("accuracy"), scores.critic_coverage(text, F.col("patterns"), F.col("known_signals")).alias("coverage"), scores.critic_conciseness(text).alias("conciseness"), scores.critic_usefulness(text).alias("usefulness"))
     overall = F.round((F.col("accuracy") + F.col("coverage") + F.col("conciseness") + F.col("usefulness")) / 4, 3)
     return parts.withColumn("overall", overall).withColumn("passed", overall >= 0.85)
 
@@ -148,9 +148,9 @@ def quality_average(report: DataFrame) -> DataFrame:
 def synthesis(entries: DataFrame, found: DataFrame, deps: DataFrame) -> DataFrame:
     """Overview, conventions, agents and dependency index as (name, text)."""
     listed = entries.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "name", "description"))), lambda s: F.concat(F.lit("- **"), s["name"], F.lit("**: "), s["description"])), "\n").alias("t"))
-    tribal = found.select(F.explode("tribal_knowledge").alias("t"), "name").agg(F.array_join(F.transform(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("name", "t"))), lambda s: s["t"])), lambda t: F.concat(F.lit("- "), t)), "\n").alias("t"))
+    known = found.select(F.explode("known_signals").alias("t"), "name").agg(F.array_join(F.transform(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("name", "t"))), lambda s: s["t"])), lambda t: F.concat(F.lit("- "), t)), "\n").alias("t"))
     table = deps.agg(markdown_table(F.array_sort(F.collect_list(F.struct(F.col("source_module").alias("source"), F.col("target_module").alias("target"), "edge_count", "direction")))).alias("t"))
-    titled = [("project-overview", "# Project Overview", listed), ("conventions", "# Conventions", tribal), ("AGENTS", "# Agents", listed), ("dependency-index", "# Dependency Index", table)]
+    titled = [("project-overview", "# Project Overview", listed), ("conventions", "# Conventions", known), ("AGENTS", "# Agents", listed), ("dependency-index", "# Dependency Index", table)]
     out = None
     for name, title, body in titled:
         doc = body.select(F.lit(name).alias("name"), F.concat(F.lit(f"{title}\n\n"), F.coalesce("t", F.lit(""))).alias("text"))

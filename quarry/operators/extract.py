@@ -259,5 +259,5 @@ def extractions(files: DataFrame) -> DataFrame:
     for name, patterns in signals.ENV_PATTERNS.items():
         env = F.when(lang == name, signals.env_vars(text, patterns)).otherwise(env)
     flat = files.select("path", "language", env.alias("env_vars"), line_count(text).alias("line_count"), signals.has_module_docstring(text, lang).alias("has_module_docstring"))
-    marks = signals.line_signals(signals.lines(files.select("path", "text"))).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_number", "grp", "category", "line_content"))).alias("tribal_signals"))
+    marks = signals.line_signals(signals.lines(files.select("path", "text"))).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_number", "grp", "category", "line_content"))).alias("signal_lines"))
     return found.join(flat, "path").join(marks, "path", "left")

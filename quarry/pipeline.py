@@ -106,7 +106,7 @@ def generate(spark: SparkSession, output: str, fix=None) -> DataFrame:
     p = stored(spark, output)
     entries = documents.module_map_or_whole(p.modules, p.nodes)
     file_modules = p.modules.select("module", F.explode("files").alias("file"))
-    signals = p.extractions.select("path", F.explode("tribal_signals").alias("s")).select("path", "s.*")
+    signals = p.extractions.select("path", F.explode("signal_lines").alias("s")).select("path", "s.*")
     tops = p.modules.select("module", "entities")
     found = cut(documents.findings(entries, tops, documents.module_signals(signals, file_modules), p.deps))
     docs, log = documents.refine(found, fix)
@@ -126,7 +126,7 @@ def assess(spark: SparkSession, output: str) -> tuple[DataFrame, DataFrame]:
     best = evaluate.best_entities(p.nodes).withColumnRenamed("names", "best")
     own = known.join(p.modules.select("module", "entities"), "module", "left").crossJoin(F.broadcast(names)).crossJoin(F.broadcast(best))  # one row each
     scored = evaluate.evaluate(own.select("name", "text", F.coalesce("entities", "best").alias("entities"), "names"), p.files.select("path"))
-    signals = p.extractions.select("path", F.size(F.coalesce("tribal_signals", F.array().cast("array<struct<line_number:int,grp:int,category:string,line_content:string>>"))).alias("signals"))
+    signals = p.extractions.select("path", F.size(F.coalesce("signal_lines", F.array().cast("array<struct<line_number:int,grp:int,category:string,line_content:string>>"))).alias("signals"))
     configs = p.files.where("file_type = 'config'").select("path").join(signals, "path")
     top = p.nodes.where(F.col("kind").isin("function", "class")).orderBy(F.desc("pagerank"), "ord").limit(20)
     ranks = evaluate.best_rank_by_file(p.nodes.where(F.col("kind").isin("function", "class"))).withColumnRenamed("file", "path")

@@ -788,7 +788,7 @@ def _(s, d):
 @query("x7_x8_routes_models", "SELECT file AS path, '/r' || nk || ' GET f' || nk AS routes, 'C' || nk || ':field' AS models, 'KEY_' || nk AS env_vars, 'hack' AS signals FROM v_place", "v_place")
 def _(s, d):
     e = _extracted(s, d)
-    return e.select("path", F.transform("route_handlers", lambda r: F.concat_ws(" ", r["path"], r["method"], r["handler_function"])).alias("routes"), F.transform("db_models", lambda m: F.concat(m["name"], F.lit(":"), F.array_join(m["fields"], "+"))).alias("models"), "env_vars", F.transform("tribal_signals", lambda t: t["category"]).alias("signals"))
+    return e.select("path", F.transform("route_handlers", lambda r: F.concat_ws(" ", r["path"], r["method"], r["handler_function"])).alias("routes"), F.transform("db_models", lambda m: F.concat(m["name"], F.lit(":"), F.array_join(m["fields"], "+"))).alias("models"), "env_vars", F.transform("signal_lines", lambda t: t["category"]).alias("signals"))
 
 
 @query("s9_c22_path_aliases", "SELECT n_name, '@' || nk AS alias, 'src/' || n_name AS target FROM v_place", "v_place")

@@ -77,7 +77,7 @@ def test_extraction(spark):
     assert (a.route_handlers[0].path, a.route_handlers[0].method) == ("/health", "GET") and a.has_module_docstring
     assert [f.name for f in m.functions] == ["Start", "main"] and [x.name for x in m.classes[0].methods] == ["Start"]
     assert {e.name for e in m.exports} >= {"Server", "Limit"} and m.route_handlers[0].handler_function == "handle"
-    assert got["bad.py"].error.startswith("SyntaxError") and got["x.txt"].tribal_signals[0].category == "todo"
+    assert got["bad.py"].error.startswith("SyntaxError") and got["x.txt"].signal_lines[0].category == "todo"
 
 
 def test_commands_end_to_end(spark, tmp_path):
