@@ -29,9 +29,9 @@ ENV_PATTERNS = {
 ENV_PATTERNS["typescript"] = ENV_PATTERNS["javascript"]
 
 
-def lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line with ``line_number`` from 1; a last line feed ends a line and starts none."""
-    parts = F.split(F.regexp_replace(F.col(text), r"\r?\n$", ""), r"\r?\n|\r")
+def lines(df: DataFrame, text: str = "text", ends: str = r"\r?\n|\r") -> DataFrame:
+    """One row per line with ``line_number`` from 1, cut at ``ends``; a last line feed ends a line and starts none."""
+    parts = F.split(F.regexp_replace(F.col(text), r"\r?\n$", ""), ends)
     return df.select("*", F.posexplode(parts).alias("_pos", "line")).withColumn("line_number", F.col("_pos") + 1).drop("_pos")
 
 

@@ -163,7 +163,7 @@ m AS (SELECT *, CASE WHEN regexp_matches(line, '\bthe\b') THEN 'note' WHEN regex
   CASE WHEN regexp_matches(line, '(?i)\bof\b') THEN 'ordering' WHEN regexp_matches(line, '(?i)copyright') THEN 'important' END AS b FROM l)
 SELECT doc_id, line_number::BIGINT AS line_number, 0::BIGINT AS grp, a AS category FROM m WHERE a IS NOT NULL UNION ALL SELECT doc_id, line_number, 1, b FROM m WHERE b IS NOT NULL""")
 def _(s, d):
-    rows = signals.lines(table(s, d, "documents").where("lang = lang and not text rlike '\\r'").select("doc_id", "text"))
+    rows = signals.lines(table(s, d, "documents").select("doc_id", "text"), ends="\n")
     return signals.line_signals(rows, MARKS, NOTES).select("doc_id", "line_number", "grp", "category")
 
 

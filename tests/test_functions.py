@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import classify, scores, signals, text
+from quarry.plans import queries
 
 
 def value(spark, column, **columns):
@@ -75,3 +76,15 @@ def test_text_functions(spark):
     assert tuple(value(spark, text.repository_of_url(F.lit("git@host.com:own/rep.git")))) == ("own", "rep")
     assert value(spark, text.alias_map(F.lit('{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}'))) == {"@": "src"}
     assert [value(spark, text.line_count(F.lit(t))) for t in ("", "a", "a\n", "a\nb")] == [0, 1, 1, 2]
+
+
+def test_signals_query_covers_texts_with_carriage_returns_and_without_a_language(spark, tmp_path):
+    texts = ["the one\r\nx\r\nThe token", "a\rthe token\rb\nof", "the\n", None, "", "License\r"]
+    rows = [(k, t, None if k % 2 else "en") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.QUERIES["x12_signals"](spark, str(tmp_path)).collect()))
+    assert got == [(0, 1, 0, "note"), (0, 3, 0, "hack"), (1, 1, 0, "note"), (1, 2, 1, "ordering"), (2, 1, 0, "note"), (5, 1, 0, "important")]
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.ORACLES["x12_signals"]).fetchall())
