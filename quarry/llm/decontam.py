@@ -6,8 +6,9 @@ windows use.  A window is a phrase of ``width`` consecutive item words (a
 shorter item is one window).  For each window the postings of its rarest term in
 the block, shifted by the term's offset, are the candidates; they are
 intersected with the shifted postings of its other terms, next rarest first, and
-what is left are the exact occurrences.  ``proximity_hits`` asks the same
-postings for windows whose words all occur, in any order, within a span.
+what is left are the exact occurrences.  With ``span``, ``find`` also asks the same
+postings for windows whose words all occur, in any order, within a span of words:
+next to each posting of the rarest term, one of every other term must lie near.
 
 No posting is shuffled, so a term in a third of all documents costs only its own
 positions.  The test side is dealt out in slices of at most ``slice_words``
@@ -110,44 +111,79 @@ def phrase_hits(post: Postings, test: Windows) -> tuple[np.ndarray, np.ndarray]:
     return window[whole], at[whole]
 
 
+def _close(post: Postings, test: Windows, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, posting of its rarest term) where every other term has a posting less than ``span`` words away in the document."""
+    frequency = np.append(post.frequency(), np.iinfo(np.int64).max)[test.terms]
+    some = np.flatnonzero(frequency.min(axis=1) > 0)
+    rarest = test.terms[some, frequency[some].argmin(axis=1)]
+    size = len(post.terms) + 1
+    keys = np.repeat(np.arange(len(post.starts) - 1), post.frequency()) * size + post.positions
+    edges = np.flatnonzero(np.diff(post.doc)) + 1
+    first, last = np.append(0, edges), np.append(edges, len(post.doc)) - 1
+    which = np.searchsorted(first, np.arange(len(post.doc)), side="right") - 1
+    out_w, out_p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    count = post.starts[rarest + 1] - post.starts[rarest]
+    ends, lo = np.cumsum(count), 0
+    while lo < len(some):  # a few million candidates at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000, side="right")))
+        n = count[lo:hi]
+        window, own = np.repeat(some[lo:hi], n), np.repeat(rarest[lo:hi], n)
+        at = post.positions[post.starts[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)]
+        lo = hi
+        for k in range(test.terms.shape[1]):
+            term = test.terms[window, k]
+            from_, to = np.maximum(at - span + 1, first[which[at]]), np.minimum(at + span - 1, last[which[at]])
+            near = np.searchsorted(keys, term * size + from_)
+            keep = (term < 0) | (keys[np.minimum(near, len(keys) - 1)] <= term * size + to) & (near < len(keys))
+            window, at = window[keep], at[keep]
+        out_w.append(window)
+        out_p.append(at)
+    return np.concatenate(out_w), np.concatenate(out_p)
+
+
 def proximity_hits(post: Postings, test: Windows, span: int) -> list[tuple[int, int, int]]:
     """(window, first, last position) of least stretches of at most ``span`` words of a document with all of a window's words in any order."""
     out = []
-    for w, row in enumerate(test.terms):
+    for w, p in zip(*(c.tolist() for c in _close(post, test, span)), strict=True):
+        row = test.terms[w]
         need: dict[int, int] = {}
         for t in row[row >= 0].tolist():
             need[t] = need.get(t, 0) + 1
-        lists = [post.positions[post.starts[t] : post.starts[t + 1]] for t in need]
-        if any(len(x) < n for x, n in zip(lists, need.values(), strict=True)):
-            continue
-        for p in min(lists, key=len).tolist():
-            near = [x[(x > p - span) & (x < p + span) & (post.doc[x] == post.doc[p])] for x in lists]
-            pool = np.sort(np.concatenate(near))
-            for a in pool[pool <= p].tolist():
-                got = [x[x >= a][: n] for x, n in zip(near, need.values(), strict=True)]
-                if all(len(x) == n for x, n in zip(got, need.values(), strict=True)) and (last := max(int(x[-1]) for x in got)) - a < span and last >= p:
-                    out.append((w, a, last))
+        near = []
+        for t in need:
+            own = post.positions[post.starts[t] : post.starts[t + 1]]
+            own = own[np.searchsorted(own, p - span + 1) : np.searchsorted(own, p + span)]
+            near.append(own[post.doc[own] == post.doc[p]])
+        pool = np.sort(np.concatenate(near))
+        for a in pool[pool <= p].tolist():
+            got = [x[x >= a][:n] for x, n in zip(near, need.values(), strict=True)]
+            if all(len(x) == n for x, n in zip(got, need.values(), strict=True)) and (last := max(int(x[-1]) for x in got)) - a < span and last >= p:
+                out.append((w, a, last))
     return sorted(set(out))
 
 
-def find(df: DataFrame, benchmark: DataFrame, *, width: int = 10, slice_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``id_col``, n_words, n_hit, n_items, item_ids (sorted strings), and spans "first:end" of hit words."""
+def find(df: DataFrame, benchmark: DataFrame, *, width: int = 10, slice_words: int = 1_000_000, span: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``id_col``, n_words, n_hit, n_items, item_ids (sorted strings), and the hit words; with ``span`` also near_item_ids and near_words of the proximity matches."""
     bench = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     slices = _slices(bench, slice_words)
     schema = f"id {kind}, n_words bigint, item_ids array<string>, hits array<bigint>"
+    lists = ["item_ids", "hits"]
+    if span is not None:
+        schema += ", near_item_ids array<string>, near_words array<bigint>"
+        lists += ["near_item_ids", "near_words"]
     if len(slices) == 1:
-        found = rows.mapInArrow(_matcher(slices[0], width), schema)
+        found = rows.mapInArrow(_matcher(slices[0], width, span), schema)
     else:  # each slice answers all rows; a row number keeps equal ids apart
         numbered = rows.select(F.struct("id", F.monotonically_increasing_id().alias("n")).alias("id"), "text")
         inner = schema.replace(f"id {kind}", f"id struct<id:{kind},n:bigint>")
-        parts = [numbered.mapInArrow(_matcher(s, width), inner) for s in slices]
+        parts = [numbered.mapInArrow(_matcher(s, width, span), inner) for s in slices]
         union = parts[0]
         for p in parts[1:]:
             union = union.unionByName(p)
-        found = union.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
-        found = found.select(F.col("id.id").alias("id"), "n_words", "item_ids", "hits")
+        found = union.groupBy("id").agg(F.max("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists))
+        found = found.select(F.col("id.id").alias("id"), "n_words", *lists)
     return found.select(
         F.col("id").alias(id_col),
         "n_words",
@@ -155,6 +191,7 @@ def find(df: DataFrame, benchmark: DataFrame, *, width: int = 10, slice_words: i
         F.size("item_ids").cast("long").alias("n_items"),
         "item_ids",
         F.col("hits").alias("hit_words"),
+        *lists[2:],
     )
 
 
@@ -171,33 +208,44 @@ def _slices(bench: DataFrame, slice_words: int) -> list[list[tuple[object, str |
     return out
 
 
-def _matcher(items: list[tuple[object, str | None]], width: int):
+def _answer(test: Windows, window: np.ndarray, first: np.ndarray, end: np.ndarray, row: np.ndarray, counts: np.ndarray) -> tuple[list[list[str]], list[np.ndarray]]:
+    """Each row's sorted items and covered words, given matches at block positions [first, end)."""
+    hits: list[np.ndarray] = [np.zeros(0, np.int64)] * len(counts)
+    names: list[list[str]] = [[]] * len(counts)
+    if len(window):
+        edge = np.zeros(len(row) + 1, dtype=np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, end, -1)
+        covered = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        begin = np.cumsum(counts) - counts
+        own = row[covered]
+        for r in np.unique(own).tolist():
+            hits[r] = covered[own == r] - begin[r]
+        pairs = np.unique(np.stack([row[first], window]), axis=1)
+        for r in np.unique(pairs[0]).tolist():
+            names[r] = sorted(set().union(*(test.items[w] for w in pairs[1][pairs[0] == r].tolist())))
+    return names, hits
+
+
+def _matcher(items: list[tuple[object, str | None]], width: int, span: int | None = None):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = windows(items, width)
+        none = np.zeros(0, np.int64)
         for batch in chunks(batches, "text", 2 * CHUNK_BYTES):
             hashes, row, counts = words_of(batch.column(1))
-            hits: list[np.ndarray] = [np.zeros(0, np.int64)] * batch.num_rows
-            names: list[list[str]] = [[]] * batch.num_rows
+            window, at, near = none, none, np.zeros((0, 3), np.int64)
             if len(test.terms) and len(hashes):
                 slot = np.minimum(np.searchsorted(test.vocabulary, hashes), len(test.vocabulary) - 1)
-                terms = np.where(test.vocabulary[slot] == hashes, slot, -1)
-                window, at = phrase_hits(Postings.build(terms, row, len(test.vocabulary)), test)
-                if len(window):
-                    edge = np.zeros(len(hashes) + 1, dtype=np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + test.width[window], -1)
-                    covered = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                    first = np.cumsum(counts) - counts
-                    own = row[covered]
-                    for r in np.unique(own).tolist():
-                        hits[r] = covered[own == r] - first[r]
-                    pairs = np.unique(np.stack([row[at], window]), axis=1)
-                    for r in np.unique(pairs[0]).tolist():
-                        names[r] = sorted(set().union(*(test.items[w] for w in pairs[1][pairs[0] == r].tolist())))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64()))],
-                names=["id", "n_words", "item_ids", "hits"],
-            )
+                post = Postings.build(np.where(test.vocabulary[slot] == hashes, slot, -1), row, len(test.vocabulary))
+                window, at = phrase_hits(post, test)
+                if span is not None:
+                    near = np.asarray(proximity_hits(post, test, span), dtype=np.int64).reshape(-1, 3)
+            answers = [*_answer(test, window, at, at + test.width[window], row, counts)]
+            if span is not None:
+                answers += _answer(test, near[:, 0], near[:, 1], near[:, 2] + 1, row, counts)
+            lists = [pa.array(x, pa.list_(pa.int64() if k % 2 else pa.string())) for k, x in enumerate(answers)]
+            columns = ["id", "n_words", "item_ids", "hits", "near_item_ids", "near_words"]
+            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), *lists], names=columns[: 2 + len(lists)])
 
     return match
 

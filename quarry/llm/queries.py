@@ -50,6 +50,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches of all documents; ``op7_decontamination`` keeps the columns of its SQL."""
+    found = decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), span=20)
+    return found.select("doc_id", "n_words", F.size("near_words").cast("long").alias("n_near"), F.size("near_item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("near_item_ids", ","), 256).alias("items_sha256"), (F.size("near_words") > 0).alias("contaminated"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_decontamination": op7_decontamination,
+    "op7_proximity": op7_proximity,
     "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,

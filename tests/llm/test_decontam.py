@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from hashlib import sha256
 
 import pyarrow as pa
@@ -60,3 +61,39 @@ def test_proximity():
     post = decontam.Postings.build(__import__("numpy").asarray(terms), row, len(test.vocabulary))
     assert decontam.proximity_hits(post, test, 6) == [(0, 0, 4)]
     assert len(decontam.phrase_hits(post, test)[0]) == 0
+
+
+def plain_near(docs, items, span, width=10):
+    out = {}
+    for doc, text in docs:
+        w, ids, near = words(text), set(), set()
+        for item, t in items:
+            v = words(t)
+            for k in range(max(1, len(v) - width + 1) if v else 0):
+                need = Counter(v[k : k + width])
+                for a in range(len(w)):
+                    for z in range(a, min(a + span, len(w))):
+                        if not need - Counter(w[a : z + 1]):
+                            if w[a] in need:
+                                ids.add(str(item))
+                                if w[a] in need:
+                                    near |= set(range(a, z + 1))
+                            break
+        out[doc] = (sorted(ids), sorted(near))
+    return out
+
+
+def test_find_returns_proximity_matches(spark):
+    rng = random.Random(4)
+    vocab = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choices(vocab, k=n))) for k, n in enumerate([12, 10, 3, 0, 2])] + [(9, None)]
+    docs = [(0, None), (1, "")]
+    for k in range(2, 40):
+        v = words(items[k % 5][1])
+        rng.shuffle(v)
+        docs.append((k, " ".join(rng.choices(vocab, k=15) + [x for t in v for x in (t, *rng.choices(vocab, k=k % 2))] + rng.choices(vocab, k=15))))
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for slice_words in (1_000_000, 20):
+        got = {r.doc_id: (list(r.near_item_ids), list(r.near_words)) for r in decontam.find(df, bench, span=20, slice_words=slice_words).collect()}
+        assert got == plain_near(docs, items, 20)
+    assert sum(bool(x[0]) for x in got.values()) > 20
