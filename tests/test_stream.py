@@ -1,9 +1,13 @@
 """The file stream's refresh, and the guard of the registry."""
 
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from quarry.streaming.incremental import refresh_stream
 
 
@@ -20,11 +24,14 @@ def test_stream_replaces_changed_files(spark, tmp_path):
     assert got == {"a.py": ["h"], "b.py": ["g"]}
 
 
-def test_registry_without_the_training_data_part(tmp_path):
-    """The other queries stay when both parts are missing."""
+@pytest.mark.parametrize("left", [["corpus_pipeline.py"], []])
+def test_registry_without_the_training_data_part(tmp_path, left):
+    """The other queries stay when the folder is missing, with and without the pipeline's file, and where the original can be imported too."""
     root = Path(__file__).resolve().parents[1]
-    code = "import shutil, sys; sys.path.insert(0, '.'); import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'g4_pagerank' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
-    for name in ("quarry", "__spark_entry__.py"):
-        subprocess.run(["cp", "-r", str(root / name), str(tmp_path)], check=True)
-    subprocess.run(["rm", "-r", str(tmp_path / "quarry/llm")], check=False)
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'g4_pagerank' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    for name in ("quarry", "__spark_entry__.py", *left):
+        if (root / name).exists():
+            subprocess.run(["cp", "-r", str(root / name), str(tmp_path)], check=True)
+    shutil.rmtree(tmp_path / "quarry/llm", ignore_errors=True)
+    for path in (str(tmp_path), f"{tmp_path}:{root}"):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": path}, check=True, timeout=120)
