@@ -10,16 +10,20 @@ identifiers (UUIDs, digits alone, words joined by ``_ - / .``), or overlap a
 base span.
 
 Offsets are code points, end exclusive.  A null text is empty and has no spans;
-repeated rows get equal results; an empty table gives an empty result.
+long texts are read whole, in time about linear in their length; repeated rows
+get equal results; extra columns are never read; an empty table gives an empty
+result.  Of spans that begin together, the kinds come in the order listed.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +41,8 @@ BASE = KINDS[:3]
 DIGEST_LENGTHS = [32, 40, 56, 64, 96, 128]
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-#: Parts of an identifier: a word of three or more letters in one case or capitalised, or a short number.
-IDENTIFIER = re.compile(r"(?:(?:[A-Za-z][a-z]{2,}|[A-Z]{3,}|[0-9]{1,4})[_/+=-]*)+")
+LETTERS = re.compile(r"[A-Za-z]+")
+CASES = re.compile(r"([A-Z]*)([a-z]*)")
 THRESHOLD = 2.2
 
 
@@ -52,9 +56,25 @@ def encoder(ranks: str):
     return tiktoken.Encoding("secrets", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def _worded(letters: str) -> bool:
+    """Whether a run of letters is made of words: three or more letters in one case, or a capital and two or more small ones."""
+    for m in CASES.finditer(letters):
+        capitals, small = len(m[1]), len(m[2])
+        alone = capitals in (0, 3) or capitals > 3  # capitals that are a word, or none
+        led = capitals == 1 or capitals > 3  # the last capital begins the small word
+        if small and not (alone and small >= 3 or led and small >= 2) or capitals and not small and capitals < 3:
+            return False
+    return True
+
+
+def identifier(run: str) -> bool:
+    """Whether a run is words and numbers, joined by ``_ / + = -`` or not at all; one pass, as runs can be very long."""
+    return run[0] not in "_/+=-" and all(_worded(m[0]) for m in LETTERS.finditer(run))
+
+
 def excluded(run: str) -> bool:
     """Whether a run is a known digest or an identifier."""
-    return bool(UUID.fullmatch(run)) or (len(run) in DIGEST_LENGTHS and bool(HEX_ONLY.fullmatch(run))) or bool(IDENTIFIER.fullmatch(run))
+    return bool(UUID.fullmatch(run)) or (len(run) in DIGEST_LENGTHS and bool(HEX_ONLY.fullmatch(run))) or identifier(run)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,10 +88,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def random_spans(text: str, base: list[tuple[int, int, int]], ranks: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """Runs that take many tokens for their length and touch no base span."""
-    out = []
+    out, starts, reach = [], [s for s, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]
     for m in RUN.finditer(text):
         run, a, b = m[0], m.start(), m.end()
-        if not (any(map(str.isdigit, run)) and any(map(str.isalpha, run))) or any(s < b and a < e for s, _, e in base) or excluded(run):
+        if not (any(map(str.isdigit, run)) and any(map(str.isalpha, run))) or reach[bisect_left(starts, b)] > a or excluded(run):
             continue
         if len(run) <= threshold * len(encoder(ranks).encode_ordinary(run)):
             out.append((a, 3, b))

@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
+from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
@@ -112,6 +114,49 @@ def test_secrets_base_equals_the_contract(spark):
         assert got[k].n_assign == sum(s[1] == 0 for s in plain_base_spans(t))
 
 
+def test_identifiers_equal_their_pattern():
+    pattern = re.compile(r"(?:(?:[A-Za-z][a-z]{2,}|[A-Z]{3,}|[0-9]{1,4})[_/+=-]*)+")
+    rng = random.Random(12)
+    for _ in range(20000):
+        run = "".join(rng.choices(["a", "bc", "def", "G", "HI", "JKL", "MNOP", "1", "23456", "_", "-"], k=rng.randint(1, 6)))
+        assert secrets.identifier(run) == bool(pattern.fullmatch(run)), run
+
+
+def plain_spans(text, threshold=secrets.THRESHOLD):
+    """All spans, read literally: a run is judged against every base span, one by one."""
+    base, out = plain_base_spans(text), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        a, b = m.span()
+        mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+        if mixed and not any(s < b and a < e for s, _, e in base) and not secrets.excluded(m[0]) and len(m[0]) <= threshold * len(secrets.encoder(RANKS).encode_ordinary(m[0])):
+            out.append((a, 3, b))
+    return base, sorted(base + out)
+
+
+def test_query_of_secrets_equals_brute_force(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op8_secrets(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for k, text in docs.items():
+        base, spans = plain_spans(text)
+        assert (got[k].n_assign, got[k].n_access, got[k].n_hex) == tuple(sum(s[1] == j for s in base) for j in range(3))
+        assert got[k].base_sha256 == sha256(secrets._text(base).encode()).hexdigest()
+        assert got[k].spans == secrets._text(spans)
+
+
+def test_secrets_of_long_texts_repeated_rows_and_odd_tables(spark):
+    began = time.monotonic()
+    rng = random.Random(2)
+    long = ["b" * 1_000_000, "z" * 1_000_000 + "1Bc", "aB" * 300_000 + "1", "0123456789abcdef " * 60_000, "token=abcdefghijkl1 x9QpL2vTz7RmK4wYb8NcJ3 " * 20_000, "".join(rng.choices("abcXYZ019", k=1_000_000)), " " * 1_000_000 + "token" + " " * 500_000]
+    df = spark.createDataFrame([*[(k, t, "clash") for k, t in enumerate(long)], (90, "AKIAABCDEFGHIJKLMN", "x"), (90, "AKIAABCDEFGHIJKLMN", "x"), (91, None, None), (92, "", "")], "doc_id bigint, text string, spans string")
+    rows = secrets.scan(df, RANKS).collect()
+    got = {r.doc_id: r for r in rows}
+    assert time.monotonic() - began < 60
+    assert [r.spans for r in rows if r.doc_id == 90] == ["access:0:18"] * 2
+    assert got[3].n_hex == 60_000 and got[4].n_assign == 20_000 and got[4].n_random == 20_000 and got[91].spans == got[92].spans == ""
+    assert secrets.scan(df.limit(0), RANKS).count() == 0
+
+
 def test_secrets_random_strings_but_no_words_digests_or_ids():
     def kinds(text):
         return secrets.random_spans(text, secrets.base_spans(text), RANKS)
