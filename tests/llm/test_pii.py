@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import regex
 from tests.llm.conftest import SF
 
 from quarry.llm import pii, queries
@@ -24,15 +26,17 @@ def luhn(digits):
     return total % 10 == 0
 
 
+def valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    return {"email": True, "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+
+
 def plain(text):
     out = {}
     for kind, pattern in PLAIN.items():
-        out[kind] = []
-        for m in re.finditer(pattern, text or ""):
-            digits = re.sub("[^0-9]", "", m[0])
-            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
-            if ok:
-                out[kind].append((m.start(), m.end()))
+        out[kind] = [m.span() for m in re.finditer(pattern, text or "") if valid(kind, m[0])]
     return out
 
 
@@ -53,38 +57,55 @@ def test_base_spans_equal_the_contract(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
-def plain_terms(docs, reach=40, bits=6.0, share=0.8, support=3):
-    term = re.compile(r"(?<![^\W_])[^\W\d_]{4,40}(?![^\W_])")
-    both, texts, held, n_term, near = Counter(), defaultdict(set), Counter(), Counter(), {}
+TERM = regex.compile(rf"(?<![\p{{L}}\p{{N}}{pii.BLANK}])[\p{{L}}\p{{N}}]{{2,}}+(?!{pii.BLANK})")
+
+
+def blanked(text):
+    for kind, pattern in PLAIN.items():
+        for m in list(re.finditer(pattern, text)):
+            if valid(kind, m[0]):
+                text = text[: m.start()] + pii.BLANK * len(m[0]) + text[m.end() :]
+    return text
+
+
+def plain_terms(docs, reach=40, disclosure=0.75, share=0.8, support=3):
+    both, texts, held, n_term = Counter(), defaultdict(set), Counter(), Counter()
+    clean = {doc: blanked(text or "") for doc, text in docs}
     for doc, text in docs:
         text = text or ""
-        n_term.update({w.lower() for w in term.findall(text)})
-        base = plain(text)
-        flat = [s for v in base.values() for s in v]
-        near[doc] = set()
-        for kind, spans in base.items():
+        n_term.update({w.lower() for w in TERM.findall(clean[doc])})
+        near, entities = set(), set()
+        for kind, spans in plain(text).items():
             for a, b in spans:
+                entity = (kind, text[a:b].lower())
+                entities.add(entity)
                 lo, hi = max(0, a - reach), min(len(text), b + reach)
-                for m in term.finditer(text[lo:hi]):
-                    x, y = m.start() + lo, m.end() + lo
-                    if (x == lo and lo) or (y == hi and hi < len(text)) or any(p < y and x < q for p, q in flat):
-                        continue
-                    near[doc].add(((kind, text[a:b].lower()), m[0].lower(), x, y))
-        for e, t in {(e, t) for e, t, _, _ in near[doc]}:
+                for m in TERM.finditer(clean[doc]):
+                    x, y = m.span()
+                    if lo <= x and y <= hi and (lo < x or not lo) and (y < hi or hi == len(text)):
+                        near.add((entity, m[0].lower()))
+        for e, t in near:
             both[e, t] += 1
             texts[e, t].add(text)
-        held.update({e for e, _, _, _ in near[doc]})
-    bad = {(e, t) for (e, t), n in both.items() if len(texts[e, t]) >= support and math.log2(n * len(docs) / (n_term[t] * held[e])) >= bits and n >= share * n_term[t]}
-    return {doc: sorted({(x, y) for e, t, x, y in spots if (e, t) in bad}) for doc, spots in near.items()}
+        held.update(entities)
+
+    def discloses(e, t):
+        n, most = both[e, t], math.log2(len(docs) / held[e])
+        return len(texts[e, t]) >= support and most > 0 and n >= share * n_term[t] and math.log2(n * len(docs) / (n_term[t] * held[e])) >= disclosure * most
+
+    bad = {t for e, t in both if discloses(e, t)}
+    return {doc: [m.span() for m in TERM.finditer(text) if m[0].lower() in bad] for doc, text in clean.items()}
 
 
 def secretive():
     rng = random.Random(8)
-    words = ["river", "stone", "cloud", "meadow", "of", "the", "winter", "garden"]
+    words = ["river", "stone", "cloud", "meadow", "of", "the", "winter", "garden", "writes", "from", "in", "any", "address", "far", "rests", "calls"]
     docs = [(k, " ".join(rng.choices(words, k=30))) for k in range(400)]
-    for k in range(5):
+    for k in range(10):
         docs.append((400 + k, f"meadow {rng.choice(words)} Zebulon writes from zeb@example.com in the garden {k}"))
-    docs += [(405, docs[400][1]), (406, None)]
+    docs += [(410, docs[400][1]), (411, None), (412, "far from any address, Zebulon rests"), (413, "zeb@example.com " + "of the river " * 9 + "zebulon"), (414, "")]
+    for k in range(200):  # an entity of a third of all rows, and its short name
+        docs.append((415 + k, f"{rng.choice(words)} {rng.choice(words)} Xi7 calls +1 415 555 2671, {k}"))
     return docs
 
 
@@ -96,8 +117,30 @@ def test_disclosing_terms_equal_brute_force_and_are_sanitised(spark):
     assert got == plain_terms(docs)
     assert any(got.values())
     clean = {r.doc_id: r.text for r in pii.sanitise(df, found).collect()}
-    assert len(clean) == len(docs) and clean[0] == docs[0][1] and clean[406] is None
-    assert "zeb" not in clean[400].lower() and "[EMAIL]" in clean[400] and "[TERM]" in clean[400]
+    assert len(clean) == len(docs) and clean[0] == docs[0][1] and clean[411] is None and clean[414] == ""
+    assert "[EMAIL]" in clean[400] and "[TERM]" in clean[400] and clean[412] == "far from any address, [TERM] rests"
+    assert not any("zeb" in (t or "").lower() or "xi7" in (t or "").lower() for t in clean.values())
+
+
+def test_small_tables_are_judged_too(spark):
+    docs = [(k, f"Ada {k} a@b.co") for k in range(3)] + [(3, "of the"), (4, "of it")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r.doc_id: [s.value for s in r.term] for r in pii.find(df).collect()} == {0: ["ada"], 1: ["ada"], 2: ["ada"], 3: [], 4: []}
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    ips = [f"{k % 256}.{k // 256 % 256}.1.2" for k in range(100_000)]
+    long = " at ".join(ips)
+    texts = [long, "x" * 1_000_000, "1" * 1_000_000, "a@" + "b." * 300_000 + "c", "é +1 415 555 2671 😀 " * 20_000, "@" * 500_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    began = time.monotonic()
+    found = pii.find(df)
+    got = {r.doc_id: r for r in found.collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, found).collect()}
+    assert time.monotonic() - began < 90
+    assert [s.value for s in got[0].ip] == ips and long[got[0].ip[-1].start :] == ips[-1]
+    assert clean[0] == " at ".join(["[IP]"] * len(ips)) and clean[1] == texts[1]
+    assert len(got[4].phone) == 20_000 and clean[4] == texts[4].replace("+1 415 555 2671", "[PHONE]")
 
 
 def test_query_equals_brute_force(spark):
