@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 
 from quarry.llm import decontam
@@ -40,13 +41,13 @@ def cases():
     return docs, items
 
 
-def test_equals_brute_force_in_one_slice_and_in_many(spark):
+def test_equals_brute_force_in_one_part_and_in_many(spark):
     docs, items = cases()
     want = plain(docs, items)
     df = spark.createDataFrame([(k, t, "clash", 1) for k, t in docs], "doc_id bigint, text string, item_id string, hits int")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for slice_words in (1_000_000, 20):
-        got = {r.doc_id: (r.n_words, list(r.hit_words), list(r.item_ids)) for r in decontam.find(df, bench, slice_words=slice_words).collect()}
+    for part_windows in (1_000_000, 20):
+        got = {r.doc_id: (r.n_words, list(r.hit_words), list(r.item_ids)) for r in decontam.find(df, bench, part_windows=part_windows).collect()}
         assert got == want
     clean = decontam.find(df, bench.limit(0)).collect()
     assert len(clean) == len(docs) and all(r.n_hit == 0 for r in clean)
@@ -54,13 +55,42 @@ def test_equals_brute_force_in_one_slice_and_in_many(spark):
     assert decontam.digest([]) == sha256(b"").hexdigest()
 
 
-def test_proximity():
-    test = decontam.windows([(1, "red green blue")], 10)
-    hashes, row, _ = decontam.words_of(pa.array(["blue x red y green", "green q q q q q q red blue", "red green"]))
-    terms = [list(test.vocabulary).index(h) if h in test.vocabulary else -1 for h in hashes]
-    post = decontam.Postings.build(__import__("numpy").asarray(terms), row, len(test.vocabulary))
-    assert decontam.proximity_hits(post, test, 6) == [(0, 0, 4)]
-    assert len(decontam.phrase_hits(post, test)[0]) == 0
+def block_of(texts, gap):
+    hashes, row, counts = decontam.words_of(pa.array(texts))
+    terms = np.unique(hashes)
+    return decontam.Postings(terms, [np.flatnonzero(hashes == t) + row[hashes == t] * gap for t in terms])
+
+
+def test_hits_of_a_block():
+    post = block_of(["blue x red y green", "green q q q q q q red blue", "red green", "red green blue red green blue", "red"], 11)
+    phrase = decontam.words_of(pa.array(["red green blue"]))[0].tolist()
+    for order in ([0, 1, 2], [2, 0, 1]):  # any term may be the rarest
+        test = decontam.Windows([7], [[phrase[k] for k in order]], [order])
+        assert decontam.proximity_hits(post, test, 6)[0] == (0, 0, 4)
+        window, at = decontam.phrase_hits(post, test)
+        assert window.tolist() == [0, 0] and sorted((at - at.min()).tolist()) == [0, 3]
+    assert len(decontam.phrase_hits(post, decontam.Windows([1], [[phrase[0], 5]], [[0, 1]]))[0]) == 0
+
+
+def test_index_rows(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (None, "b c"), (1, "a b a")], "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
+    held = decontam.item_windows(bench, 10, "item_id", "text")
+    rows = decontam.build_index(df, decontam.term_bitmap(held), 11).collect()
+    docs = sorted((r.ordinal, r.id, r.n_words) for r in rows if r.ordinal is not None)
+    assert docs == [(0, 1, 3), (1, 2, 0), (2, None, 2), (3, 1, 3)]
+    got = {tuple(np.frombuffer(r.positions, "<i4").tolist()) for r in rows if r.kind == decontam.POSTINGS}
+    assert got == {(0, 2, 38, 40), (1, 25, 39)}  # the word outside the test is not stored
+
+
+def test_very_long_and_common_texts(spark):
+    phrase = " ".join(f"w{k}" for k in range(10))
+    docs = [(0, "the " * 400_000 + phrase + " the" * 400_000), *((k, "the of " * 20 + phrase) for k in range(1, 400)), *((k, "the of and") for k in range(400, 800))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame([(1, phrase), (2, "the " * 10), (3, "the of the of")], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontam.find(df, bench).collect()}
+    assert len(got) == 800 and got[0].n_hit == 800_010 and got[0].item_ids == ["1", "2"]
+    assert all(got[k].item_ids == ["1", "3"] and got[k].n_hit == 50 for k in range(1, 400)) and not any(got[k].n_hit for k in range(400, 800))
 
 
 def plain_near(docs, items, span, width=10):
@@ -93,7 +123,7 @@ def test_find_returns_proximity_matches(spark):
         rng.shuffle(v)
         docs.append((k, " ".join(rng.choices(vocab, k=15) + [x for t in v for x in (t, *rng.choices(vocab, k=k % 2))] + rng.choices(vocab, k=15))))
     df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    for slice_words in (1_000_000, 20):
-        got = {r.doc_id: (list(r.near_item_ids), list(r.near_words)) for r in decontam.find(df, bench, span=20, slice_words=slice_words).collect()}
+    for part_windows in (1_000_000, 20):
+        got = {r.doc_id: (list(r.near_item_ids), list(r.near_words)) for r in decontam.find(df, bench, span=20, part_windows=part_windows).collect()}
         assert got == plain_near(docs, items, 20)
     assert sum(bool(x[0]) for x in got.values()) > 20
