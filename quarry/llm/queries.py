@@ -146,3 +146,21 @@ c AS (SELECT e.vec_id, least(e.vec_id, coalesce(min(other), e.vec_id)) AS compon
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM c LEFT JOIN n USING (vec_id)
 """
+
+ORACLE_SQL["op4_suffix_dedup"] = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, k, substr(x, 2 * k + 1, 100) AS g FROM h, unnest(range(0, length(x) // 2 - 49)) AS r(k)),
+least_of AS (SELECT g, min(doc_id) AS lo FROM w GROUP BY g),
+hit AS (SELECT doc_id, k FROM w JOIN least_of USING (g) WHERE lo < doc_id),
+cut AS (SELECT doc_id, k, k - coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k), -100) > 50 AS fresh FROM hit),
+numbered AS (SELECT doc_id, k, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY k) AS s FROM cut),
+span AS (SELECT doc_id, s, min(k) AS a, max(k) + 50 AS b FROM numbered GROUP BY doc_id, s),
+edge AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, b FROM span),
+kept AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS pieces
+  FROM edge JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(pieces || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM h LEFT JOIN kept USING (doc_id)
+"""

@@ -11,12 +11,12 @@ equal windows always share a bucket, and neighbouring windows mostly do:
 3. what is left sends the text of its runs to the buckets.  There suffixes are
    refined: initial q-gram buckets get numbers, and suffixes are sorted by the
    bucket numbers at their own and at later offsets; new numbers replace the old
-   ones and double the depth until it is ``length``.  Suffixes of one final
-   bucket are equal windows, and all but those of the least id are covered;
+   ones and double the depth, here 8, 16, 32, until it is ``length``.  Suffixes of
+   one final bucket are equal windows, and all but those of the least id are covered;
 4. covered windows are joined to spans, and spans are cut from the texts.
 
-A bucket with over ``HOT_RUNS`` runs is not gathered: its windows are grouped by
-their bytes with map-side minimums and joined back, which gives the same spans.
+A bucket with over ``HOT_BYTES`` of runs is not gathered: its windows are grouped
+by their bytes with map-side minimums and joined back, which gives the same spans.
 
 Null texts are empty.  Texts under ``length`` bytes keep all bytes.  Rows of
 equal ids never remove each other's bytes; rows without an id neither remove nor
@@ -36,7 +36,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm._base import chunks, joined_bytes, prefix_hash, span_hash, split_by_ids, table
 
-HOT_RUNS = 50_000
+#: Bytes of runs that one task gathers for a bucket; with what it then holds, some 300 MB.
+HOT_BYTES = 4 << 20
+#: Bytes of the first buckets' q-grams; shorter windows begin with themselves.
+GRAM = 8
 #: Bytes of bucket text that a task refines at a time.
 REFINE_BYTES = 4 << 20
 
@@ -71,28 +74,42 @@ def window_buckets(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -
     return bucket[first], row[first], starts[first], starts[last[: len(first)]]
 
 
+def _numbers(keys: np.ndarray) -> np.ndarray:
+    """Bucket numbers from 1 in the order of the keys; equal keys share one."""
+    order = np.argsort(keys)
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = keys[order[1:]] != keys[order[:-1]]
+    out = np.empty(len(order), dtype=np.int32)
+    out[order] = np.cumsum(fresh, dtype=np.int32)
+    return out
+
+
 def refine(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows inside the rows of the joined bytes, and their final bucket numbers: equal numbers, equal windows."""
-    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    room = offsets[1:][row_of] - np.arange(len(data))
+    """Starts of all windows inside the rows of the joined bytes, and their final bucket numbers: equal numbers, equal windows.
+
+    Buckets begin as q-grams of at most 8 bytes.  Each round sorts the suffixes of
+    every bucket that still holds several by the bucket numbers ``jump`` bytes
+    later, and the next round reads the numbers that this one wrote.
+    """
+    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
     at = np.flatnonzero(room >= q)
-    pointer = np.zeros(len(data), dtype=np.int64)
-    pointer[at] = np.unique(span_hash(prefix_hash(data), at, at + q), return_inverse=True)[1]
+    gram = np.zeros(len(at), dtype=np.uint64)
+    for k in range(q):
+        gram = (gram << np.uint64(8)) | data[at + k]
+    pointer = np.zeros(len(data), dtype=np.int32)
+    pointer[at] = _numbers(gram)
     depth = q
     while depth < length:
         jump = min(depth, length - depth)
         at = np.flatnonzero(room >= depth + jump)
         own = pointer[at]
         open_ = np.bincount(own)[own] > 1  # a bucket of one suffix is sorted already
-        now, later = own[open_], pointer[at[open_] + jump]
-        order = np.lexsort((later, now))
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = (now[order][1:] != now[order][:-1]) | (later[order][1:] != later[order][:-1])
-        number = np.empty(len(order), dtype=np.int64)
-        number[order] = np.cumsum(fresh)
-        after = np.zeros(len(data), dtype=np.int64)
-        after[at[~open_]] = len(data) + own[~open_]
-        after[at[open_]] = number
+        several = at[open_]
+        fresh = _numbers(pointer[several].astype(np.int64) * (len(data) + 1) + pointer[several + jump])
+        after = np.zeros(len(data), dtype=np.int32)
+        after[several] = fresh
+        alone = at[~open_]
+        after[alone] = int(fresh.max(initial=0)) + 1 + np.arange(len(alone))
         pointer, depth = after, depth + jump
     starts = np.flatnonzero(room >= length)
     return starts, pointer[starts]
@@ -103,12 +120,9 @@ def covered_windows(docs: np.ndarray, texts: list[bytes], length: int, q: int) -
     offsets = np.cumsum([0, *map(len, texts)])
     starts, bucket = refine(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets, length, q)
     row = np.searchsorted(offsets, starts, side="right") - 1
-    order = np.argsort(bucket, kind="stable")
-    heads = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(order) else order
-    least = np.zeros(len(starts), dtype=np.int64)
-    if len(order):
-        low = np.minimum.reduceat(docs[row[order]], heads)
-        least[order] = np.repeat(low, np.diff(np.append(heads, len(order))))
+    least = np.full(int(bucket.max(initial=0)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, bucket, docs[row])
+    least = least[bucket]
     hit = np.flatnonzero(least < docs[row])
     if not len(hit):
         return
@@ -122,9 +136,9 @@ def _name(length: int, q: int):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, offsets = joined_bytes(batch.column(1))
-            bucket, row, _, _ = window_buckets(data, offsets, length, q)
+            bucket, row, first, last = window_buckets(data, offsets, length, q)
             ids = np.asarray(batch.column(0))
-            yield pa.record_batch([pa.array(bucket), pa.array(ids[row], pa.int64())], names=["bucket", "id"])
+            yield pa.record_batch([pa.array(bucket), pa.array(ids[row], pa.int64()), pa.array((last - first + length).astype(np.int32))], names=["bucket", "id", "size"])
 
     return name
 
@@ -212,14 +226,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def dedup(df: DataFrame, *, length: int = 50, q: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(df: DataFrame, *, length: int = 50, q: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (bytes) of each row; ids are integers."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("key"), "text")
     facts = table(rows.select("id", "key", F.xxhash64("text", F.lit(1)).alias("key2"), F.octet_length("text").cast("long").alias("n_bytes")), "facts")
     total = facts.agg(F.sum("n_bytes")).head()[0] or 0
     anchor = anchor_length(total, length)
-    q = q or (length + 1) // 2
+    q = min(q, GRAM, length)
 
     least = facts.groupBy("key", "key2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     copies = table(facts.join(least, ["key", "key2"]).where("id > least").select("id", "key").distinct(), "copies")
@@ -227,8 +241,8 @@ def dedup(df: DataFrame, *, length: int = 50, q: int | None = None, id_col: str
     rows = single.unionByName(maybe.join(copies, ["id", "key"], "left_anti").select("id", "key", "text"))
 
     long = rows.where((F.octet_length("text") >= length) & F.col("id").isNotNull())
-    named = long.select("id", "text").mapInArrow(_name(length, anchor), "bucket bigint, id bigint").repartition("bucket")
-    shared = named.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", (F.col("n") > HOT_RUNS).alias("hot"))
+    named = long.select("id", "text").mapInArrow(_name(length, anchor), "bucket bigint, id bigint, size int").repartition("bucket")
+    shared = named.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("size").alias("n")).where("lo < hi").select("bucket", (F.col("n") > HOT_BYTES).alias("hot"))
     wanted = named.join(shared, "bucket").groupBy("id").agg(F.collect_set("bucket").alias("buckets"), F.collect_set(F.when(F.col("hot"), F.col("bucket"))).alias("hot_buckets"))
     wanted = table(wanted, "wanted")
 
