@@ -173,13 +173,33 @@ def _send(length: int, q: int):
 
 def _cover(length: int, q: int, most: int):
     def work(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Of equal runs one is refined, for their least document; the others are covered whole."""
         t = pa.Table.from_batches(batches)
-        docs, start, runs = np.asarray(t["id"]), t["start"].to_pylist(), t["run"].to_pylist()
-        found = list(covered_windows(docs, runs, length, q))
-        rows = [r for r, _, _ in found]
-        take = pa.array(rows, pa.int64())
+        docs, runs = np.asarray(t["id"]), t["run"].to_pylist()
+        numbers: dict[bytes, int] = {}
+        which = np.fromiter((numbers.setdefault(r, len(numbers)) for r in runs), dtype=np.int64, count=len(runs))
+        texts = list(numbers)
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, docs)
+        bucket = np.zeros(len(texts), dtype=np.int64)
+        bucket[which] = np.asarray(t["bucket"])  # equal runs share their bucket
+        _, place, several = np.unique(bucket, return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(several[place] > 1)
+        parts: dict[int, list[tuple[int, int]]] = {}
+        for r, a, z in covered_windows(least[mixed], [texts[k] for k in mixed.tolist()], length, q):
+            parts.setdefault(int(mixed[r]), []).append((a, z))
+        held = docs == least[which]
+        whole = np.flatnonzero(~held)
+        rows, first, end = [whole], [np.zeros(len(whole), dtype=np.int64)], [np.asarray([len(runs[r]) for r in whole.tolist()], dtype=np.int64)]
+        for r in np.flatnonzero(held & np.isin(which, np.asarray(list(parts), dtype=np.int64))).tolist():
+            spans = np.asarray(parts[int(which[r])])
+            rows.append(np.full(len(spans), r))
+            first.append(spans[:, 0])
+            end.append(spans[:, 1])
+        row, start = np.concatenate(rows), np.asarray(t["start"])
+        take = pa.array(row, pa.int64())
         return pa.record_batch(
-            [t["id"].take(take).combine_chunks(), t["key"].take(take).combine_chunks(), pa.array([start[r] + a for r, a, _ in found], pa.int64()), pa.array([start[r] + b for r, _, b in found], pa.int64())],
+            [t["id"].take(take).combine_chunks(), t["key"].take(take).combine_chunks(), pa.array(start[row] + np.concatenate(first), pa.int64()), pa.array(start[row] + np.concatenate(end), pa.int64())],
             names=["id", "key", "start", "end"],
         )
 
