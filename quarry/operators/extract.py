@@ -1,10 +1,8 @@
 """Structural extraction: one nested row per source file.
 
-Python is read with its own syntax tree; other languages by a line scanner that
-follows braces.  Both run in Arrow batches, the only Python on this path.  A file
-that cannot be read gives an empty record with its error.  Known limits: the
-scanner sees definitions that begin a line, and takes braces inside strings for
-braces.
+Python is read with its own syntax tree, other languages by ``scanner``.  Both run
+in Arrow batches, the only Python on this path.  A file that cannot be read gives
+an empty record with its error.
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import signals
 from quarry.functions.text import line_count
+from quarry.operators.scanner import HTTP, READERS
 
 FUNCTION = "struct<name:string,qualified_name:string,signature:string,line_start:int,line_end:int,docstring:string,decorators:array<string>,is_async:boolean,parameters:array<string>,return_type:string>"
 CLASS = f"struct<name:string,line_start:int,line_end:int,bases:array<string>,docstring:string,decorators:array<string>,methods:array<{FUNCTION}>>"
@@ -34,7 +33,6 @@ FIELDS = {
 }
 SCHEMA = "path string, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()) + ", error string"
 UPPER = re.compile(r"^[A-Z][A-Z0-9_]*$")
-HTTP = ["get", "post", "put", "delete", "patch", "head", "options"]
 ORM_BASES = ["Base", "Model", "DeclarativeBase", "SQLModel", "Document"]
 
 
@@ -68,7 +66,7 @@ def python_record(source: str) -> dict:
         elif isinstance(node, ast.ClassDef):
             bases = [ast.unparse(b) for b in node.bases]
             out["classes"].append({"name": node.name, "line_start": node.lineno, "line_end": node.end_lineno, "bases": bases, "docstring": ast.get_docstring(node), "decorators": [ast.unparse(d) for d in node.decorator_list], "methods": [_function(m, source, node.name) for m in node.body if isinstance(m, functions)]})
-            kind = next((k for b, k in (("Protocol", "interface"), ("TypedDict", "type"), ("Enum", "enum")) if any(b in x for x in bases)), None)
+            kind = next((k for b, k in (("Protocol", "protocol"), ("TypedDict", "type_alias"), ("Enum", "enum"), ("IntEnum", "enum"), ("StrEnum", "enum")) if any(x.split(".")[-1] == b for x in bases)), None)
             if kind:
                 out["type_defs"].append({"name": node.name, "kind": kind, "line_start": node.lineno, "line_end": node.end_lineno})
             if any(b.split(".")[-1] in ORM_BASES for b in bases):
@@ -81,7 +79,7 @@ def python_record(source: str) -> dict:
             elif UPPER.match(name):
                 out["constants"].append({"name": name, "value": ast.unparse(value)[:200], "line": node.lineno})
             elif isinstance(node, ast.AnnAssign) and "TypeAlias" in ast.unparse(node.annotation):
-                out["type_defs"].append({"name": name, "kind": "alias", "line_start": node.lineno, "line_end": node.end_lineno})
+                out["type_defs"].append({"name": name, "kind": "type_alias", "line_start": node.lineno, "line_end": node.end_lineno})
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
             out["imports"] += [{"module": a.name, "names": [], "is_relative": False, "alias": a.asname} for a in node.names]
@@ -96,145 +94,16 @@ def python_record(source: str) -> dict:
                         methods = [e.value for e in given.elts if isinstance(e, ast.Constant)] if isinstance(given, (ast.List, ast.Tuple)) else ["GET"]
                     out["route_handlers"] += [{"path": str(d.args[0].value), "method": m, "handler_function": node.name} for m in methods]
     if exported is not None:
-        out["exports"] = [{"name": n, "kind": "explicit"} for n in exported]
+        out["exports"] = [{"name": n, "kind": "variable"} for n in exported]
     else:
         out["exports"] = [{"name": f["name"], "kind": "function"} for f in out["functions"] if not f["name"].startswith("_")] + [{"name": c["name"], "kind": "class"} for c in out["classes"] if not c["name"].startswith("_")]
     return out
 
 
-#: Per language: what begins a function, a class-like block, a type, an import, a constant; named groups are read.
-SCAN = {
-    "go": {
-        "function": r"^func\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?\((?P<params>[^)]*)\)\s*(?P<returns>[^{]*)\{",
-        "class": r"^type\s+(?P<name>\w+)\s+struct\b",
-        "type": r"^type\s+(?P<name>\w+)\s+(?P<kind>interface|struct|=?\s*[\w.*\[\]]+)",
-        "import": r'^\s*(?:import\s+)?(?:(?P<alias>[\w.]+)\s+)?"(?P<module>[\w./-]+)"\s*$',
-        "constant": r"^(?:const\s+|\t)(?P<name>[A-Za-z_]\w*)(?:\s+\w+)?\s*=\s*(?P<value>.+)$",
-        "public": r"^[A-Z]",
-    },
-    "rust": {
-        "function": r"^\s*(?P<pub>pub(?:\([^)]*\))?\s+)?(?P<async>async\s+)?(?:const\s+|unsafe\s+)*fn\s+(?P<name>\w+)\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)\s*(?:->\s*(?P<returns>[^{;]+))?",
-        "class": r"^\s*(?P<pub>pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)",
-        "type": r"^\s*(?P<pub>pub(?:\([^)]*\))?\s+)?(?P<kind>struct|enum|trait|type)\s+(?P<name>\w+)",
-        "import": r"^\s*(?:pub\s+)?use\s+(?P<module>[\w:]+?)(?:::\{(?P<names>[^}]*)\})?(?:\s+as\s+(?P<alias>\w+))?;",
-        "constant": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(?P<name>[A-Z_]\w*)\s*:[^=]+=\s*(?P<value>[^;]+);",
-        "owner": r"^\s*impl(?:<[^>]*>)?\s+(?P<owner>\w+)",
-        "public": r"^",
-    },
-    "java": {
-        "function": r"^\s+(?P<mods>(?:public|protected|private|static|final|abstract|synchronized)\s+)+(?:<[^>]+>\s+)?(?P<returns>[\w<>\[\],.? ]+?)\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?:throws[\w\s,.]+)?[{;]",
-        "class": r"^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*(?:class|record)\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>\w+))?",
-        "type": r"^\s*(?:(?:public|protected|private|static)\s+)*(?P<kind>interface|@interface|enum)\s+(?P<name>\w+)",
-        "import": r"^\s*import\s+(?:static\s+)?(?P<module>[\w.]+)(?:\.(?P<names>\*))?;",
-        "constant": r"^\s*(?:(?:public|protected|private)\s+)?(?:static\s+final|final\s+static)\s+[\w<>\[\]]+\s+(?P<name>\w+)\s*=\s*(?P<value>[^;]+);",
-        "public": r"^",
-    },
-    "typescript": {
-        "function": r"^\s*(?P<pub>export\s+(?:default\s+)?)?(?P<async>async\s+)?(?:function\s*\*?\s*(?P<name>\w+)\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)\s*(?::\s*(?P<returns>[^{]+))?|(?:const|let)\s+(?P<arrow>\w+)[^=]*=\s*(?:async\s*)?\((?P<aparams>[^)]*)\)[^=]*=>)",
-        "class": r"^\s*(?P<pub>export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(?P<name>\w+)(?:<[^>]*>)?(?:\s+extends\s+(?P<bases>[\w.]+))?",
-        "type": r"^\s*(?P<pub>export\s+)?(?:declare\s+)?(?:const\s+)?(?P<kind>interface|type|enum)\s+(?P<name>\w+)",
-        "import": r"""^\s*(?:import\s+(?:type\s+)?(?:(?P<alias>\w+)\s*,?\s*)?(?:\{(?P<names>[^}]*)\})?(?:\*\s+as\s+\w+)?\s*(?:from\s+)?["'](?P<module>[^"']+)["']|(?:const|let|var)\s+\{?(?P<required>[^=}]*)\}?\s*=\s*require\(["'](?P<rmodule>[^"']+)["']\))""",
-        "constant": r"^\s*(?:export\s+)?const\s+(?P<name>[A-Z][A-Z0-9_]*)\b[^=]*=\s*(?P<value>.+?);?$",
-        "public": r"^",
-    },
-}
-SCAN["javascript"] = SCAN["typescript"]
-ROUTES = {
-    "go": [r'(?:HandleFunc|Handle)\(\s*"(?P<path>[^"]+)"\s*,\s*(?:\w+\.)?(?P<handler>\w+)', r'\.(?P<method>GET|POST|PUT|DELETE|PATCH)\(\s*"(?P<path>[^"]+)"\s*,\s*(?:\w+\.)?(?P<handler>\w+)'],
-    "rust": [r'#\[(?P<method>get|post|put|delete|patch)\("(?P<path>[^"]+)"', r'\.route\(\s*"(?P<path>[^"]+)"\s*,\s*(?:\w+::)?(?P<method>get|post|put|delete|patch)\((?P<handler>\w+)'],
-    "java": [r'@(?P<method>Get|Post|Put|Delete|Patch)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?"(?P<path>[^"]+)"'],
-    "typescript": [r"""\b(?:app|router|server)\.(?P<method>get|post|put|delete|patch)\(\s*["'](?P<path>[^"']+)["']\s*,\s*(?:\w+\s*,\s*)*(?P<handler>\w+)?"""],
-}
-ROUTES["javascript"] = ROUTES["typescript"]
-
-
-def _split(text: str | None) -> list[str]:
-    return [p.strip() for p in (text or "").split(",") if p.strip()]
-
-
-def scanned_record(source: str, language: str) -> dict:
-    rules = {k: re.compile(v) for k, v in SCAN[language].items()}
-    lines = source.split("\n")
-    out: dict = {k: [] for k in FIELDS}
-    owners: list[tuple[str, int]] = []
-
-    def end_of(k: int) -> int:
-        level, seen = 0, False
-        for j in range(k, len(lines)):
-            level += lines[j].count("{") - lines[j].count("}")
-            seen = seen or "{" in lines[j]
-            if (seen and level <= 0) or (not seen and lines[j].rstrip().endswith(";")):
-                return j + 1
-        return len(lines)
-
-    classes: dict[str, dict] = {}
-    for k, line in enumerate(lines):
-        owners = [o for o in owners if o[1] > k]
-        docs = [x.strip().lstrip("/*! ") for x in lines[max(0, k - 3) : k] if re.match(r"\s*(//|\*|/\*)", x)]
-        marks = [x.strip().lstrip("@#[").rstrip("]") for x in lines[max(0, k - 3) : k] if re.match(r"\s*(@\w|#\[)", x)]
-        if "owner" in rules and (m := rules["owner"].match(line)):
-            owners.append((m["owner"], end_of(k)))
-        if m := rules["class"].match(line):
-            end = end_of(k)
-            record = {"name": m["name"], "line_start": k + 1, "line_end": end, "bases": _split(m.groupdict().get("bases")), "docstring": docs[0] if docs else None, "decorators": marks, "methods": []}
-            classes[m["name"]] = record
-            out["classes"].append(record)
-            if language in ("java", "typescript", "javascript"):
-                owners.append((m["name"], end))
-            fields = [x.group(1) for x in re.finditer(r"^\s+(?:pub\s+|private\s+|public\s+|protected\s+)?(?:[\w<>\[\]]+\s+)?(\w+)\s*(?::|;|=|\s+\w+\s+`)", "\n".join(lines[k + 1 : end]), re.M)]
-            if any(re.search(r"Entity|Table|Queryable|Insertable|FromRow|sqlx", d) for d in marks) or re.search(r'`[^`]*(?:gorm|db):"', "\n".join(lines[k:end])):
-                out["db_models"].append({"name": m["name"], "fields": fields})
-            out["exports"].append({"name": m["name"], "kind": "class"})
-        if m := rules["type"].match(line):
-            kind = {"trait": "interface", "@interface": "annotation", "type": "alias"}.get(m["kind"], m["kind"] if m["kind"] in ("struct", "enum", "interface") else "alias")
-            out["type_defs"].append({"name": m["name"], "kind": kind, "line_start": k + 1, "line_end": end_of(k)})
-            if kind != "struct":
-                out["exports"].append({"name": m["name"], "kind": "type"})
-        if m := rules["function"].match(line):
-            g = m.groupdict()
-            name = g.get("name") or g.get("arrow")
-            if name and name not in ("if", "for", "while", "switch", "return"):
-                owner = g.get("owner") or (owners[-1][0] if owners else None)
-                record = {"name": name, "qualified_name": f"{owner}.{name}" if owner else name, "signature": line.strip().rstrip("{").strip(), "line_start": k + 1, "line_end": end_of(k), "docstring": docs[0] if docs else None, "decorators": marks, "is_async": bool(g.get("async")), "parameters": _split(g.get("params") or g.get("aparams")), "return_type": (g.get("returns") or "").strip() or None}
-                if owner and owner in classes:
-                    classes[owner]["methods"].append(record)
-                if language in ("go", "rust", "java") or not owner:
-                    out["functions"].append(record)
-                if not owner:
-                    out["exports"].append({"name": name, "kind": "function"})
-        if m := rules["import"].match(line):
-            g = m.groupdict()
-            module = g.get("module") or g.get("rmodule")
-            out["imports"].append({"module": module, "names": _split(g.get("names") or g.get("required")), "is_relative": module.startswith("."), "alias": g.get("alias")})
-        if m := rules["constant"].match(line):
-            out["constants"].append({"name": m["name"], "value": m["value"].strip()[:200], "line": k + 1})
-            if language in ("go", "typescript", "javascript"):
-                out["exports"].append({"name": m["name"], "kind": "constant"})
-    if language == "go":
-        out["exports"] = [e for e in out["exports"] if e["name"][:1].isupper()]
-    if language in ("rust", "typescript", "javascript"):
-        word = "pub" if language == "rust" else "export"
-        shown = {x.group(1) for x in re.finditer(rf"^\s*{word}\b[^\n]*?\b(?:fn|struct|enum|trait|type|const|static|function|class|interface|let)\s+(\w+)", source, re.M)}
-        out["exports"] = [e for e in out["exports"] if e["name"] in shown]
-    if language == "java":
-        shown = {x.group(1) for x in re.finditer(r"^\s*public\s+(?:\w+\s+)*(?:class|interface|enum|record)\s+(\w+)", source, re.M)}
-        out["exports"] = [e for e in out["exports"] if e["name"] in shown]
-    seen = set()
-    for pattern in ROUTES[language]:
-        for m in re.finditer(pattern, source):
-            g = m.groupdict()
-            after = re.search(r"\b(?:fn|public\s+[\w<>]+)\s+(\w+)\s*\(", source[m.end() :])
-            key = (g["path"], (g.get("method") or "*").upper())
-            if key not in seen:
-                seen.add(key)
-                out["route_handlers"].append({"path": key[0], "method": key[1], "handler_function": g.get("handler") or (after[1] if after else None)})
-    return out
-
-
-def record(source: str, language: str) -> dict:
+def record(source: str, language: str, path: str = "") -> dict:
     if language == "python":
         return python_record(source)
-    return scanned_record(source, language)
+    return READERS[language](source, path)
 
 
 def extractions(files: DataFrame) -> DataFrame:
@@ -246,8 +115,8 @@ def extractions(files: DataFrame) -> DataFrame:
             for path, language, text in zip(pdf["path"], pdf["language"], pdf["text"], strict=True):
                 row: dict = {k: [] for k in FIELDS} | {"path": path, "error": None}
                 try:
-                    if language in SCAN or language == "python":
-                        row |= record(text or "", language)
+                    if language in READERS or language == "python":
+                        row |= record(text or "", language, path)
                 except (SyntaxError, ValueError, RecursionError) as e:
                     row["error"] = f"{type(e).__name__}: {e}"[:200]
                 rows.append(row)
