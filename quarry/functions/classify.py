@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import basename
-
 # Fixed values.
 SKIP_DIRS = ["node_modules", ".git", "__pycache__", ".next", "dist", "build", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", "vendor", ".cargo", "target", ".eggs", "__pypackages__", ".ruff_cache"]
 REFRESH_SKIP_DIRS = SKIP_DIRS[:14]
@@ -16,41 +16,44 @@ CONFIG_NAMES = ["package.json", "tsconfig.json", "pyproject.toml", "dockerfile",
 CONFIG_PREFIXES = [".env", ".eslintrc", ".prettierrc"]
 CONFIG_STEMS = ["jest.config", "webpack.config", "vite.config", "next.config"]
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".go": "go", ".rs": "rust", ".java": "java"}
+TEST_DIRS = ["test", "tests", "__tests__", "spec"]
+DOC_ENDINGS = [".md", ".mdx", ".rst"]
+DOC_STEMS = ["license", "changelog", "contributing"]
 MAX_BYTES = 100 * 1024
 
 
-def _any_of(endings: list[str]) -> str:
-    return "(" + "|".join(e.replace(".", r"\.") for e in endings) + ")$"
+def _either(words: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+
+
+# Each rule is one pattern over the whole path, its last part being what follows the last slash: a filter that names
+# the base name in every rule repeats it there, and the repeats outgrow what Spark compiles.
 
 
 def in_skipped_dir(path: Column, names: list[str] | None = None) -> Column:
-    parents = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    return F.arrays_overlap(parents, F.array(*map(F.lit, names or SKIP_DIRS)))
+    return path.rlike(f"(?:^|/){_either(names or SKIP_DIRS)}/")
 
 
 def has_skipped_suffix(path: Column) -> Column:
-    return F.lower(basename(path)).rlike(_any_of(SKIP_SUFFIXES))
+    return path.rlike(f"(?i){_either(SKIP_SUFFIXES)}$")
 
 
 def is_binary_name(path: Column) -> Column:
-    return F.lower(basename(path)).rlike(_any_of(BINARY_EXTENSIONS))
+    return path.rlike(f"(?i){_either(BINARY_EXTENSIONS)}$")
 
 
 def is_test(path: Column) -> Column:
-    dirs = path.rlike(r"(^|/)(tests?|__tests__|spec)/")
-    return dirs | F.lower(basename(path)).rlike(r"^test_[^/]*\.[^/]+$|_test\.[^/]+$|\.test\.[^/]+$|\.spec\.[^/]+$|_spec\.[^/]+$")
+    """Below a folder of tests, or named so: a test_ before the stem, or a test or spec after it."""
+    return path.rlike(f"(?:^|/){_either(TEST_DIRS)}/") | path.rlike(r"(?i)(?:^|/)test_[^/]*\.[^/]+$|(?:[._]test|[._]spec)\.[^/]+$")
 
 
 def is_config(path: Column) -> Column:
-    name = F.lower(basename(path))
-    hit = name.isin(CONFIG_NAMES) | (F.instr(name, ".config") > 1)
-    for prefix in CONFIG_PREFIXES + CONFIG_STEMS:
-        hit |= name.startswith(prefix)
-    return hit
+    """A known name, a known beginning, or .config inside a name."""
+    return path.rlike(f"(?i)(?:^|/)(?:{_either(CONFIG_NAMES)}|{_either(CONFIG_PREFIXES + CONFIG_STEMS)}[^/]*|[^/]+\\.config[^/]*)$")
 
 
 def is_doc(path: Column) -> Column:
-    return F.lower(basename(path)).rlike(r"\.(md|mdx|rst)$|^(license|changelog|contributing)")
+    return path.rlike(f"(?i){_either(DOC_ENDINGS)}$|(?:^|/){_either(DOC_STEMS)}[^/]*$")
 
 
 def file_type(path: Column) -> Column:
@@ -60,7 +63,7 @@ def file_type(path: Column) -> Column:
 def language(path: Column) -> Column:
     """Language by extension; null when unknown."""
     pairs = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    return pairs[F.lower(F.regexp_extract(basename(path), r"(\.[^.]+)$", 1))]
+    return pairs[F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))]
 
 
 def language_list(text: Column) -> Column:

@@ -41,7 +41,7 @@ HOT_BYTES = 4 << 20
 #: Bytes of the first buckets' q-grams; shorter windows begin with themselves.
 GRAM = 8
 #: Bytes of bucket text that a task refines at a time.
-REFINE_BYTES = 4 << 20
+REFINE_BYTES = 1 << 20
 
 
 def anchor_length(total_bytes: int, length: int) -> int:

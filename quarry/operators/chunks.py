@@ -103,13 +103,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, query: DataFrame, *, where: Column | None = None, k: int = KEEP, fetch: int = RESULTS, key: str = "vec_id") -> DataFrame:
+def nearest(vectors: DataFrame, query: DataFrame, *, where: Column | None = None, on: str | None = None, k: int = KEEP, fetch: int = RESULTS, key: str = "vec_id") -> DataFrame:
     """The ``k`` most similar rows to each query vector (query_id, query), after a filter on the rows.
 
-    Queries are few and given, so they go to all tasks (checked by Spark's size
-    rule); each task keeps ``fetch`` rows a query before the final ones meet.
+    With ``on``, a query meets the rows of its own value of that column only.
+    Queries are given and few beside the rows; each task keeps ``k`` rows a query
+    before the final ones meet, by Spark's group limit.
     """
     rows = vectors.where(where) if where is not None else vectors
-    scored = rows.crossJoin(query).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
+    scored = (rows.join(query, on) if on else rows.crossJoin(query)).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= min(k, fetch))

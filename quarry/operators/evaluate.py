@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scores
-from quarry.functions.text import basename, common_prefix_parts, module_of_document, normal_name
+from quarry.functions.text import basename, module_of_document, normal_name
+from quarry.sources.scratch import cut
 
 SYNTHESIS = ["project-overview.md", "conventions.md", "AGENTS.md"]  # fixed values
 
@@ -68,32 +69,39 @@ def best_rank_by_file(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("file").agg(F.greatest(F.max("pagerank"), F.lit(0.0)).alias("rank"))
 
 
-def mentioned(paths: DataFrame, docs: DataFrame) -> DataFrame:
-    """Paths that some document names in full or by base name.
+def mentioned(subjects: DataFrame, docs: DataFrame) -> DataFrame:
+    """Subjects (subject) that some text of ``docs`` contains.
 
-    The documents of one repository are few and their number is checked: beyond
-    ``broadcast`` size Spark falls back to its own nested loop.
+    An occurrence holds the subject's longest word inside one word of the text, so
+    that word is looked up by an equi join among all parts of the texts' different
+    words, no part longer than the longest such word.  A subject without white space
+    is then found; one with more words is verified in the texts that hold the part.
     """
-    named = F.col("text").contains(F.col("path")) | F.col("text").contains(basename(F.col("path")))
-    return paths.join(docs.select("text"), named, "left_semi")
+    longest = F.array_max(F.transform(F.split("subject", r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    keys = subjects.select("subject").distinct().where("trim(subject) <> ''").withColumn("part", longest["w"])
+    most = keys.agg(F.coalesce(F.max(F.length("part")), F.lit(0))).head()[0]
+    texts = cut(docs.select(F.xxhash64("text").alias("doc"), "text").dropDuplicates(["doc", "text"]))
+    words = cut(texts.select("doc", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''"))
+    at = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    parts = at.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(max(most, 1)), F.length("word") - F.col("at") + 1)), lambda n: F.col("word").substr(F.col("at"), n))).alias("part"))
+    hits = cut(keys.join(parts, "part").select("subject", "word").distinct())
+    plain = ~F.col("subject").rlike(r"\s")
+    single = hits.where(plain).select("subject")
+    several = hits.where(~plain).join(words, "word").select("subject", "doc").distinct().join(texts, "doc").where(F.col("text").contains(F.col("subject"))).select("subject")
+    return single.unionByName(several).distinct()
 
 
 def gaps(files: DataFrame, entities: DataFrame, configs: DataFrame, docs: DataFrame) -> DataFrame:
     """(gap_type, subject, severity): files, entities and signalled configurations that no document mentions.
 
-    files (path, rank), entities (name, pagerank), configs (path, signals).
+    files (path, rank), entities (name, pagerank), configs (path, signals).  A path
+    is mentioned by its base name, which the whole path holds too.
     """
-    text = docs.select("text")
-    kinds = [
-        (files.select(F.lit("uncovered_file").alias("gap_type"), F.col("path").alias("subject"), F.least("rank", F.lit(1.0)).alias("severity")), True),
-        (entities.select(F.lit("missing_entity").alias("gap_type"), F.col("name").alias("subject"), F.least("pagerank", F.lit(1.0)).alias("severity")), False),
-        (configs.where("signals > 0").select(F.lit("orphan_config").alias("gap_type"), F.col("path").alias("subject"), F.least(0.2 * F.col("signals"), F.lit(1.0)).alias("severity")), True),
-    ]
-    out = []
-    for df, by_path in kinds:
-        hit = F.col("text").contains(F.col("subject"))
-        out.append(df.join(text, hit | F.col("text").contains(basename(F.col("subject"))) if by_path else hit, "left_anti"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    found = files.select(F.lit("uncovered_file").alias("gap_type"), F.col("path").alias("subject"), F.least("rank", F.lit(1.0)).alias("severity"), basename(F.col("path")).alias("key"))
+    found = found.unionByName(entities.select(F.lit("missing_entity").alias("gap_type"), F.col("name").alias("subject"), F.least("pagerank", F.lit(1.0)).alias("severity"), F.col("name").alias("key")))
+    found = found.unionByName(configs.where("signals > 0").select(F.lit("orphan_config").alias("gap_type"), F.col("path").alias("subject"), F.least(0.2 * F.col("signals"), F.lit(1.0)).alias("severity"), basename(F.col("path")).alias("key")))
+    told = mentioned(found.select(F.col("key").alias("subject")), docs)
+    return found.join(told.withColumnRenamed("subject", "key"), "key", "left_anti").drop("key")
 
 
 def ranked_gaps(found: DataFrame) -> DataFrame:
@@ -118,7 +126,3 @@ def suggest_module(paths: DataFrame, module_files: DataFrame) -> DataFrame:
     per_head = heads(module_files, "module", "path").groupBy("head").agg(F.min("module").alias("near"))
     best = heads(own.where("own is null").select("path"), "path").join(per_head, "head").groupBy("path").agg(F.max_by("near", "n").alias("near"))
     return own.join(best, "path", "left").select("path", F.coalesce("own", "near", F.lit("")).alias("module"))
-
-
-def shared_parts(a: Column, b: Column) -> Column:
-    return common_prefix_parts(a, b)

@@ -96,7 +96,8 @@ def python_record(source: str) -> dict:
     if exported is not None:
         out["exports"] = [{"name": n, "kind": "variable"} for n in exported]
     else:
-        out["exports"] = [{"name": f["name"], "kind": "function"} for f in out["functions"] if not f["name"].startswith("_")] + [{"name": c["name"], "kind": "class"} for c in out["classes"] if not c["name"].startswith("_")]
+        kinds = {ast.ClassDef: "class", ast.FunctionDef: "function", ast.AsyncFunctionDef: "function"}
+        out["exports"] = [{"name": n.name, "kind": kinds[type(n)]} for n in tree.body if type(n) in kinds and not n.name.startswith("_")]
     return out
 
 

@@ -7,14 +7,12 @@ the checkpoint folder, so a lost executor costs at most one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import short_label
-from quarry.sources.scratch import cut
+from quarry.sources.scratch import cut, numbered
 
 # Fixed values.
 PASSES = ["IMPORTS", "CALLS", "CONTAINS", "INHERITS", "HANDLES"]
@@ -77,24 +75,27 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
     """(id, pagerank): unweighted, uniform restart, dangling mass spread evenly.
 
     ``rounds`` fixes the number of rounds; else they end when the total change is
-    under ``tolerance`` a node.  Edges are dealt out by source once; each round
-    sends one partial sum a target and task.
+    under ``tolerance`` a node.  Edges and degrees are written once, dealt out by
+    source; in a round the nodes join their own partial sums, so one shuffle of at
+    most one row a target and task carries it.
     """
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = edges.join(out, "src").select("src", "dst", "degree").repartition("src").persist()
-    rank = nodes.select("id", F.lit(1.0 / n).alias("pagerank"), F.lit(0.0).alias("change"))
-    sinks = nodes.join(out.select(F.col("src").alias("id")), "id", "left_anti").select("id")
+    out = cut(edges.groupBy("src").agg(F.count("*").alias("degree")))
+    links = cut(edges.join(out, "src").select("src", "dst", (1 / F.col("degree")).alias("share")).repartition("src"))
+    known = nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(False).alias("sink")), "id", "left")
+    rank = cut(known.select("id", F.coalesce("sink", F.lit(True)).alias("sink"), F.lit(1.0 / n).alias("pagerank")))
+    lost = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("pagerank"))), F.lit(0.0))).head()[0]
+    none = F.lit(None)
     for _ in range(rounds if rounds is not None else most):
-        lost = rank.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
-        sent = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("pagerank") / F.col("degree")).alias("got"))
-        fresh = rank.join(sent, rank["id"] == sent["dst"], "left").crossJoin(F.broadcast(lost))  # one row
-        value = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        rank = fresh.select("id", value.alias("pagerank"), F.abs(value - F.col("pagerank")).alias("change"))
-        rank = cut(rank)
-        if rounds is None and rank.agg(F.sum("change")).head()[0] < n * tolerance:
+        got = links.join(rank.select(F.col("id").alias("src"), "pagerank"), "src").select(F.col("dst").alias("id"), (F.col("pagerank") * F.col("share")).alias("got"), none.cast("boolean").alias("sink"), none.cast("double").alias("before"))
+        own = rank.select("id", F.lit(0.0).alias("got"), "sink", F.col("pagerank").alias("before"))
+        sums = got.unionByName(own).groupBy("id").agg(F.sum("got").alias("got"), F.max("sink").alias("sink"), F.max("before").alias("before")).where("before is not null")
+        value = F.lit((1 - damping) / n + damping * lost / n) + damping * F.col("got")
+        rank = cut(sums.select("id", "sink", value.alias("pagerank"), "before"))
+        lost, change = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("pagerank"))), F.lit(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).head()
+        if rounds is None and change < n * tolerance:
             break
     return rank.select("id", "pagerank")
 
@@ -289,8 +290,7 @@ def communities(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0,
 
     grouped = every.groupBy("component").applyInPandas(cluster, "id string, lead string")
     leads = grouped.select(F.col("lead").alias("id")).distinct().join(nodes.select("id", "ord"), "id")
-    numbered = leads.select(F.col("id").alias("lead"), (F.row_number().over(Window.orderBy("ord", "id")) - 1).cast("long").alias("community"))
-    return grouped.join(numbered, "lead").select("id", "community")
+    return grouped.join(numbered(leads, "community", "ord", "id").select(F.col("id").alias("lead"), "community"), "lead").select("id", "community")
 
 
 def module_subgraph(edges: DataFrame, modules: DataFrame, module: str, most: int = 60) -> DataFrame:
@@ -302,8 +302,7 @@ def module_subgraph(edges: DataFrame, modules: DataFrame, module: str, most: int
     return touching.select(label.alias("label")).distinct().orderBy("label").limit(most)
 
 
-def batches_of(df: DataFrame, size: int, order: str) -> Iterator[DataFrame]:
-    """Slices of a table by order, as an upsert in batches needs them."""
-    numbered = df.withColumn("_b", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
-    for r in numbered.select("_b").distinct().orderBy("_b").toLocalIterator():
-        yield numbered.where(F.col("_b") == r["_b"]).drop("_b")
+def module_crossings(edges: DataFrame, modules: DataFrame, module: str, most: int = 40) -> DataFrame:
+    """The crossing edges of one module, either way: the first ``most`` by source and target."""
+    ends = crossing_edges(edges, modules).where((F.col("source_module") == module) | (F.col("target_module") == module))
+    return ends.select("source_module", "target_module", short_label(F.col("src")).alias("source"), short_label(F.col("dst")).alias("target"), "relation").orderBy("source_module", "target_module", "source", "target").limit(most)

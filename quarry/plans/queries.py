@@ -83,9 +83,9 @@ def _(s, d):
     return view(s, d, "v_files").select("path", classify.has_skipped_suffix(F.col("path")).alias("suffix"), classify.is_binary_name(F.col("path")).alias("binary_name"))
 
 
-@query("f4_size_cap", "SELECT path FROM v_files WHERE size_bytes <= 3000", "v_files")
+@query("f4_size_cap", CLASSIFIED.replace("size_bytes <=", "size_bytes * 16 <=") + "SELECT path FROM f", "v_files")
 def _(s, d):
-    return view(s, d, "v_files").where(F.col("size_bytes") <= 3000).select("path")
+    return view(s, d, "v_files").where(classify.is_discovered(F.col("path"), F.col("size_bytes") * 16)).select("path")
 
 
 @query("f5_ignore", r"SELECT path FROM v_files WHERE NOT (regexp_matches(path, '(^|/)docs/') OR regexp_matches(path, '\.rs$') OR regexp_matches(path, '^src1/en/'))", "v_files")
@@ -129,7 +129,7 @@ def _(s, d):
 
 @query("s5_census", "SELECT regexp_extract(path, '(\\.[^./]+)$', 1) AS extension, count(*) AS n FROM v_files GROUP BY 1", "v_files")
 def _(s, d):
-    return view(s, d, "v_files").groupBy(F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("extension")).agg(F.count("*").alias("n"))
+    return repo.census(view(s, d, "v_files"))
 
 
 @query("s21_c15_hash", "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents")
@@ -179,10 +179,10 @@ def _(s, d):
 
 
 @query("w4_around_lines", r"""
-WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i) WHERE doc_id % 20 = 0 AND NOT suffix(text, chr(10)))
+WITH l AS (SELECT doc_id, i, string_split(regexp_replace(text, '\r?\n$', ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(regexp_replace(text, '\r?\n$', ''), chr(10))) + 1)) AS r(i))
 SELECT doc_id, i::BIGINT AS line_number, len(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING))::BIGINT AS n FROM l""")
 def _(s, d):
-    rows = signals.lines(table(s, d, "documents").where("doc_id % 20 = 0 and not endswith(text, '\n')").select("doc_id", "text"))
+    rows = signals.lines(table(s, d, "documents").select("doc_id", "text"), ends="\n")
     return rows.select("doc_id", "line_number", F.length(signals.around("line", -3, 2, key="doc_id")).alias("n"))
 
 
@@ -256,11 +256,11 @@ def _(s, d):
 
 
 @query("j17_handles", """
-WITH r AS (SELECT 'route::' || c_name AS id, file, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Customer#000000001' END AS handler FROM customer JOIN v_place ON (c_nationkey + c_custkey % 2) % 25 = nk WHERE c_custkey <= 60),
+WITH r AS (SELECT 'route::' || c_name AS id, file, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Customer#000000001' END AS handler FROM customer JOIN v_place ON (c_nationkey + c_custkey % 2) % 25 = nk),
 h AS (SELECT r.id AS src, n.id AS dst FROM r JOIN v_nodes n ON n.kind = 'function' AND n.name = handler AND n.file = r.file)
 SELECT src, dst, 'HANDLES' AS relation FROM h UNION ALL SELECT r.id, n.id, 'HANDLES' FROM r JOIN v_nodes n ON n.kind = 'function' AND n.name = handler WHERE r.id NOT IN (SELECT src FROM h)""", "v_nodes")
 def _(s, d):
-    c = table(s, d, "customer").where("c_custkey <= 60").withColumn("nk", ((F.col("c_nationkey") + F.col("c_custkey") % 2) % 25).cast("int"))
+    c = table(s, d, "customer").withColumn("nk", ((F.col("c_nationkey") + F.col("c_custkey") % 2) % 25).cast("int"))
     routes = c.join(view(s, d, "v_place").select("nk", "file"), "nk").select(F.concat(F.lit("route::"), "c_name").alias("id"), "file", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("Customer#000000001").alias("handler"))
     return graph.handles(routes, view(s, d, "v_nodes"))
 
@@ -417,24 +417,24 @@ def _imports(s, d):
 
 
 @query("j1_j4_imports_python", """
-WITH i AS (SELECT imp, file, module, wanted, replace(module, '.', '/') AS stem FROM v_imports WHERE language = 'python' AND imp % 10 <> 0), f AS (SELECT file AS path FROM v_place),
+WITH i AS (SELECT imp, file, module, wanted, replace(module, '.', '/') AS stem FROM v_imports WHERE language = 'python'), f AS (SELECT file AS path FROM v_place),
 t AS (SELECT imp, path, CASE path WHEN stem || '/__init__.py' THEN 1 WHEN stem || '.py' THEN 2 WHEN stem || '/' || wanted || '.py' THEN 3 ELSE 4 END AS p FROM i JOIN f ON path IN (stem || '/__init__.py', stem || '.py', stem || '/' || wanted || '.py', stem || '/' || wanted || '/__init__.py')),
 e AS (SELECT imp, arg_min(path, p) AS path FROM t GROUP BY imp), z AS (SELECT imp, min(path) AS path FROM i JOIN f ON suffix(path, stem || '.py') OR suffix(path, stem || '/__init__.py') GROUP BY imp)
 SELECT i.imp, coalesce(e.path, z.path, module) AS target, CASE WHEN e.path IS NOT NULL THEN 'exact' WHEN z.path IS NOT NULL THEN 'fuzzy' ELSE 'unresolved' END AS resolution FROM i LEFT JOIN e USING (imp) LEFT JOIN z USING (imp)""", "v_imports")
 def _(s, d):
-    rows = _imports(s, d).where("language = 'python' and imp % 10 <> 0")
+    rows = _imports(s, d).where("language = 'python'")
     return resolve.resolve_python(rows, view(s, d, "v_place").select(F.col("file").alias("path"))).select("imp", "target", "resolution")
 
 
 @query("j2_imports_script", """
 WITH f AS (SELECT r_name || '/' || n_name || CASE nk % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.tsx' END AS path FROM v_place),
-i AS (SELECT imp, module, language, CASE imp % 10 WHEN 4 THEN split_part(file, '/', 1) || '/' || wanted WHEN 8 THEN wanted ELSE regexp_replace(module, '^[./]+', '') END AS stem FROM v_imports WHERE language <> 'python' AND imp % 10 <> 3),
+i AS (SELECT imp, module, language, CASE imp % 10 WHEN 4 THEN split_part(file, '/', 1) || '/' || wanted WHEN 8 THEN wanted ELSE regexp_replace(module, '^[./]+', '') END AS stem FROM v_imports WHERE language <> 'python'),
 x AS (SELECT * FROM (VALUES ('typescript', '.ts', 1), ('typescript', '.tsx', 2), ('typescript', '.js', 3), ('typescript', '.jsx', 4), ('javascript', '.js', 1), ('javascript', '.jsx', 2), ('javascript', '.ts', 3), ('javascript', '.tsx', 4)) AS t(language, e, k)),
 c AS (SELECT imp, stem || e AS path, k AS p FROM i JOIN x USING (language) UNION ALL SELECT imp, stem, 5 FROM i UNION ALL SELECT imp, stem || '/index' || e, 5 + k FROM i JOIN x USING (language)),
 y AS (SELECT imp, arg_min(path, p) AS path FROM c JOIN f USING (path) GROUP BY imp), z AS (SELECT imp, min(path) AS path FROM i JOIN f ON suffix(regexp_replace(path, '\\.[^./]*$', ''), stem) GROUP BY imp)
 SELECT i.imp, coalesce(y.path, z.path, module) AS target, CASE WHEN y.path IS NOT NULL THEN 'exact' WHEN z.path IS NOT NULL THEN 'fuzzy' ELSE 'unresolved' END AS resolution FROM i LEFT JOIN y USING (imp) LEFT JOIN z USING (imp)""", "v_imports")
 def _(s, d):
-    rows = _imports(s, d).where("language <> 'python' and imp % 10 <> 3")
+    rows = _imports(s, d).where("language <> 'python'")
     paths = view(s, d, "v_place").select(F.concat("r_name", F.lit("/"), "n_name", F.expr("CASE nk % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.tsx' END")).alias("path"))
     return resolve.resolve_script(rows, paths, {"@app/": ""}).select("imp", "target", "resolution")
 
@@ -477,44 +477,46 @@ def _(s, d):
     return resolve.super_calls(m, bases, names)
 
 
-@query("j13_local_returns", "SELECT DISTINCT a.file, a.name, b.name AS callee FROM v_functions a JOIN v_functions b ON a.file = b.file AND a.cls = b.cls AND a.name <> b.name", "v_functions")
+@query("j13_local_returns", "SELECT DISTINCT a.file, a.name, b.name AS callee FROM v_functions a JOIN v_functions b ON a.file = b.file AND contains(a.return_type, b.name) AND a.name <> b.name", "v_functions")
 def _(s, d):
-    return _exact_returns(view(s, d, "v_functions").select("file", "cls", "name").distinct())
+    f = view(s, d, "v_functions").select("file", "name", "return_type").distinct()
+    return resolve.local_return_calls(f).distinct()
 
 
-def _exact_returns(f: DataFrame) -> DataFrame:
-    pair = f.join(f.select("file", "cls", F.col("name").alias("other")), ["file", "cls"]).where("name <> other")
-    tagged = pair.select(F.concat_ws("@", "file", "cls", "name", "other").alias("file"), "name", F.concat(F.lit("list["), "other", F.lit("]")).alias("return_type"))
-    other = pair.select(F.concat_ws("@", "file", "cls", "name", "other").alias("file"), F.col("other").alias("name"), F.lit("none").alias("return_type"))
-    found = resolve.local_return_calls(tagged.unionByName(other))
-    return found.select(F.split_part("file", F.lit("@"), F.lit(1)).alias("file"), "name", "callee").distinct()
+J14 = """
+WITH s AS (SELECT DISTINCT file || '::' || name AS qname, name AS short_name, file FROM v_functions), c AS (SELECT k AS call, CASE k % 3 WHEN 0 THEN file || '::' || name WHEN 1 THEN name ELSE 'zz' || name END AS callee, file AS target_file, name, k FROM v_functions),
+sh AS (SELECT short_name, min(qname) AS only_one, count(DISTINCT file) AS n FROM s GROUP BY 1)
+SELECT call, coalesce(e.qname, CASE WHEN n = 1 THEN only_one END, t.qname) AS resolved FROM c LEFT JOIN s e ON e.qname = callee LEFT JOIN sh ON sh.short_name = CASE WHEN k % 3 = 2 THEN 'zz' || name ELSE name END LEFT JOIN s t ON t.file = target_file AND t.short_name = CASE WHEN k % 3 = 2 THEN 'zz' || name ELSE name END"""
 
 
-@query("j14_callees", """
-WITH s AS (SELECT DISTINCT file || '::' || name AS qname, name AS short_name, file FROM v_functions WHERE k % 10 = 0), c AS (SELECT k AS call, CASE k % 3 WHEN 0 THEN file || '::' || name WHEN 1 THEN name ELSE 'zz' || name END AS callee, file AS target_file, name, k FROM v_functions),
-sh AS (SELECT short_name, min(qname) AS only_one, count(DISTINCT file) AS n FROM s GROUP BY 1)
-SELECT call, coalesce(e.qname, CASE WHEN n = 1 THEN only_one END, t.qname) AS resolved FROM c LEFT JOIN s e ON e.qname = callee LEFT JOIN sh ON sh.short_name = CASE WHEN k % 3 = 2 THEN 'zz' || name ELSE name END LEFT JOIN s t ON t.file = target_file AND t.short_name = CASE WHEN k % 3 = 2 THEN 'zz' || name ELSE name END""", "v_functions")
+@query("j14_callees", J14, "v_functions")
 def j14(s, d):
     f = view(s, d, "v_functions")
-    symbols = f.where("k % 10 = 0").select(F.concat_ws("::", "file", "name").alias("qname"), F.col("name").alias("short_name"), "file").distinct()
+    symbols = f.select(F.concat_ws("::", "file", "name").alias("qname"), F.col("name").alias("short_name"), "file").distinct()
     callee = F.when(F.col("k") % 3 == 0, F.concat_ws("::", "file", "name")).when(F.col("k") % 3 == 1, F.col("name")).otherwise(F.concat(F.lit("zz"), "name"))
     return resolve.resolve_callees(f.select(F.col("k").alias("call"), callee.alias("callee"), F.col("file").alias("target_file")), symbols).select("call", "resolved")
 
 
-@query("a9_resolution_rate")
+@query("a9_resolution_rate", J14.replace("SELECT call, coalesce(", ", r AS (SELECT call, coalesce(") + ") SELECT round(count(resolved) / count(*), 6) AS rate FROM r", "v_functions")
 def _(s, d):
     return resolve.resolution_rate(j14(s, d))
 
 
 # -- scores, gaps, documents
 
-@query("l17_evaluate", r"""
-WITH e AS (SELECT name, text, nk, n_name, r_name, len(string_split(trim(text, chr(10)), chr(10))) AS lines FROM v_docs),
-h AS (SELECT *, (CASE WHEN nk * 4 > 2 THEN 0 ELSE 0 END) AS zero, CASE WHEN lines <= 35 THEN 1.0 WHEN lines <= 70 THEN 1.0 - 0.5 * (lines - 35) / 35 ELSE greatest(0.2, 0.5 - 0.1 * (lines - 70) / 35) END AS base FROM e),
-sc AS (SELECT name, 0.5 AS entity_coverage, CASE WHEN nk % 4 = 0 THEN 4.0 / 6 ELSE 4.0 / 5 END AS factual_accuracy, base AS conciseness, (CASE WHEN nk % 3 = 0 THEN 1 ELSE 0 END + 1 + CASE WHEN nk % 2 = 0 THEN 2 ELSE 0 END) / 4.0 AS structural_completeness,
-  round(0.3 + 0.7 * 0.75 - CASE WHEN nk > 0 THEN 0.075 ELSE 0 END, 4) AS usefulness FROM h)
-SELECT name, entity_coverage, round(factual_accuracy, 6) AS factual_accuracy, round(conciseness, 6) AS conciseness, structural_completeness, usefulness,
-  round(factual_accuracy * 0.30 + entity_coverage * 0.25 + conciseness * 0.20 + structural_completeness * 0.10 + usefulness * 0.15, 6) AS composite_score FROM sc""", "v_docs")
+L17 = r"""
+WITH e AS (SELECT name, text, lower(text) AS low, nk, n_name, r_name, len(string_split(trim(text, chr(10)), chr(10))) AS lines FROM v_docs),
+h AS (SELECT *, CASE WHEN lines <= 35 THEN 1.0 WHEN lines <= 70 THEN 1.0 - 0.5 * (lines - 35) / 35 ELSE greatest(0.2, 0.5 - 0.1 * (lines - 70) / 35) END AS base,
+  len(list_filter(['because', 'since', 'ensures', 'otherwise', 'prevents', 'gotcha', 'breaks if', 'must be', 'never', 'always'], lambda w: contains(low, w))) AS good,
+  len(list_filter(['parameter', 'returns a', 'takes a', 'type:'], lambda w: contains(low, w))) AS bad FROM e),
+sc AS (SELECT name, len(list_filter([n_name, 'NotThere'], lambda w: contains(low, lower(w)))) / 2 AS entity_coverage, CASE WHEN nk % 4 = 0 THEN 4.0 / 6 ELSE 4.0 / 5 END AS factual_accuracy, base AS conciseness, (CASE WHEN nk % 3 = 0 THEN 1 ELSE 0 END + 1 + CASE WHEN nk % 2 = 0 THEN 2 ELSE 0 END) / 4.0 AS structural_completeness,
+  round(greatest(0.0, least(1.0, 0.3 + 0.7 * least(1.0, good / 4.0) - least(0.3, bad * 0.075))), 4) AS usefulness, CASE WHEN nk % 4 = 0 THEN 2 ELSE 1 END AS wrong FROM h),
+ev AS (SELECT name, entity_coverage, round(factual_accuracy, 6) AS factual_accuracy, round(conciseness, 6) AS conciseness, structural_completeness, usefulness,
+  round(factual_accuracy * 0.30 + entity_coverage * 0.25 + conciseness * 0.20 + structural_completeness * 0.10 + usefulness * 0.15, 6) AS composite_score, wrong FROM sc)
+"""
+
+
+@query("l17_evaluate", L17 + "SELECT * EXCLUDE (wrong) FROM ev", "v_docs")
 def l17(s, d):
     return _evaluated(s, d).drop("missing_entities", "invalid_references")
 
@@ -524,7 +526,7 @@ def _evaluated(s, d):
     return evaluate.evaluate(docs, view(s, d, "v_place").select(F.col("file").alias("path")))
 
 
-@query("a13_report")
+@query("a13_report", L17 + "SELECT count(*) AS documents, " + ", ".join(f"round(avg({c}), 4) AS avg_{c}" for c in [*scores.WEIGHTS, "composite_score"]) + ", count(*) AS missing, sum(wrong)::BIGINT AS invalid FROM ev", "v_docs")
 def _(s, d):
     return evaluate.report(_evaluated(s, d))
 
@@ -567,18 +569,21 @@ def _(s, d):
     return evaluate.best_rank_by_file(view(s, d, "v_ranked"))
 
 
-@query("l18_j26_j27_gaps", """
+GAPS = """
 WITH t AS (SELECT text FROM v_docs WHERE nk % 5 <> 0)
 SELECT 'uncovered_file' AS gap_type, file AS subject, 0.5 AS severity FROM v_place WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(text, file) OR contains(text, n_name || '.py'))
 UNION ALL SELECT 'missing_entity', n_name, 1.0 FROM v_place WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(text, n_name))
-UNION ALL SELECT 'orphan_config', lower(n_name) || '.toml', round(least(0.2 * nk, 1.0), 6) FROM v_place WHERE nk > 0""", "v_docs")
+UNION ALL SELECT 'orphan_config', lower(n_name) || '.toml', round(least(0.2 * nk, 1.0), 6) FROM v_place WHERE nk > 0"""
+
+
+@query("l18_j26_j27_gaps", GAPS, "v_docs")
 def gaps(s, d):
     p = view(s, d, "v_place")
     docs = view(s, d, "v_docs").where("nk % 5 <> 0")
     return evaluate.gaps(p.select(F.col("file").alias("path"), F.lit(0.5).alias("rank")), p.select(F.col("n_name").alias("name"), F.lit(2.0).alias("pagerank")), p.select(F.concat(F.lower("n_name"), F.lit(".toml")).alias("path"), F.col("nk").alias("signals")), docs)
 
 
-@query("a26_k8_ranked_gaps")
+@query("a26_k8_ranked_gaps", GAPS.replace("SELECT 'uncovered_file'", ", g AS (SELECT 'uncovered_file'") + ") SELECT *, max(severity) OVER (PARTITION BY gap_type) AS worst FROM g", "v_docs")
 def _(s, d):
     return evaluate.ranked_gaps(gaps(s, d))
 
@@ -603,24 +608,44 @@ def _findings(s, d):
     return entries, documents.findings(entries, tops, lines, a8(s, d))
 
 
-@query("l4_l6_drafts")
+DRAFTS = CROSSING + """, c AS (SELECT source_module, target_module, count(*) AS n FROM x GROUP BY ALL),
+dir AS (SELECT c.*, CASE WHEN b.n IS NULL THEN 'uses' ELSE 'mutual' END AS direction FROM c LEFT JOIN c b ON b.source_module = c.target_module AND b.target_module = c.source_module),
+dep AS (SELECT source_module AS name, list('depends on ' || target_module || ' (' || n || ' edges)' ORDER BY 'depends on ' || target_module || ' (' || n || ' edges)') AS deps FROM c GROUP BY 1),
+ent AS (SELECT r_name AS name, 'Module ' || r_name || ' with ' || count(*) || ' files' AS description, list(file ORDER BY file) AS files, list(n_name ORDER BY n_name) AS names, list('[note] keep ' || n_name ORDER BY n_name) AS notes FROM v_place GROUP BY r_name),
+dr AS (SELECT name, names[:5] AS patterns, notes[:10] AS known, array_to_string(['# ' || name, '', description || '.', '', '## Quick Commands', '- none recorded', '', '## Key Files',
+  '- `' || array_to_string(files[:5], '`' || chr(10) || '- `') || '`', '', '## Non-Obvious Patterns', '- `' || array_to_string(names[:3], '`' || chr(10) || '- `') || '`',
+  '- ' || array_to_string(notes[:3], chr(10) || '- '), '', '## See Also', coalesce('- ' || array_to_string(deps[:4], chr(10) || '- '), '- no dependencies')], chr(10)) AS text FROM ent LEFT JOIN dep USING (name)),
+low AS (SELECT *, lower(text) AS low, len(string_split(trim(text, chr(10)), chr(10))) AS n FROM dr),
+part AS (SELECT name, text, CASE WHEN n >= 5 THEN 1.0 ELSE 0.6 END AS accuracy,
+  (len(list_filter(patterns, lambda p: contains(low, lower(p)))) / len(patterns) + len(list_filter(known, lambda k: len(list_filter(string_split(lower(k), ' '), lambda w: len(w) > 4 AND contains(low, w))) > 0)) / len(known)) / 2 AS coverage,
+  CASE WHEN n <= 35 THEN 1.0 WHEN n <= 45 THEN 1.0 - 0.05 * (n - 35) ELSE 0.3 END AS conciseness,
+  least(1.0, 0.5 + 0.1 * len(list_filter(['because', 'since', 'this ensures', 'otherwise', 'gotcha'], lambda w: contains(low, w))) + 0.3) AS usefulness FROM low),
+judged AS (SELECT *, round((accuracy + coverage + conciseness + usefulness) / 4, 3) AS overall FROM part)
+"""
+
+
+@query("l4_l6_drafts", DRAFTS + "SELECT name, text FROM dr", "v_edges", "v_ranked")
 def _(s, d):
     return documents.draft(_findings(s, d)[1])
 
 
-@query("l7_critique")
+@query("l7_critique", DRAFTS + "SELECT name, accuracy, coverage, conciseness, usefulness, overall, overall >= 0.85 AS passed FROM judged", "v_edges", "v_ranked")
 def _(s, d):
     found = _findings(s, d)[1]
     return documents.critique(documents.draft(found), found)
 
 
-@query("l11_l14_quality_report")
+@query("l11_l14_quality_report", DRAFTS + r"SELECT replace(lower(name), ' ', '-') AS document, overall AS score, (CASE WHEN overall >= 0.85 THEN 0 ELSE 2 END)::BIGINT AS iterations, greatest(ceil(len(text) / 4), len(regexp_extract_all(text, '\S+')))::BIGINT AS tokens FROM judged", "v_edges", "v_ranked")
 def report(s, d):
     docs, log = documents.refine(_findings(s, d)[1])
     return documents.quality_report(docs, log)
 
 
-@query("l13_c25_synthesis")
+@query("l13_c25_synthesis", DRAFTS + """, li AS (SELECT string_agg('- **' || name || '**: ' || description, chr(10) ORDER BY name) AS t FROM ent),
+kn AS (SELECT string_agg('- ' || t, chr(10) ORDER BY name, t) AS t FROM (SELECT name, unnest(known) AS t FROM dr)),
+ta AS (SELECT '| Source | Target | Edges | Direction |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || source_module || ' | ' || target_module || ' | ' || n || ' | ' || direction || ' |', chr(10) ORDER BY source_module, target_module) AS t FROM dir)
+SELECT 'project-overview' AS name, '# Project Overview' || chr(10) || chr(10) || t AS text FROM li UNION ALL SELECT 'conventions', '# Conventions' || chr(10) || chr(10) || t FROM kn
+UNION ALL SELECT 'AGENTS', '# Agents' || chr(10) || chr(10) || t FROM li UNION ALL SELECT 'dependency-index', '# Dependency Index' || chr(10) || chr(10) || t FROM ta""", "v_edges", "v_ranked")
 def _(s, d):
     entries, found = _findings(s, d)
     return documents.synthesis(entries, found, a8(s, d))
@@ -717,17 +742,11 @@ def _(s, d):
 
 # -- chunks and vectors
 
-@query("v7_nearest", "SELECT * FROM (SELECT 0::BIGINT AS query_id, a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, row_number() OVER (ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, a.vec_id) AS position FROM embeddings a JOIN embeddings b ON b.vec_id = 0 WHERE a.label = b.label) WHERE position <= 20")
+@query("v7_nearest", "SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, a.vec_id) AS position FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.label = b.label) WHERE position <= 20")
 def _(s, d):
     e = table(s, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("wanted"))
-    return _filtered(e, q)
-
-
-def _filtered(e: DataFrame, q: DataFrame) -> DataFrame:
-    label = q.select("wanted")
-    same = e.join(label, F.col("label") == F.col("wanted"), "left_semi")
-    return chunks.nearest(same, q.select("query_id", "query")).select("query_id", "vec_id", "similarity", "position")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")  # the queries of a search; all rows are searched
+    return chunks.nearest(e, asked, on="label").select("query_id", "vec_id", "similarity", "position")
 
 
 @query("v1_function_chunks", """
@@ -780,7 +799,7 @@ def _(s, d):
     return _extracted(s, d).select("path", F.explode("imports").alias("i")).select("path", "i.module", "i.names", "i.is_relative")
 
 
-@query("x5_x6_exports_constants", "SELECT file AS path, 'f' || nk || ',C' || nk AS exports, 'LIMIT_' || nk || '=' || nk AS constants FROM v_place", "v_place")
+@query("x5_x6_exports_constants", "SELECT file AS path, 'C' || nk || ',f' || nk AS exports, 'LIMIT_' || nk || '=' || nk AS constants FROM v_place", "v_place")
 def _(s, d):
     return _extracted(s, d).select("path", F.transform("exports", lambda e: e["name"]).alias("exports"), F.transform("constants", lambda c: F.concat(c["name"], F.lit("="), c["value"])).alias("constants"))
 

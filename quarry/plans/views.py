@@ -27,7 +27,7 @@ UNION ALL SELECT 'type::' || file || '::' || p_name || CAST(p_partkey AS STRING)
 SELECT 'file::' || a.file AS src, 'file::' || b.file AS dst, 'IMPORTS' AS relation FROM v_place a JOIN v_place b ON (a.nk * 7 + 3) % 25 = b.nk OR (a.nk * 3 + 1) % 25 = b.nk
 UNION ALL SELECT 'file::' || file, 'file::missing.py', 'IMPORTS' FROM v_place
 UNION ALL SELECT DISTINCT 'func::' || f.file || '::' || c_name, 'class::' || g.file || '::' || s_name, 'CALLS'
-  FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN {customer} ON c_custkey = o_custkey JOIN {supplier} ON s_suppkey = l_suppkey
+  FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {customer} ON c_custkey = o_custkey JOIN {supplier} ON s_suppkey = l_suppkey
   JOIN v_place f ON f.nk = c_nationkey JOIN v_place g ON g.nk = s_nationkey
 UNION ALL SELECT 'file::' || file, id, 'CONTAINS' FROM v_nodes WHERE kind <> 'file'
 UNION ALL SELECT 'file::' || file, id, 'CALLS' FROM v_nodes WHERE kind = 'class' AND ord % 3 = 0""",
@@ -52,10 +52,10 @@ SELECT s_suppkey AS imp, file, CASE s_suppkey % 5 WHEN 4 THEN 'typescript' WHEN
 FROM {supplier} JOIN v_place ON s_nationkey = nk""",
     "v_functions": """
 SELECT c_custkey AS k, file, CASE WHEN c_custkey % 3 = 0 THEN '_' ELSE '' END || 'f' || CAST(c_custkey % 40 AS STRING) AS name, 'C' || CAST(c_custkey % 4 AS STRING) AS cls, '@pkg.d' || CAST(c_custkey % 5 AS STRING) || '(1)' AS decorator,
-  'list[T' || CAST(c_custkey % 6 AS STRING) || ']' AS return_type FROM {customer} JOIN v_place ON c_nationkey = nk WHERE c_custkey % 5 = 0""",
+  'list[' || CASE c_custkey % 3 WHEN 0 THEN 'f' || CAST(c_custkey * 7 % 40 AS STRING) ELSE 'T' || CAST(c_custkey % 6 AS STRING) END || ']' AS return_type FROM {customer} JOIN v_place ON c_nationkey = nk""",
     "v_names": """
 SELECT DISTINCT file, CASE WHEN s_suppkey % 2 = 0 THEN 'd' || CAST(s_suppkey % 5 AS STRING) ELSE 'T' || CAST(s_suppkey % 6 AS STRING) END AS name, 'lib/' || CAST(s_suppkey % 7 AS STRING) || '.py' AS target
-FROM {supplier} JOIN v_place ON s_nationkey = nk WHERE s_suppkey <= 400""",
+FROM {supplier} JOIN v_place ON s_nationkey = nk""",
 }
 _DEPENDS = {n: [d for d in VIEWS if d != n and d in VIEWS[n]] for n in VIEWS}
 

@@ -31,6 +31,11 @@ def files(spark: SparkSession, root: str, *, languages: list[str] | None = None,
     return kept.select("path", classify.file_type(F.col("path")).alias("file_type"), classify.language(F.col("path")).alias("language"), "size_bytes", line_count(text).alias("line_count"), F.sha2("content", 256).alias("content_hash"), text.alias("text"))
 
 
+def census(paths: DataFrame) -> DataFrame:
+    """(extension, n): how many paths have each extension, none included."""
+    return paths.groupBy(F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("extension")).agg(F.count("*").alias("n"))
+
+
 def ignore_lines(spark: SparkSession, root: str) -> list[str]:
     """Lines of the ignore file at the root, none without one."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").load(root).select(F.decode("content", "UTF-8").alias("t")).head()
