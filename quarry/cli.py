@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -10,6 +12,14 @@ from quarry import pipeline
 from quarry.sources import repo
 
 
+def named(function: str | None) -> Callable | None:
+    """The callable that "module:name" names; None without one."""
+    if not function:
+        return None
+    module, _, name = function.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="quarry", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -23,6 +33,10 @@ def main(argv: list[str] | None = None) -> None:
             c.add_argument("--languages", default="")
         if name == "run":
             c.add_argument("--skip-evaluate", action="store_true")
+        for hook in {"parse": ["embed", "count"], "refresh": ["embed", "count"], "generate": ["fix", "embed"], "evaluate": ["judge"]}.get(name, []):
+            c.add_argument(f"--{hook}", help="a callable, as module:name")
+        if name == "evaluate":
+            c.add_argument("--repo", help="a folder whose files the references are held to")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("quarry").config("spark.checkpoint.dir", f"{a.output}/.checkpoints").getOrCreate()
     source = getattr(a, "source", None)
@@ -30,16 +44,16 @@ def main(argv: list[str] | None = None) -> None:
         source = repo.checkout(source, f"{a.output}/.source", getattr(a, "branch", None))
     languages = [x.strip().lower() for x in getattr(a, "languages", "").split(",") if x.strip()] or None
     if a.command == "parse":
-        parsed = pipeline.parse(spark, source, a.output, languages=languages)
+        parsed = pipeline.parse(spark, source, a.output, languages=languages, embed=named(a.embed), count=named(a.count))
         parsed.files.groupBy("file_type", "language").count().show()
     elif a.command == "generate":
-        pipeline.generate(spark, a.output).show(truncate=False)
+        pipeline.generate(spark, a.output, named(a.fix), named(a.embed)).show(truncate=False)
     elif a.command == "evaluate":
-        scored, gaps = pipeline.assess(spark, a.output)
+        scored, gaps = pipeline.assess(spark, a.output, root=a.repo, judge=named(a.judge))
         scored.select("name", "composite_score").show(truncate=False)
         gaps.show(truncate=False)
     elif a.command == "refresh":
-        pipeline.update(spark, source, a.output).show(truncate=False)
+        pipeline.update(spark, source, a.output, embed=named(a.embed), count=named(a.count)).show(truncate=False)
     else:
         pipeline.run(spark, source, a.output, languages=languages, skip_evaluate=a.skip_evaluate)
 

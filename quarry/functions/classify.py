@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 SKIP_DIRS = ["node_modules", ".git", "__pycache__", ".next", "dist", "build", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", "vendor", ".cargo", "target", ".eggs", "__pypackages__", ".ruff_cache"]
-REFRESH_SKIP_DIRS = SKIP_DIRS[:14]
 SKIP_SUFFIXES = [".min.js", ".min.css", ".map", ".lock", ".sum"]
 BINARY_EXTENSIONS = [".svg", ".png", ".jpg", ".gif", ".ico", ".woff", ".woff2", ".ttf", ".eot", ".pyc", ".pyo", ".so", ".dylib", ".dll"]
 CONFIG_NAMES = ["package.json", "tsconfig.json", "pyproject.toml", "dockerfile", "docker-compose.yml", "docker-compose.yaml", "makefile", "cargo.toml", "go.mod", "go.sum", "setup.py", "setup.cfg", ".gitignore"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +76,25 @@ def usefulness(text: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4)
 
 
+def judged_usefulness(text: Column, judge: Callable[[str], float | None] | None = None) -> Column:
+    """Usefulness by an injected judge, held to [0, 1]; the heuristic where there is none, or it fails or gives nothing."""
+    if judge is None:
+        return usefulness(text)
+
+    @F.pandas_udf("double")
+    def asked(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> float | None:
+            try:
+                score = judge(t)
+                return None if score is None else min(1.0, max(0.0, float(score)))
+            except Exception:  # a judge is a remote service; one document must not end the evaluation
+                return None
+
+        return pd.Series([one(t) if t is not None else None for t in texts], dtype="float64")
+
+    return F.coalesce(F.nanvl(asked(text), F.lit(None).cast("double")), usefulness(text))
+
+
 def composite(score: dict[str, Column] | None = None) -> Column:
     return sum(((score[k] if score else F.col(k)) * w for k, w in WEIGHTS.items()), F.lit(0.0))
 

@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import fixed, import_list
+from quarry.operators import graph
 
-BATCH, RESULTS, KEEP = 64, 30, 20
+BATCH, RESULTS, KEEP, TOP = 64, 30, 20, 10
 TRUNCATE = 1500
+#: How text is cut into words before ranks apply.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_ENCODERS: dict[str, object] = {}
 
 
 def _or_none(values: Column) -> Column:
@@ -59,28 +63,74 @@ def _chunk(df: DataFrame, kind: str, name: Column, text: Column) -> DataFrame:
     return df.select(key.alias("chunk_id"), "file_path", F.lit(kind).alias("entity_type"), name.alias("entity_name"), "language", F.coalesce("module", F.lit("unknown")).alias("module"), "pagerank", text.alias("text"))
 
 
-def metadata(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.struct("file_path", "entity_type", "entity_name", F.coalesce("language", F.lit("")).alias("language"), F.coalesce("module", F.lit("")).alias("module"), "pagerank").alias("metadata"))
-
-
 def estimated_tokens(text: Column) -> Column:
     """A token estimate without a vocabulary: a quarter of the characters, words at least."""
     return F.greatest(F.ceil(F.length(text) / 4), F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))).cast("int")
 
 
-def truncated(text: Column, most: int = TRUNCATE) -> Column:
-    """Texts over the estimate's bound are cut to it, with a notice."""
-    return F.when(estimated_tokens(text) > most, F.concat(F.substring(text, 1, most * 4), F.lit("\n... [truncated]"))).otherwise(text)
+def counter(ranks: str) -> Callable[[list[str]], list[int]]:
+    """A batch token counter by a file of ranks (base64 tokens and numbers), as the usual byte vocabularies come."""
+
+    def count(texts: list[str]) -> list[int]:
+        import base64
+
+        import tiktoken
+
+        if ranks not in _ENCODERS:
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(n) for a, n in map(bytes.split, f)}
+            _ENCODERS[ranks] = tiktoken.Encoding("chunks", pat_str=WORDS, mergeable_ranks=table, special_tokens={})
+        return [len(x) for x in _ENCODERS[ranks].encode_ordinary_batch(texts, num_threads=1)]
+
+    return count
 
 
-def counted(df: DataFrame, count: Callable[[list[str]], list[int]], text: str = "text") -> DataFrame:
-    """Adds ``n_tokens`` by an injected batch tokenizer."""
+def token_counts(text: Column, count: Callable[[list[str]], list[int]] | None = None) -> Column:
+    """Tokens by an injected batch tokenizer, estimated without one."""
+    if count is None:
+        return estimated_tokens(text)
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("int")
     def tokens(texts: pd.Series) -> pd.Series:
         return pd.Series(count(texts.fillna("").tolist()))
 
-    return df.withColumn("n_tokens", tokens(text))
+    return tokens(text)
+
+
+def truncated(text: Column, most: int = TRUNCATE, count: Callable[[list[str]], list[int]] | None = None) -> Column:
+    """Texts of more than ``most`` tokens are cut to about that many, with a notice."""
+    return F.when(token_counts(text, count) > most, F.concat(F.substring(text, 1, most * 4), F.lit("\n... [truncated]"))).otherwise(text)
+
+
+def of_repository(files: DataFrame, extractions: DataFrame, nodes: DataFrame, edges: DataFrame, *, count: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
+    """Chunks of all functions, methods, classes and files of a parsed repository, one row a ``chunk_id``.
+
+    A rank is the node's, 0 where it has none; its position counts the better ones
+    among the nodes that the summary of the graph lists.
+    """
+    listed = graph.top_by_kind(nodes).agg(F.array_sort(F.collect_list("pagerank")).alias("tops"))  # a hundred ranks at most
+    near = nodes.select("id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank")).join(graph.callers(edges, nodes), "id", "left").join(graph.callees(edges, nodes), "id", "left")
+    own = nodes.where("kind = 'file'").select(F.col("file").alias("path"), "module")
+    base = extractions.join(files.select("path", "language", F.col("text").alias("content")), "path") if "language" not in extractions.columns else extractions.join(files.select("path", F.col("text").alias("content")), "path")
+    base = base.join(own, "path", "left").withColumn("file_path", F.col("path"))
+    head = ["file_path", "language", "module", "imports", "content"]
+
+    def ranked(df: DataFrame, key: Column) -> DataFrame:
+        found = df.withColumn("id", key).join(near, "id", "left").crossJoin(F.broadcast(listed))  # one row
+        return found.withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))).withColumn("position", graph.rank_position(F.col("pagerank"), F.col("tops")))
+
+    path = F.col("file_path")
+    functions = base.select(*head, F.explode("functions").alias("f")).select(*head, "f.name", "f.qualified_name", "f.signature", "f.line_start", "f.line_end", F.lit(None).cast("string").alias("cls"), F.lit(None).cast("string").alias("cls_doc"))
+    owned = base.select(*head, F.explode("classes").alias("c")).select(*head, F.col("c.name").alias("cls"), F.col("c.docstring").alias("cls_doc"), F.explode("c.methods").alias("m"))
+    methods = owned.select(*head, "m.name", "m.qualified_name", "m.signature", "m.line_start", "m.line_end", "cls", "cls_doc")
+    free = functions.join(methods.select("file_path", "qualified_name", "line_start"), ["file_path", "qualified_name", "line_start"], "left_anti")  # languages that list methods among functions too
+    key = F.when(F.col("cls").isNull(), graph.node_id("func", path, F.col("name"))).otherwise(graph.node_id("func", path, graph.method_name(F.col("cls"), F.col("name"))))
+    classes = base.select(*head, F.explode("classes").alias("c")).select(*head, "c.name", "c.decorators", "c.bases", "c.docstring", F.transform("c.methods", lambda m: m["signature"]).alias("methods"))
+    names = lambda column: F.transform(column, lambda x: x["name"])
+    whole = base.select(*head, names("exports").alias("exports"), names("classes").alias("classes"), names("functions").alias("functions"))
+    kinds = [function_chunks(ranked(free.select(*methods.columns).unionByName(methods), key)), class_chunks(ranked(classes, graph.node_id("class", path, F.col("name")))), file_chunks(ranked(whole, graph.node_id("file", path)))]
+    every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).dropDuplicates(["chunk_id"])
+    return every.withColumn("text", truncated(F.col("text"), count=count)).withColumn("n_tokens", token_counts(F.col("text"), count))
 
 
 def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None, text: str = "text", batch: int = BATCH) -> DataFrame:

@@ -37,6 +37,53 @@ def module_map_or_whole(modules: DataFrame, nodes: DataFrame) -> DataFrame:
     return entries.unionByName(whole_repository(nodes).crossJoin(F.broadcast(none)).where("none").drop("none"))  # one row each
 
 
+def module_entries(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """The entry of each wanted name; one without an entry gets an empty one."""
+    none = F.array().cast("array<string>")
+    found = names.select("name").join(entries, "name", "left")
+    return found.select("name", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("files", none).alias("files"), F.coalesce("key_entities", none).alias("key_entities"), F.coalesce("importance", F.lit(0.5)).alias("importance"))
+
+
+def _joined(rows: DataFrame, text: str, name: str, separator: str = "\n") -> DataFrame:
+    """(name, ``name``): the texts of each module in the order of their position."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("position", F.col(text).alias("t")))), lambda x: x["t"])
+    return rows.groupBy(F.col("module").alias("name")).agg(F.array_join(lines, separator).alias(name))
+
+
+def analyst_inputs(entries: DataFrame, entities: DataFrame, signals: DataFrame, subgraphs: DataFrame, crossings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row a module with the text of a prompt: what is known of it, or a note that nothing is.
+
+    entities (module, position, name), signals (module, signals), subgraphs (module,
+    position, label), crossings (module, position, line), chunks (module, position, text).
+    """
+    parts = [
+        ("Top entities", _joined(entities, "name", "entities", ", "), "entities", "(no top entities)"),
+        ("Code chunks", _joined(chunks, "text", "chunks", "\n\n---\n\n"), "chunks", "(no code chunks matched)"),
+        ("Internal calls", _joined(subgraphs, "label", "subgraph"), "subgraph", "(no internal edges)"),
+        ("Cross-module edges", _joined(crossings, "line", "crossing"), "crossing", "(no cross-module edges)"),
+        ("Signals", signals.select(F.col("module").alias("name"), F.array_join("signals", "\n").alias("signals")), "signals", "(no signals)"),
+    ]
+    out = entries
+    for _, rows, column, _ in parts:
+        out = out.join(rows.select("name", F.col(column).alias(f"_{column}")), "name", "left")
+    head = [F.concat(F.lit("Module: "), "name"), F.concat(F.lit("Description: "), "description"), F.concat(F.lit("Files:\n"), F.array_join("files", "\n")), F.concat(F.lit("Key entities: "), F.array_join("key_entities", ", "))]
+    told = [F.concat(F.lit(f"{title}:\n"), F.coalesce(F.nullif(F.col(f"_{column}"), F.lit("")), F.lit(none))) for title, _, column, none in parts]
+    return out.select("name", F.concat_ws("\n\n", *head, *told).alias("prompt"))
+
+
+def module_lines(modules: DataFrame) -> DataFrame:
+    """(module, line): the listing of modules (module, files, entities, cohesion) that a prompt shows."""
+    shown = F.concat(F.lit("- "), "module", F.lit(": "), F.size("files").cast("string"), F.lit(" files, cohesion="), F.format_string("%.2f", "cohesion"), F.lit(", top entities: "), F.array_join(F.slice("entities", 1, 5), ", "))
+    return modules.select("module", shown.alias("line"))
+
+
+def entity_lines(top: DataFrame) -> DataFrame:
+    """(kind, position, line): the best functions and classes that a prompt shows; top (kind, position, name, file, pagerank)."""
+    most, short = F.when(F.col("kind") == "function", 20).when(F.col("kind") == "class", 10), F.when(F.col("kind") == "function", "func").otherwise("class")
+    line = F.concat(F.lit("  "), short, F.lit(": "), "name", F.lit(" ("), "file", F.lit(") [pagerank="), F.format_string("%.4f", "pagerank"), F.lit("]"))
+    return top.where(F.col("position") <= most).select("kind", "position", line.alias("line"))
+
+
 def in_module(file: Column, patterns: Column) -> Column:
     """Whether a path begins with a pattern, stars and slashes at its end cut."""
     return F.exists(patterns, lambda p: file.startswith(F.regexp_replace(F.regexp_replace(p, r"\*+$", ""), "/+$", "")))

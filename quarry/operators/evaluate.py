@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scores
@@ -32,7 +34,7 @@ def document_module(docs: DataFrame, modules: DataFrame) -> DataFrame:
     return both.select(*docs.columns, F.coalesce("_exact", "_loose").alias("module"))
 
 
-def evaluate(docs: DataFrame, paths: DataFrame) -> DataFrame:
+def evaluate(docs: DataFrame, paths: DataFrame, judge: Callable[[str], float | None] | None = None) -> DataFrame:
     """Five scores and the composite of docs (name, text, entities, names); paths is (path).
 
     The paths are joined as rows against references, never gathered: a document
@@ -52,7 +54,7 @@ def evaluate(docs: DataFrame, paths: DataFrame) -> DataFrame:
         F.coalesce(F.col("n_ok") / F.col("n_refs"), F.lit(1.0)).alias("factual_accuracy"),
         scores.conciseness(text).alias("conciseness"),
         scores.structural_completeness(text).alias("structural_completeness"),
-        scores.usefulness(text).alias("usefulness"),
+        scores.judged_usefulness(text, judge).alias("usefulness"),
         scores.missing_entities(text, F.col("entities")).alias("missing_entities"),
         F.coalesce("invalid_references", F.array().cast("array<string>")).alias("invalid_references"),
     )

@@ -293,16 +293,28 @@ def communities(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0,
     return grouped.join(numbered(leads, "community", "ord", "id").select(F.col("id").alias("lead"), "community"), "lead").select("id", "community")
 
 
-def module_subgraph(edges: DataFrame, modules: DataFrame, module: str, most: int = 60) -> DataFrame:
-    """Distinct labelled CALLS and IMPORTS edges with an end in a module, the first ``most`` by label."""
-    inside = modules.where(F.col("module") == module).select("id")
+def module_subgraphs(edges: DataFrame, modules: DataFrame, most: int = 60) -> DataFrame:
+    """(module, position, label): per module its distinct labelled CALLS and IMPORTS edges with an end inside, the first ``most`` by label."""
     picked = edges.where(F.col("relation").isin(CROSSING))
-    touching = picked.join(inside.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(picked.join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    m = modules.where("module is not null").select("id", "module")
+    touching = picked.join(m.withColumnRenamed("id", "src"), "src").unionByName(picked.join(m.withColumnRenamed("id", "dst"), "dst"))
     label = F.concat(short_label(F.col("src")), F.lit(" -"), F.col("relation"), F.lit("-> "), short_label(F.col("dst")))
-    return touching.select(label.alias("label")).distinct().orderBy("label").limit(most)
+    w = Window.partitionBy("module").orderBy("label")
+    return touching.select("module", label.alias("label")).distinct().withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
 
 
-def module_crossings(edges: DataFrame, modules: DataFrame, module: str, most: int = 40) -> DataFrame:
-    """The crossing edges of one module, either way: the first ``most`` by source and target."""
-    ends = crossing_edges(edges, modules).where((F.col("source_module") == module) | (F.col("target_module") == module))
-    return ends.select("source_module", "target_module", short_label(F.col("src")).alias("source"), short_label(F.col("dst")).alias("target"), "relation").orderBy("source_module", "target_module", "source", "target").limit(most)
+def module_subgraph(edges: DataFrame, modules: DataFrame, module: str, most: int = 60) -> DataFrame:
+    """Labels of one module, in order."""
+    return module_subgraphs(edges, modules.where(F.col("module") == module), most).select("label")
+
+
+def module_crossings(edges: DataFrame, modules: DataFrame, most: int = 40) -> DataFrame:
+    """(module, position, line): per module its crossing edges, those that leave and those that come, the first ``most`` by their line."""
+    ends = crossing_edges(edges, modules).select("src", "dst", "relation", "source_module", "target_module")
+    named = modules.select("id", "name")
+    both = ends.join(named.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(named.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
+    tail = F.concat(F.lit(" ["), "relation", F.lit("]"))
+    leaving = both.select(F.col("source_module").alias("module"), F.concat("a", F.lit(" → "), "b", F.lit(" (in "), "target_module", F.lit(")"), tail).alias("line"))
+    coming = both.select(F.col("target_module").alias("module"), F.concat("a", F.lit(" (in "), "source_module", F.lit(") → "), "b", tail).alias("line"))
+    w = Window.partitionBy("module").orderBy("line")
+    return leaving.unionByName(coming).withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)

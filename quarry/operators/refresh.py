@@ -59,7 +59,3 @@ def merge_extractions(old: DataFrame, fresh: DataFrame, changes: DataFrame) -> D
     """Extractions after a refresh: stale and new ones replaced by ``fresh``, deleted ones dropped; keyed by path."""
     gone = changes.where(F.col("state").isin("stale", "new", "deleted")).select("path")
     return old.join(gone, "path", "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
-
-
-def next_manifest(current: DataFrame, generated_at: str) -> DataFrame:
-    return current.select("path", "hash").withColumn("generated_at", F.lit(generated_at))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import classify
-from quarry.operators import documents, evaluate, extract, graph, refresh, resolve
+from quarry.functions import classify, text
+from quarry.operators import chunks, documents, evaluate, extract, graph, refresh, resolve
 from quarry.sources import repo
-from quarry.sources.scratch import cut
+from quarry.sources.scratch import cut, numbered
 
 
 @dataclass
@@ -39,8 +40,16 @@ def nodes_of(files: DataFrame, ext: DataFrame) -> DataFrame:
     out = base
     for df in (part("functions", "func", "function", 1), part("classes", "class", "class", 2), methods, part("type_defs", "type", "type", 4), part("constants", "config", "config", 5), routes):
         out = out.unionByName(df)
-    ordered = out.withColumn("ord", F.row_number().over(Window.orderBy("file", "p", "pos", "id")))
-    return graph.merge_nodes(ordered.select("id", "kind", "name", "file", "ord"))
+    return graph.merge_nodes(numbered(out, "ord", "file", "p", "pos", "id").select("id", "kind", "name", "file", "ord"))
+
+
+def resolved_calls(used: DataFrame, functions: DataFrame, methods: DataFrame) -> DataFrame:
+    """Inferred uses (file, name, used, target) with ``resolved``: the path and name of the function that is meant, if one is."""
+    calls = used.distinct().withColumn("call", F.struct("file", "name", "used", "target"))
+    calls = calls.select("call", F.concat_ws("::", "target", "used").alias("callee"), F.col("target").alias("target_file"))
+    symbols = functions.select(F.concat_ws("::", "file", "name").alias("qname"), F.col("name").alias("short_name"), "file")
+    symbols = symbols.unionByName(methods.select(F.concat_ws("::", "file", graph.method_name(F.col("cls"), F.col("name"))).alias("qname"), F.col("name").alias("short_name"), "file"))
+    return resolve.resolve_callees(calls, symbols).select("call.*", "resolved")
 
 
 def edges_of(ext: DataFrame, resolved: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -50,26 +59,39 @@ def edges_of(ext: DataFrame, resolved: DataFrame, nodes: DataFrame) -> DataFrame
     functions = ext.select(F.col("path").alias("file"), F.explode("functions").alias("f")).select("file", "f.*")
     names = resolve.import_names(resolved)
     used = resolve.decorator_calls(functions, names).unionByName(resolve.type_mentions(functions, names, "return_type").drop("value")).unionByName(resolve.type_mentions(functions, names, "parameters").drop("value"))
-    called = used.select(graph.node_id("func", F.col("file"), F.col("name")).alias("src"), graph.node_id("func", F.col("target"), F.col("used")).alias("dst"), F.lit("CALLS").alias("relation"))
+    called = resolved_calls(used, functions, methods).where("resolved is not null").select(graph.node_id("func", F.col("file"), F.col("name")).alias("src"), F.concat(F.lit("func::"), "resolved").alias("dst"), F.lit("CALLS").alias("relation"))
+    heirs = ext.select(F.col("path").alias("file"), F.explode("classes").alias("c")).select("file", F.col("c.name").alias("cls"), F.explode("c.bases").alias("base"))
+    above = resolve.super_calls(methods, heirs, names).select(graph.node_id("func", F.col("file"), graph.method_name(F.col("cls"), F.col("name"))).alias("src"), graph.node_id("func", F.col("target"), graph.method_name(F.col("base"), F.col("name"))).alias("dst"), F.lit("CALLS").alias("relation"))
     local = resolve.local_return_calls(functions).select(graph.node_id("func", F.col("file"), F.col("name")).alias("src"), graph.node_id("func", F.col("file"), F.col("callee")).alias("dst"), F.lit("CALLS").alias("relation"))
     contains = nodes.where("kind in ('class', 'type', 'config')").select(graph.node_id("file", F.col("file")).alias("src"), F.col("id").alias("dst"))
     contains = contains.unionByName(ext.select("path", F.explode("functions").alias("f")).select(graph.node_id("file", F.col("path")).alias("src"), graph.node_id("func", F.col("path"), F.col("f.name")).alias("dst")))
     contains = contains.unionByName(methods.select(graph.node_id("class", F.col("file"), F.col("cls")).alias("src"), graph.node_id("func", F.col("file"), graph.method_name(F.col("cls"), F.col("name"))).alias("dst"))).withColumn("relation", F.lit("CONTAINS"))
     bases = ext.select("path", F.explode("classes").alias("c")).select(graph.node_id("class", F.col("path"), F.col("c.name")).alias("id"), F.explode("c.bases").alias("base"))
     routes = ext.select("path", F.explode("route_handlers").alias("r")).select(graph.node_id("route", F.col("r.path"), F.col("r.method")).alias("id"), F.col("path").alias("file"), F.col("r.handler_function").alias("handler"))
-    every = imports.unionByName(inner).unionByName(called).unionByName(local).unionByName(contains).unionByName(graph.inherits(nodes, bases)).unionByName(graph.handles(routes, nodes))
+    every = imports.unionByName(inner).unionByName(called).unionByName(above).unionByName(local).unionByName(contains).unionByName(graph.inherits(nodes, bases)).unionByName(graph.handles(routes, nodes))
     return graph.merge_edges(every, nodes)
 
 
-def parse(spark: SparkSession, root: str, output: str | None = None, *, languages: list[str] | None = None) -> Parsed:
-    """Files to ranked graph and modules, written to ``output`` where given."""
-    found = cut(repo.files(spark, root, languages=languages, ignore=repo.ignore_lines(spark, root)))
+def settings_of(found: DataFrame) -> tuple[list[str], dict[str, str], str]:
+    """Source folders, path aliases and the Go module path of a repository: a few values from its own configuration files."""
+    bases = ["src", ""] if found.where("path like 'src/%'").head(1) else [""]
+    config = found.where("path in ('tsconfig.json', 'jsconfig.json')").orderBy(F.desc("path")).limit(1)
+    aliases = {r["alias"] + "/": f"{r['target'].removeprefix('./')}/" for r in repo.path_aliases(config).collect()}
+    return bases, aliases, repo.go_module(found.where("path = 'go.mod'")).head()["module_path"]
+
+
+def resolved_imports(found: DataFrame, ext: DataFrame) -> DataFrame:
     source = found.where(classify.is_parsed(F.col("path")))
-    ext = cut(extract.extractions(source))
-    w = Window.orderBy("path", "pos")
-    imports = ext.select("path", F.posexplode("imports").alias("pos", "i")).join(source.select("path", "language"), "path").select(F.row_number().over(w).cast("long").alias("imp"), F.col("path").alias("file"), "language", "i.module", "i.names")
-    bases = ["src", ""] if source.where("path like 'src/%'").head(1) else [""]
-    resolved = resolve.resolve_imports(imports, source, bases=bases)
+    bases, aliases, go_module = settings_of(found)
+    listed = ext.select("path", F.posexplode("imports").alias("pos", "i")).join(source.select("path", "language"), "path")
+    imports = numbered(listed, "imp", "path", "pos").select("imp", F.col("path").alias("file"), "language", "i.module", "i.names")
+    return resolve.resolve_imports(imports, source, bases=bases, aliases=aliases, go_module=go_module)
+
+
+def build(found: DataFrame, ext: DataFrame, output: str | None = None, *, embed=None, count=None) -> Parsed:
+    """Files and their extractions to ranked graph, modules and chunks, written to ``output`` where given."""
+    source = found.where(classify.is_parsed(F.col("path")))
+    resolved = cut(resolved_imports(found, ext))
     nodes = cut(nodes_of(source, ext))
     edges = cut(edges_of(ext, resolved, nodes))
     ranked = cut(nodes.join(graph.pagerank(nodes, edges), "id"))
@@ -90,9 +112,25 @@ def parse(spark: SparkSession, root: str, output: str | None = None, *, language
             repo.save(getattr(out, name), f"{output}/{name}")
         repo.save(found.select("path", F.col("content_hash").alias("hash")), f"{output}/manifest")
         repo.save(file_modules.select(F.col("file").alias("path"), "module"), f"{output}/assignments")
+        functions = ext.select(F.col("path").alias("file"), F.explode("functions").alias("f")).select("file", "f.*")
+        methods = ext.select(F.col("path").alias("file"), F.explode("classes").alias("c")).select("file", F.col("c.name").alias("cls"), F.explode("c.methods").alias("m")).select("file", "cls", F.col("m.name").alias("name"))
+        names = resolve.import_names(resolved)
+        used = resolve.decorator_calls(functions, names).unionByName(resolve.type_mentions(functions, names, "return_type").drop("value")).unionByName(resolve.type_mentions(functions, names, "parameters").drop("value"))
+        repo.save(resolve.resolution_rate(resolved_calls(used, functions, methods)), f"{output}/resolution_rate")
+        repo.save(repo.node_link(ranked, edges), f"{output}/graph.jsonl", form="text")
+        fresh = chunks.embedded(chunks.of_repository(found, ext, ranked, edges, count=count), embed)
+        repo.store_vectors(fresh, f"{output}/chunks")
     return out
 
 
+def parse(spark: SparkSession, root: str, output: str | None = None, *, languages: list[str] | None = None, embed=None, count=None) -> Parsed:
+    """Files to ranked graph, modules and chunks.  ``embed`` and ``count`` are an embedder and a batch tokenizer, where there are any."""
+    found = cut(repo.files(spark, root, languages=languages, ignore=repo.ignore_lines(spark, root)))
+    if output:
+        repo.save(spark.createDataFrame([(languages, repo.head_commit(root), datetime.now(UTC).isoformat())], "languages array<string>, commit string, parsed_at string"), f"{output}/settings")
+    return build(found, cut(extract.extractions(found.where(classify.is_parsed(F.col("path"))))), output, embed=embed, count=count)
+
+
 def stored(spark: SparkSession, output: str) -> Parsed:
     """What ``parse`` wrote; an error names what is missing."""
     found = {n: repo.load(spark, f"{output}/{n}") for n in ("files", "extractions", "nodes", "edges", "modules", "deps")}
@@ -101,9 +139,26 @@ def stored(spark: SparkSession, output: str) -> Parsed:
     return Parsed(**found)
 
 
-def generate(spark: SparkSession, output: str, fix=None) -> DataFrame:
-    """Documents, log and quality report of a parsed repository."""
+def prompts(spark: SparkSession, output: str, embed=None) -> DataFrame:
+    """(name, prompt): what an analyst would be told of each module, with the nearest chunks where an embedder is given."""
+    p = stored(spark, output)
+    entries = documents.module_map_or_whole(p.modules, p.nodes)
+    file_modules = p.modules.select("module", F.explode("files").alias("file"))
+    signals = p.extractions.select("path", F.explode("signal_lines").alias("s")).select("path", "s.*")
+    none = spark.createDataFrame([], "module string, position int, text string")
+    vectors = repo.load(spark, f"{output}/chunks")
+    if embed is not None and vectors is not None:
+        asked = chunks.embedded(entries.select(F.col("name").alias("module"), "description"), embed, "description").select(F.col("module").alias("query_id"), "module", F.col("embedding").alias("query"))
+        found = chunks.nearest(vectors.where("embedding is not null"), asked, on="module", key="chunk_id")
+        none = found.select("module", "position", F.trim("text").alias("text"))
+    tops = graph.top_in_group(p.nodes.where("module is not null"), "module", chunks.TOP).select("module", "position", "name")
+    return documents.analyst_inputs(entries, tops, documents.module_signals(signals, file_modules), graph.module_subgraphs(p.edges, p.nodes), graph.module_crossings(p.edges, p.nodes), none)
+
+
+def generate(spark: SparkSession, output: str, fix=None, embed=None) -> DataFrame:
+    """Documents, prompts, log and quality report of a parsed repository."""
     p = stored(spark, output)
+    repo.save(prompts(spark, output, embed), f"{output}/prompts")
     entries = documents.module_map_or_whole(p.modules, p.nodes)
     file_modules = p.modules.select("module", F.explode("files").alias("file"))
     signals = p.extractions.select("path", F.explode("signal_lines").alias("s")).select("path", "s.*")
@@ -117,44 +172,59 @@ def generate(spark: SparkSession, output: str, fix=None) -> DataFrame:
     return report
 
 
-def assess(spark: SparkSession, output: str) -> tuple[DataFrame, DataFrame]:
-    """Evaluations and gaps of the generated documents."""
+def assess(spark: SparkSession, output: str, *, root: str | None = None, judge=None) -> tuple[DataFrame, DataFrame]:
+    """Evaluations and gaps of the generated documents; references are held to the files of ``root`` where given, usefulness to ``judge``."""
     p = stored(spark, output)
+    paths = repo.files(spark, root, every=True).select("path") if root else p.files.select("path")
     docs = repo.documents(spark, f"{output}/context")
     known = evaluate.document_module(docs, p.modules.select("module"))
     names = p.nodes.agg(F.array_sort(F.collect_set("name")).alias("names"))
     best = evaluate.best_entities(p.nodes).withColumnRenamed("names", "best")
     own = known.join(p.modules.select("module", "entities"), "module", "left").crossJoin(F.broadcast(names)).crossJoin(F.broadcast(best))  # one row each
-    scored = evaluate.evaluate(own.select("name", "text", F.coalesce("entities", "best").alias("entities"), "names"), p.files.select("path"))
+    scored = evaluate.evaluate(own.select("name", "text", F.coalesce("entities", "best").alias("entities"), "names"), paths, judge)
     signals = p.extractions.select("path", F.size(F.coalesce("signal_lines", F.array().cast("array<struct<line_number:int,grp:int,category:string,line_content:string>>"))).alias("signals"))
     configs = p.files.where("file_type = 'config'").select("path").join(signals, "path")
     top = p.nodes.where(F.col("kind").isin("function", "class")).orderBy(F.desc("pagerank"), "ord").limit(20)
     ranks = evaluate.best_rank_by_file(p.nodes.where(F.col("kind").isin("function", "class"))).withColumnRenamed("file", "path")
     found = evaluate.gaps(ranks, top.select("name", "pagerank"), configs, docs)
+    owner = evaluate.suggest_module(found.where("gap_type <> 'missing_entity'").select(F.col("subject").alias("path")).distinct(), p.modules.select("module", F.explode("files").alias("path")))
+    found = cut(found.join(owner.withColumnRenamed("path", "subject"), "subject", "left").select("gap_type", "subject", "severity", F.coalesce("module", F.lit("")).alias("module")))
     repo.save(scored, f"{output}/evaluation")
+    repo.save(evaluate.report(scored), f"{output}/evaluation_report")
     repo.save(found, f"{output}/gaps")
     return scored, found
 
 
-def update(spark: SparkSession, root: str, output: str) -> DataFrame:
-    """Detect changes since the last parse, merge what changed, and write the next manifest; the decision row."""
-    manifest = repo.load(spark, f"{output}/manifest")
-    if manifest is None:
+def update(spark: SparkSession, root: str, output: str, *, embed=None, count=None) -> DataFrame:
+    """Detect changes since the last parse, read what changed, rebuild the graph, repair references; the decision row.
+
+    Files are found by the rules of the last parse: its languages and the ignore
+    file.  Modules with too many stale files are listed in ``stale_modules``.
+    """
+    manifest, settings = repo.load(spark, f"{output}/manifest"), repo.load(spark, f"{output}/settings")
+    if manifest is None or settings is None:
         raise FileNotFoundError(f"run parse first: no manifest in {output}")
-    now = cut(repo.files(spark, root))
+    last = settings.head()
+    now = cut(repo.files(spark, root, languages=last["languages"], ignore=repo.ignore_lines(spark, root)))
     changes = cut(refresh.diff(now.select("path", F.col("content_hash").alias("hash")), manifest))
-    docs = repo.documents(spark, f"{output}/context", recursive=True) if repo.load(spark, f"{output}/context", "binaryFile") is not None else spark.createDataFrame([], "name string, text string")
-    broken = refresh.broken_references(docs, now.select("path"))
-    row = cut(refresh.decision(changes, broken))
+    docs = cut(repo.documents(spark, f"{output}/context", recursive=True))
+    broken = cut(refresh.broken_references(docs, now.select("path")))
+    distance = repo.commit_distance(root, last["commit"]) if last["commit"] else None
+    row = cut(refresh.decision(changes, broken).withColumn("commits", F.lit(distance).cast("int")))
     what = row.head()["decision"]
+    repo.save(refresh.module_staleness(changes, repo.load(spark, f"{output}/assignments")).where("is_stale"), f"{output}/stale_modules")
     if what in ("full", "partial"):
         source = now.where(classify.is_parsed(F.col("path")))
         changed = changes.where(F.col("state").isin("stale", "new")).select("path")
         fresh = extract.extractions(source if what == "full" else source.join(changed, "path", "left_semi"))
         old = repo.load(spark, f"{output}/extractions")
-        merged = cut((fresh if what == "full" else refresh.merge_extractions(old, fresh, changes)))
-        repo.save(merged, f"{output}/extractions")
-        repo.save(now.select("path", F.col("content_hash").alias("hash")), f"{output}/manifest")
+        merged = cut(fresh if what == "full" else refresh.merge_extractions(old, fresh, changes))
+        build(now, merged, output, embed=embed, count=count)
+        repo.save(spark.createDataFrame([(last["languages"], repo.head_commit(root), datetime.now(UTC).isoformat())], settings.schema), f"{output}/settings")
+    if broken.head(1):
+        fixed = refresh.repaired_documents(docs, broken, refresh.repairs(broken, now.select("path")))
+        changed_docs = cut(fixed.join(broken.select("name").distinct(), "name", "left_semi"))
+        repo.write_documents(changed_docs.withColumn("name", text.module_of_document(F.col("name"))), f"{output}/context", slug=False)
     return row
 
 
@@ -179,4 +249,6 @@ def run_benchmark(spark: SparkSession, roots: list[str], output: str) -> DataFra
         except Exception as e:  # one repository must not end the loop
             error = f"{type(e).__name__}: {e}"[:300]
         rows.append((root, n, lines, float(score) if score is not None else None, 0.0, time.time() - began, error))
-    return spark.createDataFrame(rows, "repo string, files long, lines long, score double, cost double, seconds double, error string")
+    results = spark.createDataFrame(rows, "repo string, files long, lines long, score double, cost double, seconds double, error string")
+    repo.save(results, f"{output}/benchmark", form="json")
+    return results

@@ -24,6 +24,25 @@ def test_stream_replaces_changed_files(spark, tmp_path):
     assert got == {"a.py": ["h"], "b.py": ["g"]}
 
 
+def test_stream_takes_the_newest_file_and_refuses_gaps(spark, tmp_path):
+    incoming, target = tmp_path / "in", tmp_path / "out"
+    for k, (folder, body) in enumerate([("b", "def old():\n    pass\n"), ("a", "def new():\n    pass\n")]):
+        spark.createDataFrame([("a.py", "python", body)], "path string, language string, text string").coalesce(1).write.parquet(str(incoming / folder))
+        for file in (incoming / folder).glob("*.parquet"):
+            os.utime(file, (1_000_000 + k, 1_000_000 + k))
+    run = lambda: refresh_stream(spark, f"{incoming}/*", str(target), str(tmp_path / "cp")).awaitTermination()
+    run()
+    assert [f.name for r in spark.read.parquet(f"{target}/0").collect() for f in r.functions] == ["new"]
+    for k in range(4):
+        spark.createDataFrame([(f"{k}.py", "python", "x = 1\n")], "path string, language string, text string").write.parquet(str(incoming / f"more{k}"))
+        run()
+    assert spark.read.parquet(f"{target}/4").count() == 5 and sorted(x.name for x in target.iterdir()) == ["2", "3", "4"]
+    shutil.rmtree(target / "4")
+    spark.createDataFrame([("z.py", "python", "")], "path string, language string, text string").write.parquet(str(incoming / "last"))
+    with pytest.raises(Exception, match="missing"):
+        run()
+
+
 @pytest.mark.parametrize("left", [["corpus_pipeline.py"], []])
 def test_registry_without_the_training_data_part(tmp_path, left):
     """The other queries stay when the folder is missing, with and without the pipeline's file, and where the original can be imported too."""
