@@ -9,10 +9,11 @@ time.  Then the emptiest bins are dissolved: their pieces are cut to fill the
 gaps of the others, so a group ends with at most one bin that is not full.
 
 A group holds about ``group_docs`` documents at any input size; a third of all
-rows under one source or text spreads like the others, as groups depend on the
-id alone.  A null or empty text is the separator alone.  Equal lengths are
-ordered by id; rows with equal ids are packed as separate documents, told apart
-by ``start`` and order only.  An empty table gives an empty result.
+rows under one source, text or id spreads like the others, as groups depend on
+id and text together.  A null or empty text is the separator alone.  Equal lengths
+are ordered by id; rows with equal ids, null ones included, are packed as separate
+documents, told apart by ``start`` and order only.  Long texts are cut into whole
+sequences first.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -122,8 +123,11 @@ def pack(df: DataFrame, vocabulary: str, ranks: str | None = None, *, length: in
 
     ``vocabulary`` is a tokenizers file; ``ranks``, where given, is the same
     vocabulary for the faster library, which is used for texts whose code points
-    both libraries split alike.  Ids must be under 65,536.
+    both libraries split alike.  Ids travel in 16 bits where the vocabulary allows it.
     """
+    from tokenizers import Tokenizer
+
+    wide = "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size(), separator + 1) <= 1 << 16 else "<u4"
     n = df.count()
     groups = max(1, -(-n // group_docs))
 
@@ -137,7 +141,7 @@ def pack(df: DataFrame, vocabulary: str, ranks: str | None = None, *, length: in
                 for a in range(0, whole, length):
                     rows.append((doc, group, a, length, zlib.crc32(ids[a : a + length].tobytes()), len(ids), None))
                 if whole < len(ids):
-                    rows.append((doc, group, whole, len(ids) - whole, None, len(ids), ids[whole:].astype("<u2").tobytes()))
+                    rows.append((doc, group, whole, len(ids) - whole, None, len(ids), ids[whole:].astype(wide).tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
@@ -153,7 +157,7 @@ def pack(df: DataFrame, vocabulary: str, ranks: str | None = None, *, length: in
             at = 0
             for k, a, z in b:
                 r = left[k]
-                ids = np.frombuffer(r["rest"], dtype="<u2")[a:z].astype("<u4")
+                ids = np.frombuffer(r["rest"], dtype=wide)[a:z].astype("<u4")
                 out.append((r["doc_id"], r["start"] + a, z - a, zlib.crc32(ids.tobytes()), r["doc_tokens"], bins, at))
                 at += z - a
             bins += 1
@@ -164,6 +168,6 @@ def pack(df: DataFrame, vocabulary: str, ranks: str | None = None, *, length: in
     result = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     names = ["doc_id", "group", "start", "length", "ids_crc32", "doc_tokens", "rest"]
     kinds = [pa.int64()] * 6 + [pa.binary()]
-    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(groups)).alias("group"), F.col(text_col).alias("text"))
+    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(groups)).alias("group"), F.col(text_col).alias("text"))
     pieces = keyed.mapInArrow(encode, "doc_id bigint, group bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, rest binary")
     return pieces.groupBy("group").applyInArrow(pack_group, PIECE).withColumnRenamed("doc_id", id_col)

@@ -64,6 +64,29 @@ def test_packing_holds_each_id_once(spark, documents, no_documents):
     assert padding < 0.01
 
 
+def test_packing_of_repeated_and_missing_ids(spark):
+    rows = [(1, "one two three", "x"), (1, "one two three", "x"), (1, "other words", "x"), (None, "no id", "x"), (None, "no id", "x"), (2, None, "x"), (3, "", "x"), (4, "long " * 3000, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, sequence_id string")
+    got = packing.pack(df, BYTE, RANKS, group_docs=3).collect()
+    encoder = Tokenizer.from_file(BYTE)
+    want = sum(len(encoder.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _ in rows)
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.sequence_id].append((r.offset, r.length))
+    assert sum(r.length for r in got) == want
+    for s in spans.values():
+        s.sort()
+        assert s[0][0] == 0 and sum(n for _, n in s) <= 1024 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:]))
+
+
+def test_both_libraries_agree_on_long_mixed_texts():
+    slow, fast, rng = Tokenizer.from_file(BYTE), packing._encoder(BYTE, RANKS), random.Random(31)
+    bits = ["'s", "'ll", "don't", " ", "  ", "\n", "\t ", "\u00a0", "é", "Æ", "ß", "123", "a1", "_", "-", "<|endoftext|>", "<|", "wörd", "X" * 40, "\r\n", "$%&", "\u00ad"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 25)))
+        assert fast(text) == slow.encode(text, add_special_tokens=False).ids, text
+
+
 def test_first_fit_decreasing_equals_a_plain_one():
     rng = np.random.default_rng(1)
     for _ in range(20):
