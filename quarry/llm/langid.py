@@ -131,15 +131,21 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
 
 
 def train(df: DataFrame, *, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, longest_sample: int = 20_000) -> Model | None:
-    """Fit on a bounded sample of the rows with text and language for which ``where`` holds."""
+    """Fit on a bounded sample of the rows with text and language for which ``where`` holds.
+
+    About ``per_language`` rows a language; a text of over ``longest_sample``
+    characters takes part with a stretch of that many, at a place picked by its id.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if where is None else where).alias("use"))
-    rows = rows.where("use and text is not null and lang is not null").where(F.length("text") <= longest_sample)
+    rows = rows.where("use and text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     buckets = 1 << 20
     share = F.create_map([F.lit(x) for code, n in sizes.items() for x in (code, min(buckets, -(-buckets * per_language // n)))])
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(buckets)) < share[F.col("lang")]).select("id", "text", "lang").collect()
+    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(buckets)) < share[F.col("lang")])
+    start = F.pmod(F.xxhash64("id", F.lit(13)), F.greatest(F.length("text") - longest_sample + 1, F.lit(1))).cast("int") + 1
+    sample = sample.select("id", F.substring("text", start, F.lit(longest_sample)).alias("text"), "lang").collect()
     sample.sort(key=lambda r: (str(r["id"]), r["text"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
