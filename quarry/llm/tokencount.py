@@ -8,7 +8,7 @@ text is the sum of its pieces' counts, however long the text is.  Each batch,
 balanced by bytes, sends only its distinct new pieces to the tokenizer; a bounded
 memo keeps the counts of earlier ones.
 
-A null or empty text has 0 tokens.  Repeated rows are counted alike; extra
+A piece without spaces is one call, however long.  A null or empty text has 0 tokens.  Repeated rows are counted alike; extra
 columns are left out of the result; an empty table gives an empty result.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm._base import chunks
 
-#: Pieces whose counts a worker keeps; it starts anew when that many are known.
-MEMO_PIECES = 400_000
+#: Characters of the pieces, and pieces, whose counts a worker keeps; it starts anew beyond either.
+MEMO_CHARS, MEMO_PIECES = 16 << 20, 400_000
 #: Bytes of distinct pieces in one call of the tokenizer.
 CALL_BYTES = 1 << 18
 
@@ -38,14 +38,15 @@ def token_counts(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder, memo = Tokenizer.from_file(vocabulary), {}
+        encoder, memo, held = Tokenizer.from_file(vocabulary), {}, 0
         for batch in chunks(batches, "text"):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             pieces = [t.replace("\n", " ").split(" ") for t in texts]
             new = set().union(*pieces).difference(memo)
-            if len(memo) + len(new) > MEMO_PIECES:
+            if len(memo) + len(new) > MEMO_PIECES or held > MEMO_CHARS:
                 memo.clear()
-                new = set().union(*pieces)
+                new, held = set().union(*pieces), 0
+            held += sum(map(len, new))
             _count_new(encoder, new, memo)
             tokens = [sum(map(memo.__getitem__, p)) for p in pieces]
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]

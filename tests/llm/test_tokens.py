@@ -36,6 +36,16 @@ def test_token_counts_split_is_safe_for_odd_characters(spark):
     assert got == {k: len(encoder.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
 
 
+def test_token_counts_of_long_pieces_and_empty_tables(spark, no_documents, monkeypatch):
+    monkeypatch.setattr(tokencount, "MEMO_CHARS", 50)
+    encoder = Tokenizer.from_file(WORD)
+    texts = ["x" * 300_000, "ab" * 1000 + " 12", "a b c " * 500, "漢字" * 2000, "x" * 300_000]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, n_tokens int").coalesce(1)
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(df, WORD).collect()}
+    assert got == {k: len(encoder.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert tokencount.token_counts(no_documents, WORD).count() == 0
+
+
 def check_packing(df, got):
     encoder = Tokenizer.from_file(BYTE)
     sequences, pieces = defaultdict(list), defaultdict(list)
