@@ -12,8 +12,9 @@ however many they are.  Then, for each shingle that prefixes of different parts
 share, a signature tree is built: leaves are representatives by size, nodes hold
 their OR-combined token bitmap and size range, and a dual traversal drops node
 pairs whose greatest possible overlap is under what the threshold asks for, or
-that lie in one part.  What is left is checked exactly on the whole sets, and
-components of all links are the classes.
+that lie in one part.  The trees of all groups that a task holds are walked
+together, on packed bitmaps.  What is left is checked exactly on the whole sets,
+and components of all links are the classes.
 
 A shingle that many prefixes hold is split into blocks: rows of its largest
 part's side meet the other rows block by block, so no task sees more than about
@@ -46,7 +47,8 @@ FREQUENT_MOST = 1 << 20
 BANDS = 4
 #: Representatives of one shingle that a task compares at a time.
 BLOCK = 4096
-LEAF = 32
+#: Node pairs that are bounded at a time.
+FRONT = 1 << 15
 MAP_BITS = 1024
 #: Groups of so many rows are first thinned by counting shared keys of pairs.
 SMALL = 8
@@ -104,105 +106,88 @@ def bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def fold(bits: int, width: int, to: int) -> int:
-    """A bitmap of ``to`` bits: halves are OR-combined, as its bits are token hashes modulo its width."""
-    while width > to:
-        width //= 2
-        bits = (bits >> width) | (bits & ((1 << width) - 1))
-    return bits
-
-
-class SignatureTree:
-    """Nodes over representatives by size: OR-combined bitmap and width, size range (of the ends), and the part if there is one only.
+class SignatureTrees:
+    """The signature trees of many groups, walked together: rows by segment (one side of a group), then size.
 
+    A node of level k holds up to 2**k neighbours of one segment: their
+    OR-combined bitmap, size range, range of map widths, most tokens that share a
+    bit, and the part if there is one only.  Maps narrower than the widest are
+    tiled: a token's bit is its hash modulo the width, so its tiles hold it.
     ``rest`` is how many tokens of a representative are not before the shared
     shingle in its order: where that is the first common one, no overlap is larger.
     """
 
-    def __init__(self, sizes: np.ndarray, maps: list[bytes], parts: np.ndarray, rest: np.ndarray | None = None):
-        order = np.argsort(sizes, kind="stable").tolist()
-        self.order = order
-        self.sizes, self.parts = [int(sizes[k]) for k in order], [int(parts[k]) for k in order]
-        self.rest = self.sizes if rest is None else [int(rest[k]) for k in order]
-        self.widths = [8 * len(maps[k]) for k in order]
-        self.maps = [int.from_bytes(maps[k], "little") for k in order]
-        self.nodes: dict[tuple[int, int], tuple[int, int, object]] = {}
-        self.beyond: dict[tuple[int, int, int], int] = {}
-        if order:
-            self._build(0, len(order))
-
-    def _build(self, lo: int, hi: int) -> tuple[int, int, object]:
-        if hi - lo <= LEAF:
-            width, bits = min(self.widths[lo:hi]), 0
-            for k in range(lo, hi):
-                bits |= fold(self.maps[k], self.widths[k], width)
-            own = set(self.parts[lo:hi])
-            node = bits, width, own.pop() if len(own) == 1 else None
-        else:
-            a, b = self._build(lo, (lo + hi) // 2), self._build((lo + hi) // 2, hi)
-            width = min(a[1], b[1])
-            node = fold(a[0], a[1], width) | fold(b[0], b[1], width), width, a[2] if a[2] == b[2] else None
-        self.nodes[lo, hi] = node
-        return node
-
-    def bound(self, other: SignatureTree, x: tuple[int, int], y: tuple[int, int]) -> int:
-        """The greatest overlap that a member of node x and one of node y can have."""
-        a, b = self.nodes[x], other.nodes[y]
-        width = min(a[1], b[1])
-        common = (fold(a[0], a[1], width) & fold(b[0], b[1], width)).bit_count()
-        return min(common + min(self._beyond(x, width), other._beyond(y, width)), self.sizes[x[1] - 1], other.sizes[y[1] - 1])
-
-    def _beyond(self, x: tuple[int, int], width: int) -> int:
-        """Most tokens of a member that share their bit with another of its tokens, in maps folded to ``width`` bits."""
-        key = (*x, width)
-        if key not in self.beyond:
-            lo, hi = x
-            if hi - lo > LEAF:
-                self.beyond[key] = max(self._beyond(half, width) for half in self._below(x))
-            else:
-                self.beyond[key] = max(self.sizes[k] - fold(self.maps[k], self.widths[k], width).bit_count() for k in range(lo, hi))
-        return self.beyond[key]
-
-    def pairs(self, other: SignatureTree | None, percent: int) -> Iterator[tuple[int, int]]:
-        """Index pairs (into the constructor's arguments) that the bounds let through, of different parts."""
-        if not self.order or (other is not None and not other.order):
-            return
-        right = self if other is None else other
-        stack = [((0, len(self.order)), (0, len(right.order)))]
+    def __init__(self, segment: np.ndarray, sizes: np.ndarray, maps: list[bytes], parts: np.ndarray, rest: np.ndarray):
+        order = self.order = np.lexsort((sizes, segment))
+        width = np.asarray([len(m) for m in maps], dtype=np.int64)
+        widest = int(width.max(initial=8))
+        bits = np.zeros((len(maps), widest // 8), dtype="<u8")
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            raw = np.frombuffer(b"".join([maps[k] for k in own.tolist()]), dtype="<u8").reshape(len(own), -1)
+            bits[own] = np.tile(raw, (1, widest // w))
+        alike = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64) * width // widest
+        count = np.bincount(segment)
+        first = np.cumsum(count) - count
+        node = [x[order] for x in (bits, sizes, sizes, width, width, alike, rest, np.unique(parts, return_inverse=True)[1])]
+        self.levels, self.count, self.first = [node], [count], [first]
+        while count.max(initial=0) > 1:
+            half = (count + 1) // 2
+            at = np.cumsum(half) - half
+            own = np.repeat(np.arange(len(half)), half)
+            k = 2 * (np.arange(len(own)) - at[own])
+            a = first[own] + k
+            b = a + (k + 1 < count[own])
+            bits, low, high, thin, wide, alike, rest, part = node
+            node = [bits[a] | bits[b], low[a], high[b], np.minimum(thin[a], thin[b]), np.maximum(wide[a], wide[b]), np.maximum(alike[a], alike[b]), np.maximum(rest[a], rest[b]), np.where(part[a] == part[b], part[a], -1)]
+            count, first = half, at
+            self.levels.append(node)
+            self.count.append(count)
+            self.first.append(first)
+
+    def _possible(self, level: int, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Which node pairs may hold a pair of different parts that reaches the threshold."""
+        bits, low, high, thin, wide, alike, rest, part = self.levels[level]
+        some = np.flatnonzero(((part[x] < 0) | (part[x] != part[y])) & (high[x] * 100 >= low[y] * percent) & (high[y] * 100 >= low[x] * percent))
+        x, y = x[some], y[some]
+        most = np.minimum(np.minimum(high[x], high[y]), np.minimum(rest[x], rest[y]))
+        need = percent * (low[x] + low[y])
+        held = np.flatnonzero(most * (100 + percent) >= need)
+        some, x, y, most, need = some[held], x[held], y[held], most[held], need[held]
+        # what may share a bit is known of the wider map; of maps of one width, the fuller bound holds
+        equal = (thin[x] == wide[x]) & (thin[y] == wide[y]) & (thin[x] == thin[y])
+        hidden = np.where(equal, np.minimum(alike[x], alike[y]), np.where(thin[x] > wide[y], alike[x], np.where(thin[y] > wide[x], alike[y], np.maximum(alike[x], alike[y]))))
+        common = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+        return some[np.minimum(common + hidden, most) * (100 + percent) >= need]
+
+    def pairs(self, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs (into the constructor's arguments) of segments ``left[k]`` and ``right[k]`` that the bounds let through; a segment may meet itself."""
+        top = np.zeros(len(left), dtype=np.int64)
+        for count in self.count[:-1]:
+            top += (count[left] > 1) | (count[right] > 1)
+        stack = [(t, self.first[t][left[own]], self.first[t][right[own]]) for t in np.unique(top).tolist() for own in [np.flatnonzero(top == t)]]
         while stack:
-            x, y = stack.pop()
-            if right is self and y < x:
-                continue
-            own, their = self.nodes[x], right.nodes[y]
-            if own[2] is not None and own[2] == their[2]:
+            level, x, y = stack.pop()
+            if len(x) > FRONT:
+                stack += [(level, x[k : k + FRONT], y[k : k + FRONT]) for k in range(0, len(x), FRONT)]
                 continue
-            if self.sizes[x[1] - 1] * 100 < right.sizes[y[0]] * percent or right.sizes[y[1] - 1] * 100 < self.sizes[x[0]] * percent:
+            keep = self._possible(level, x, y, percent)
+            x, y = x[keep], y[keep]
+            if not len(x):
                 continue
-            small = x[1] - x[0] <= LEAF and y[1] - y[0] <= LEAF
-            if not small and self.bound(right, x, y) * (100 + percent) < percent * (self.sizes[x[0]] + right.sizes[y[0]]):
+            if not level:
+                apart = x != y
+                yield self.order[x[apart]], self.order[y[apart]]
                 continue
-            if small:
-                yield from self._leaf_pairs(right, x, y, percent)
-            else:
-                stack += [(a, b) for a in self._below(x) for b in right._below(y)]
-
-    def _below(self, x: tuple[int, int]) -> list[tuple[int, int]]:
-        lo, hi = x
-        return [x] if hi - lo <= LEAF else [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
-
-    def _leaf_pairs(self, right: SignatureTree, x: tuple[int, int], y: tuple[int, int], percent: int) -> Iterator[tuple[int, int]]:
-        for i in range(*x):
-            n, part, rest, bits, width = self.sizes[i], self.parts[i], self.rest[i], self.maps[i], self.widths[i]
-            for j in range(max(i + 1, y[0]) if right is self else y[0], y[1]):
-                m = right.sizes[j]
-                need = percent * (n + m)
-                if part == right.parts[j] or min(rest, right.rest[j], n, m) * (100 + percent) < need:
-                    continue
-                other, wide = right.maps[j], right.widths[j]
-                low = min(width, wide)
-                a, b = bits if width == low else fold(bits, width, low), other if wide == low else fold(other, wide, low)
-                if min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count()) * (100 + percent) >= need:
-                    yield self.order[i], right.order[j]
+            (a, more_a), (b, more_b) = self._below(level, x), self._below(level, y)
+            same = x == y
+            stack.append((level - 1, np.concatenate([a, a[more_b], a[more_a & ~same] + 1, a[more_a & more_b] + 1]), np.concatenate([b, b[more_b] + 1, b[more_a & ~same], b[more_a & more_b] + 1])))
+
+    def _below(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first node below each, and whether the next one is below it too."""
+        segment = np.searchsorted(self.first[level], node, side="right") - 1
+        k = 2 * (node - self.first[level][segment])
+        return self.first[level - 1][segment] + k, k + 1 < self.count[level - 1][segment]
 
 
 def _frequent(rows: DataFrame, n: int) -> np.ndarray:
@@ -278,27 +263,22 @@ def _shingles(n: int):
 
 
 def _tree_pairs(percent: int):
-    """Candidate pairs of each group of rows (grp, side, rep, part, at, n, bits), which come sorted by group."""
+    """Candidate pairs of each group of rows (grp, side, rep, part, at, n, bits), which come sorted by group and side."""
 
     def emit(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows).to_pydict()
-        grp = np.asarray(t["grp"], dtype=object)
-        cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
-        a, b = [], []
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            rep, side = t["rep"][lo:hi], t["side"][lo:hi]
-            sizes, parts, maps = np.asarray(t["n"][lo:hi]), np.asarray(t["part"][lo:hi]), t["bits"][lo:hi]
-            left, right = ([k for k, s in enumerate(side) if s == which] for which in (0, 1))
-            rest = sizes - np.asarray(t["at"][lo:hi])
-            tree = [SignatureTree(sizes[k], [maps[j] for j in k], parts[k], rest[k]) for k in (np.asarray(left, dtype=int), np.asarray(right, dtype=int))]
-            found = tree[0].pairs(tree[1], percent) if right else tree[0].pairs(None, percent)
-            names = right or left
-            for i, j in found:
-                x, y = rep[left[i]], rep[names[j]]
-                if x != y:
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        t = pa.Table.from_batches(rows).combine_chunks()
+        grp = np.asarray(t["grp"].combine_chunks().dictionary_encode().indices)
+        side, rep, part, at, sizes = (np.asarray(t[c], dtype=np.int64) for c in ("side", "rep", "part", "at", "n"))
+        new = np.flatnonzero(np.append(True, (np.diff(grp) != 0) | (np.diff(side) != 0)))
+        segment = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(grp))))
+        left = np.flatnonzero(side[new] == 0)
+        after = np.minimum(left + 1, len(new) - 1)
+        right = np.where(grp[new[after]] == grp[new[left]], after, left)
+        trees = SignatureTrees(segment, sizes, t["bits"].to_pylist(), part, sizes - at)
+        found = [(rep[x], rep[y]) for x, y in trees.pairs(left, right, percent)]
+        x, y = (np.concatenate([f[k] for f in found] or [rep[:0]]) for k in (0, 1))
+        apart = x != y
+        return pa.record_batch([pa.array(np.minimum(x, y)[apart]), pa.array(np.maximum(x, y)[apart])], names=["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -57,7 +57,7 @@ def corpus(seed, common=True):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(ngramjoin, "BLOCK", 7)  # every group is split
-    monkeypatch.setattr(ngramjoin, "LEAF", 2)
+    monkeypatch.setattr(ngramjoin, "FRONT", 5)
     docs = corpus(seed)
     df = spark.createDataFrame([(k, t, 1, "clash") for k, t in docs], "doc_id bigint, text string, n int, bits string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(df).collect()}
@@ -80,8 +80,8 @@ def test_repeated_rows_and_empty_tables(spark, no_documents):
     assert got == sorted([(5, 3, 3), (5, 3, 3), (3, 3, 3), (None, 3, None), (9, 1, 9)], key=str)
 
 
-def test_signature_tree_loses_no_pair(monkeypatch):
-    monkeypatch.setattr(ngramjoin, "LEAF", 3)
+def test_signature_trees_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(ngramjoin, "FRONT", 50)
     rng = np.random.default_rng(3)
     sets = []
     for _ in range(15):
@@ -89,10 +89,16 @@ def test_signature_tree_loses_no_pair(monkeypatch):
         sets += [np.unique(np.concatenate([base[rng.random(len(base)) > 0.04], rng.integers(0, 2**63, 3, dtype=np.uint64)])) for _ in range(6)]
     sizes, maps, parts = np.asarray([len(s) for s in sets]), [ngramjoin.bitmap(s) for s in sets], np.arange(len(sets))
     want = {(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - c)}
-    found = {tuple(sorted(p)) for p in ngramjoin.SignatureTree(sizes, maps, parts).pairs(None, 85)}
-    assert want and want <= found and len(found) < 3 * len(want)
-    left, right = ngramjoin.SignatureTree(sizes[:40], maps[:40], parts[:40]), ngramjoin.SignatureTree(sizes[40:], maps[40:], parts[40:])
-    assert {(a, b) for a, b in want if a < 40 <= b} <= {(a, b + 40) for a, b in left.pairs(right, 85)}
+
+    def found(segment, left, right):
+        trees = ngramjoin.SignatureTrees(np.asarray(segment), sizes, maps, parts, sizes)
+        return [p for x, y in trees.pairs(np.asarray(left), np.asarray(right), 85) for p in zip(x.tolist(), y.tolist(), strict=True)]
+
+    one = found([0] * 90, [0], [0])
+    assert len(one) == len(set(one)) and want <= {tuple(sorted(p)) for p in one} and len(one) < 3 * len(want)
+    two = found([0] * 40 + [1] * 50, [0, 0, 1], [0, 1, 1])  # two trees, with each other and with themselves
+    assert sorted(map(tuple, map(sorted, two))) == sorted(map(tuple, map(sorted, one)))
+    assert all(a < 40 <= b for a, b in found([0] * 40 + [1] * 50, [0], [1]))
 
 
 def test_components(spark):
