@@ -10,7 +10,10 @@ only be a near neighbour if that distance is at most the radius plus the code's
 own error, so the codes lose no neighbour of a probed list.  What passes is
 reranked by the exact cosine in double precision.
 
-The model is fitted on at most about ``sample`` vectors; every vector is indexed.
+The model is fitted on at most about ``sample`` vectors, or 16 a list where that is
+more; every vector is indexed.  There are as many lists as the root of the number of
+vectors, up to 32,768.  A link counts for both ends, also where only one of them
+probes the other's list.
 Identical vectors fold into one with a count.  Lists are cut into blocks, so a
 label, list or group of copies of any size is spread over many tasks.  A task
 returns counts per query and a spanning forest of the links it saw, never pairs.
@@ -36,7 +39,15 @@ from quarry.llm._base import table
 from quarry.llm.components import components
 
 MEMBER_BLOCK, QUERY_BLOCK = 2048, 4096
-MOST_LISTS = 1024
+#: A list for so many vectors up to FEW_LISTS lists, then as many as the root of their number, so that probing lists and
+#: searching them grow alike; from MOST_LISTS on, a billion vectors, the model stays at 16 MB for 64 dimensions.
+LIST_ROWS, FEW_LISTS, MOST_LISTS = 512, 1024, 1 << 15
+#: Distances to centroids that are held at a time.
+DISTANCES = 1 << 22
+
+
+def lists_for(n: int) -> int:
+    return min(MOST_LISTS, max(1, min(n // LIST_ROWS, max(FEW_LISTS, math.isqrt(n)))))
 
 
 def clusters(x: np.ndarray, k: int, rounds: int, seed: int = 3) -> np.ndarray:
@@ -57,7 +68,8 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.concatenate([squared(x[k : k + 4096], c).argmin(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+    step = max(1, DISTANCES // max(1, len(c)))
+    return np.concatenate([squared(x[k : k + step], c).argmin(1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -85,8 +97,8 @@ class Model:
         return own, codes, np.sqrt(((rest - back) ** 2).sum(1))
 
     def probes(self, x: np.ndarray, margin: float) -> list[np.ndarray]:
-        far = squared(x, self.centroids)
-        return [np.flatnonzero(row <= row.min() + margin) for row in far]
+        step = max(1, DISTANCES // len(self.centroids))
+        return [np.flatnonzero(row <= row.min() + margin) for k in range(0, len(x), step) for row in squared(x[k : k + step], self.centroids)]
 
     def lookup_distances(self, x: np.ndarray, of_list: int, codes: np.ndarray) -> np.ndarray:
         """Distances of queries to coded members of one list, by a table per query and subspace."""
@@ -137,21 +149,30 @@ def _searcher(models: dict[int, Model], threshold: float):
             codes = np.frombuffer(b"".join(held["codes"].to_pylist()), dtype=np.uint8).reshape(held.num_rows, -1)
             error, times = np.asarray(held["error"]), np.asarray(held["times"])
             ids_q, ids_m = np.asarray(asks["fid"]), np.asarray(held["fid"])
+            here, home, times_q = t["list"][0].as_py(), np.asarray(asks["home"], dtype=np.int64), np.asarray(asks["times"])
+            probed = held["probes"].combine_chunks()
+            probed = np.repeat(np.arange(len(m)), np.diff(np.asarray(probed.offsets))) << 32 | np.asarray(probed.flatten(), dtype=np.int64)  # ascending
+            back = np.zeros(len(m), dtype=np.int64)
             model = models[raw_q.shape[1]]
             counts, left, right = np.zeros(len(q), dtype=np.int64), [], []
             for lo in range(0, len(q), 256):
-                far = model.lookup_distances(q[lo : lo + 256], int(t["list"][0].as_py()), codes)
+                far = model.lookup_distances(q[lo : lo + 256], here, codes)
                 i, j = np.nonzero(far <= radius + error[None] + 1e-4)
                 other = ids_q[lo + i] != ids_m[j]
                 i, j = i[other] + lo, j[other]
                 near = np.concatenate([np.einsum("ij,ij->i", q[i[k : k + 65536]], m[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
                 i, j = i[near >= threshold], j[near >= threshold]
                 counts += np.bincount(i, weights=times[j], minlength=len(q)).astype(np.int64)
+                # a member that does not probe the query's list will not find it: the link counts for it here
+                asked = j.astype(np.int64) << 32 | home[i]
+                at = np.minimum(np.searchsorted(probed, asked), len(probed) - 1)
+                once = probed[at] != asked
+                back += np.bincount(j[once], weights=times_q[i[once]], minlength=len(m)).astype(np.int64)
                 if len(i):
                     edges = _forest(ids_q[i], ids_m[j])
                     left += [a for a, _ in edges]
                     right += [b for _, b in edges]
-            out = [(int(ids_q[k]), int(counts[k]), int(ids_q[k])) for k in np.flatnonzero(counts)]
+            out = [(int(ids[k]), int(n[k]), int(ids[k])) for ids, n in ((ids_q, counts), (ids_m, back)) for k in np.flatnonzero(n)]
             out += [(a, 0, b) for a, b in (_forest(np.asarray(left), np.asarray(right)) if left else [])]
         a, n, b = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "n": pa.array(n, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -179,11 +200,13 @@ def near_duplicates(
 
     models: dict[int, Model] = {}
     for dim, n in folded.groupBy("dim").count().collect():
-        some = folded.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("fid", F.lit(5)), F.lit(1 << 20)) < min(1 << 20, (sample << 20) // n)))
+        lists = lists_for(n)
+        want = max(sample, 16 * lists)
+        some = folded.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("fid", F.lit(5)), F.lit(1 << 40)) < min(1 << 40, (want << 40) // n)))
         got = some.select("vector").toArrow()["vector"].combine_chunks()
         if len(got) == 0:
             got = folded.where(F.col("dim") == dim).select("vector").limit(1).toArrow()["vector"].combine_chunks()
-        models[dim] = Model.fit(_unit(got)[1], min(MOST_LISTS, max(1, n // 512)), parts, words)
+        models[dim] = Model.fit(_unit(got)[1], lists, parts, words)
     if not models:
         zero = F.lit(0).cast("long")
         return rows.select(F.col("id").alias(id_col), zero.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -207,8 +230,8 @@ def near_duplicates(
     coded = folded.select("fid", "dim", "vector").mapInArrow(assign, "fid bigint, list int, codes binary, error double, probes array<int>")
     coded = table(coded, "codes").join(folded.select("fid", "label", "dim", "vector", "times"), "fid")
     key = ["label", "dim", "list"]
-    members = coded.select(*key, "fid", "vector", "codes", "error", "times", F.lit(False).alias("query"))
-    asks = coded.select("label", "dim", F.explode("probes").alias("list"), "fid", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("long").alias("times"), F.lit(True).alias("query"))
+    members = coded.select(*key, "fid", "vector", "codes", "error", "times", "probes", F.lit(None).cast("int").alias("home"), F.lit(False).alias("query"))
+    asks = coded.select("label", "dim", F.explode("probes").alias("list"), "fid", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), "times", F.lit(None).cast("array<int>").alias("probes"), F.col("list").alias("home"), F.lit(True).alias("query"))
     sizes = members.select(*key, "query").unionByName(asks.select(*key, "query")).groupBy(*key).agg(F.count_if(~F.col("query")).alias("n_members"), F.count_if("query").alias("n_asks")).where("n_members > 0")
     sizes = sizes.select(*key, F.ceil(F.col("n_members") / MEMBER_BLOCK).alias("mb"), F.ceil(F.col("n_asks") / QUERY_BLOCK).alias("qb"))
     both = members.unionByName(asks).join(sizes, key)

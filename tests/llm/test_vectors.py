@@ -57,11 +57,13 @@ def test_odd_vectors_and_copies_equal_brute_force(spark, monkeypatch):
 
 
 def test_recall_over_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_ROWS", 6)
     rows = corpus(3000, dim=48, seed=4)
-    monkeypatch.setattr(vectors, "MOST_LISTS", 1024)
+    assert vectors.lists_for(len(rows)) == 500
     want, links = plain(rows)
     found = got(spark, rows)
     assert all(found[k][0] <= want[k][0] for k in want)
+    assert sum(f[0] for f in found.values()) % 2 == 0  # no link counts for one end only
     assert sum(f[0] for f in found.values()) >= 0.97 * 2 * len(links)
     assert np.mean([found[k][1] == want[k][1] for k in want]) > 0.97
 
@@ -85,3 +87,7 @@ def test_forest_keeps_parts():
     nodes = set(a.tolist()) | set(b.tolist())
     edges = vectors._forest(a, b)
     assert classes(nodes, edges) == classes(nodes, list(zip(a.tolist(), b.tolist(), strict=True))) and len(edges) < len(nodes)
+
+
+def test_lists_grow_with_the_root_of_the_rows():
+    assert [vectors.lists_for(n) for n in (0, 100, 5120, 600_000, 4_000_000, 100_000_000, 10**10)] == [1, 1, 10, 1024, 2000, 10_000, 1 << 15]
