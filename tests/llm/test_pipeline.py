@@ -71,6 +71,25 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sorted(last.collect()) == sorted(corpus_pipeline.run(spark, str(tmp_path)).collect())
 
 
+def test_rows_without_an_id_and_repeated_ids(spark, tmp_path):
+    words = {"en": ["the house is", "and there was", "which they have", "with this other"], "fr": ["la maison est", "et il y avait", "que nous avons", "avec cette autre"]}
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices(words[lang], k=5)) + f" {k * k} {k}", lang, "s", 1) for k in range(80) for lang in ["en" if k % 2 else "fr"]]
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    odd = [(None, "the house is here and there was " + item, "en", "s", 1), (None, "which they have with this other", "en", "s", 1), (None, None, None, "s", 1)]
+    odd += [(200, "with this other and there was one", "en", "s", 1), (200, "la maison est ici " + item, "fr", "s", 1), (200, None, None, "s", 1)]
+    spark.createDataFrame(rows + odd, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    left = steps["language_id"](spark, docs, str(tmp_path))
+    want = rows + [r for r in odd if r[1]]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+    clean = steps["decontamination"](spark, docs, str(tmp_path))
+    want = [r for r in rows + odd if item not in (r[1] or "")]
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
