@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, langid, ngramjoin, packing, passages, pii, secrets, suffixdedup, tokencount, vectors
+from quarry.llm import bytenet, decontam, langid, merkle, negatives, ngramjoin, packing, passages, pii, secrets, suffixdedup, tokencount, vectors
 from quarry.llm._base import read
 
 
@@ -71,6 +71,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = bytenet.train(docs.where(~held_out), read(spark, sf_dir, "labels"))
+    found = bytenet.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), merkle.lowered())
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), anchors=F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -83,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    "op11_quality": op11_quality,
+    "op12_merkle": op12_merkle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -164,3 +185,74 @@ SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, c
   sha256(unhex(coalesce(pieces || substr(x, 2 * last + 1), x))) AS kept_sha256
 FROM h LEFT JOIN kept USING (doc_id)
 """
+
+
+def _levels(name: str, group: str, most: int) -> str:
+    """Nodes of all levels of the trees of {name}0 ({group}, idx, h), with what stands beside each of them; ``most`` levels hold 16**most leaves a tree."""
+    out = []
+    for k in range(most + 1):
+        out.append(f"""
+{name}s{k} AS (
+  SELECT {group}, idx, h, count(*) OVER (PARTITION BY {group}) AS c,
+    coalesce(string_agg(h, '') OVER (PARTITION BY {group}, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY {group}, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k}),
+{name}{k + 1} AS (
+  SELECT {group}, idx // 16 AS idx, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h
+  FROM {name}s{k} GROUP BY {group}, idx // 16)""")
+    return ",".join(out)
+
+
+def _climb(name: str, on: str, start: str, most: int) -> str:
+    """Rows of ``start`` (…, idx, f, proof) carried to the top of their tree."""
+    out, last = [], start
+    for k in range(most + 1):
+        out.append(f"""
+{start}_{k} AS (
+  SELECT x.* EXCLUDE (idx, f, proof), x.idx // 16 AS idx, CASE WHEN c = 1 THEN f ELSE sha256(l || f || r) END AS f, proof || l || r AS proof
+  FROM {last} x JOIN {name}s{k} s ON {on} AND x.idx = s.idx)""")
+        last = f"{start}_{k}"
+    return ",".join(out)
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BYTE = "lambda c, ch: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, ascii(ch)::BIGINT))"
+_CRC = f"xor(list_reduce(string_split(doc_id::VARCHAR, ''), {_BYTE}, 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(_FIELD.format(text if c == "text" else c) for c in merkle.FIELDS) + "))"
+
+
+#: 16**7 leaves a source and as many sources.
+_MOST = 6
+ORACLE_SQL["op12_merkle"] = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(_LOWERED)} END AS changed
+  FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+a0 AS (SELECT tree, idx, leaf AS h FROM numbered),{_levels("a", "tree", _MOST)},
+subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM a{_MOST + 1}),
+b0 AS (SELECT 0 AS top, place AS idx, subroot AS h FROM subroots),{_levels("b", "top", _MOST)},
+inside AS (SELECT doc_id, tree, leaf, idx, coalesce(changed, leaf) AS f, '' AS proof FROM numbered),{_climb("a", "x.tree = s.tree", "inside", _MOST)},
+outside AS (SELECT doc_id, leaf, subroot, place AS idx, f, proof FROM inside_{_MOST} JOIN subroots USING (tree)),{_climb("b", "s.top = 0", "outside", _MOST)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified
+FROM outside_{_MOST}, b{_MOST + 1}
+"""
+
+ORACLE_SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
