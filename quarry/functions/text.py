@@ -121,3 +121,26 @@ def alias_map(paths_json: Column) -> Column:
     raw = F.from_json(plain, "struct<compilerOptions: struct<paths: map<string, array<string>>>>")["compilerOptions"]["paths"]
     cut = lambda s: F.regexp_replace(s, r"/?\*$", "")
     return F.transform_values(F.transform_keys(raw, lambda k, v: cut(k)), lambda k, v: cut(F.element_at(v, 1)))
+
+
+#: Characters of a gram, by which substrings are looked up, and of the blocks that texts are read in.
+GRAM, BLOCK = 4, 256
+
+
+def blocks(text: Column) -> Column:
+    """A text as pieces of BLOCK characters, each with the first GRAM - 1 of the next: every gram lies in one; linear in the text's length."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    after = F.concat(F.slice(cut, F.lit(2), F.size(cut)), F.array(F.lit("")))
+    return F.zip_with(cut, after, lambda a, b: F.concat(a, F.coalesce(F.left(b, F.lit(GRAM - 1)), F.lit(""))))
+
+
+def grams(block: Column) -> Column:
+    """All different strings of one to GRAM characters in a block."""
+    at = F.sequence(F.lit(1), F.length(block))
+    return F.when(F.length(block) > 0, F.array_distinct(F.flatten(F.transform(at, lambda k: F.array(*(block.substr(k, F.lit(n)) for n in range(1, GRAM + 1))))))).otherwise(F.array().cast("array<string>"))
+
+
+def grams_of_name(name: Column) -> Column:
+    """Grams that every text with ``name`` in it has: those of GRAM characters, for a shorter name itself."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name) - GRAM + 1, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda k: name.substr(k, F.lit(GRAM))))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scores
+from quarry.functions import text as text_functions
 from quarry.functions.text import basename, module_of_document, normal_name
 from quarry.sources.scratch import cut
 
@@ -34,18 +35,21 @@ def document_module(docs: DataFrame, modules: DataFrame) -> DataFrame:
     return both.select(*docs.columns, F.coalesce("_exact", "_loose").alias("module"))
 
 
-def evaluate(docs: DataFrame, paths: DataFrame, judge: Callable[[str], float | None] | None = None) -> DataFrame:
-    """Five scores and the composite of docs (name, text, entities, names); paths is (path).
+def evaluate(docs: DataFrame, paths: DataFrame, names: DataFrame, judge: Callable[[str], float | None] | None = None) -> DataFrame:
+    """Five scores and the composite of docs (name, text, entities); paths is (path).
 
-    The paths are joined as rows against references, never gathered: a document
-    has few references, a repository any number of files.
+    ``names`` has the valid names (entity), of all documents or, with a column
+    ``name``, of that document.  Paths and names are joined as rows against
+    references, never gathered: a document has few references, a repository any
+    number of files and entities.
     """
     refs = docs.select("name", F.explode_outer(F.transform(scores.backtick_references(F.col("text")), lambda r: F.struct(r.alias("ref"), scores.looks_like_path(r).alias("is_path")))).alias("r"))
     flat = refs.select("name", "r.ref", "r.is_path", scores.normal_path(F.col("r.ref")).alias("p"))
     known = paths.select(scores.normal_path(F.col("path")).alias("p")).distinct().withColumn("found", F.lit(True))
     looked = flat.where("is_path").join(known, "p", "left").select("name", "ref", F.coalesce("found", F.lit(False)).alias("ok"))
-    names = docs.select("name", F.transform("names", F.lower).alias("names"))
-    named = flat.where("not is_path").join(names, "name").select("name", "ref", F.array_contains("names", F.lower("ref")).alias("ok"))
+    of_document = [c for c in ("name",) if c in names.columns]
+    valid = names.select(*of_document, F.lower("entity").alias("low")).distinct().withColumn("found", F.lit(True))
+    named = flat.where("not is_path").withColumn("low", F.lower("ref")).join(valid, [*of_document, "low"], "left").select("name", "ref", F.coalesce("found", F.lit(False)).alias("ok"))
     judged = looked.unionByName(named).groupBy("name").agg(F.count("*").alias("n_refs"), F.count_if("ok").alias("n_ok"), F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("ref")))).alias("invalid_references"))
     text = F.col("text")
     scored = docs.join(judged, "name", "left").select(
@@ -74,23 +78,22 @@ def best_rank_by_file(ranked: DataFrame) -> DataFrame:
 def mentioned(subjects: DataFrame, docs: DataFrame) -> DataFrame:
     """Subjects (subject) that some text of ``docs`` contains.
 
-    An occurrence holds the subject's longest word inside one word of the text, so
-    that word is looked up by an equi join among all parts of the texts' different
-    words, no part longer than the longest such word.  A subject without white space
-    is then found; one with more words is verified in the texts that hold the part.
+    An inverted index of the texts' grams, of those alone that some subject has: a
+    subject with a gram that no text has is out; any other is looked up by its rarest
+    gram, and the texts that hold this are searched.  Texts are read in blocks, so
+    one without white space costs no more than any other; equal texts are read once.
     """
-    longest = F.array_max(F.transform(F.split("subject", r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    keys = subjects.select("subject").distinct().where("trim(subject) <> ''").withColumn("part", longest["w"])
-    most = keys.agg(F.coalesce(F.max(F.length("part")), F.lit(0))).head()[0]
-    texts = cut(docs.select(F.xxhash64("text").alias("doc"), "text").dropDuplicates(["doc", "text"]))
-    words = cut(texts.select("doc", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''"))
-    at = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
-    parts = at.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(max(most, 1)), F.length("word") - F.col("at") + 1)), lambda n: F.col("word").substr(F.col("at"), n))).alias("part"))
-    hits = cut(keys.join(parts, "part").select("subject", "word").distinct())
-    plain = ~F.col("subject").rlike(r"\s")
-    single = hits.where(plain).select("subject")
-    several = hits.where(~plain).join(words, "word").select("subject", "doc").distinct().join(texts, "doc").where(F.col("text").contains(F.col("subject"))).select("subject")
-    return single.unionByName(several).distinct()
+    keys = cut(subjects.select("subject").distinct().where("trim(subject) <> ''"))
+    of_subject = keys.select("subject", F.explode(text_functions.grams_of_name(F.col("subject"))).alias("gram"))
+    texts = cut(docs.where("text is not null").groupBy(F.sha2("text", 256).alias("doc")).agg(F.first("text").alias("text")))
+    asked = of_subject.select("gram").distinct()
+    seen = texts.select("doc", F.explode(text_functions.blocks(F.col("text"))).alias("block")).select("doc", F.explode(text_functions.grams(F.col("block"))).alias("gram"))
+    postings = cut(seen.join(asked, "gram", "left_semi").distinct())
+    counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = of_subject.join(counts, "gram", "left").groupBy("subject").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    candidates = rarest.where("r.n > 0").select("subject", F.col("r.gram").alias("gram")).join(postings, "gram").select("subject", "doc")
+    found = candidates.join(texts, "doc").where(F.col("text").contains(F.col("subject"))).select("subject").distinct()
+    return found
 
 
 def gaps(files: DataFrame, entities: DataFrame, configs: DataFrame, docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import text
 from quarry.functions.text import basename, decorator_name, resolve_dots
 from quarry.sources.scratch import cut
 
@@ -166,11 +167,27 @@ def decorator_calls(functions: DataFrame, names: DataFrame) -> DataFrame:
     return used.join(names.select("file", F.col("name").alias("used"), "target"), ["file", "used"]).select("file", "name", "used", "target")
 
 
+def contained(values: DataFrame, names: DataFrame) -> DataFrame:
+    """(file, value, used): the different names of a file that occur in its values; values is (file, value), names (file, used).
+
+    Each different value is read once, however many functions have it, and cut into
+    its short strings; a name meets it by its first ones, so rows of one file are
+    spread by these and no value is compared with a name it cannot hold.  An empty
+    name is in every value.
+    """
+    different = values.where("value is not null").select("file", "value").distinct()
+    piece = F.explode(text.blocks(F.col("value"))).alias("block")
+    cut_up = different.select("file", "value", piece).select("file", "value", F.explode(text.grams(F.col("block"))).alias("key")).distinct()
+    keyed = names.where("used is not null").select("file", "used").distinct().withColumn("key", F.left("used", F.lit(text.GRAM)))
+    found = cut_up.join(keyed.where("key <> ''"), ["file", "key"]).where(F.col("value").contains(F.col("used"))).select("file", "value", "used")
+    return found.unionByName(different.join(keyed.where("key = ''"), "file").select("file", "value", "used"))
+
+
 def type_mentions(functions: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """(file, name, used, target, value) where a return type or parameter contains an imported name, within a file."""
     given = functions.select("file", "name", F.explode(column).alias("value")) if dict(functions.dtypes)[column].startswith("array") else functions.select("file", "name", F.col(column).alias("value"))
-    near = given.join(names.select("file", F.col("name").alias("used"), "target"), "file")
-    return near.where(F.col("value").contains(F.col("used"))).select("file", "name", "used", "target", "value")
+    known = names.select("file", F.col("name").alias("used"), "target")
+    return given.join(contained(given, known), ["file", "value"]).join(known, ["file", "used"]).select("file", "name", "used", "target", "value")
 
 
 def super_calls(methods: DataFrame, bases: DataFrame, names: DataFrame) -> DataFrame:
@@ -182,9 +199,10 @@ def super_calls(methods: DataFrame, bases: DataFrame, names: DataFrame) -> DataF
 
 def local_return_calls(functions: DataFrame) -> DataFrame:
     """(file, name, callee): a function of the file that another one's return type names (last dotted part)."""
-    other = functions.select("file", F.col("name").alias("callee"))
     last = F.element_at(F.split("callee", r"\."), -1)
-    return functions.select("file", "name", "return_type").join(other, "file").where(F.col("return_type").contains(last) & (F.col("name") != F.col("callee"))).select("file", "name", "callee")
+    other = functions.select("file", F.col("name").alias("callee")).withColumn("used", last)
+    given = functions.select("file", "name", F.col("return_type").alias("value"))
+    return given.join(contained(given, other), ["file", "value"]).join(other, ["file", "used"]).where("name <> callee").select("file", "name", "callee")
 
 
 def resolve_callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import classify, text
 from quarry.operators import chunks, documents, evaluate, extract, graph, refresh, resolve
+from quarry.operators.communities import communities
 from quarry.sources import repo
 from quarry.sources.scratch import cut, numbered
 
@@ -96,7 +97,7 @@ def build(found: DataFrame, ext: DataFrame, output: str | None = None, *, embed=
     edges = cut(edges_of(ext, resolved, nodes))
     ranked = cut(nodes.join(graph.pagerank(nodes, edges), "id"))
     files = nodes.where("kind = 'file'")
-    member = graph.communities(files, graph.induced(edges, files)).join(files.select("id", "file"), "id")
+    member = communities(files, graph.induced(edges, files)).join(files.select("id", "file"), "id")
     named = graph.module_names(graph.dominant_directory(member.select("community", F.col("file").alias("path"))))
     file_modules = cut(member.join(named, "community").select("file", "module", "community", "id"))
     ranked = cut(graph.with_module(ranked, file_modules))
@@ -178,10 +179,9 @@ def assess(spark: SparkSession, output: str, *, root: str | None = None, judge=N
     paths = repo.files(spark, root, every=True).select("path") if root else p.files.select("path")
     docs = repo.documents(spark, f"{output}/context")
     known = evaluate.document_module(docs, p.modules.select("module"))
-    names = p.nodes.agg(F.array_sort(F.collect_set("name")).alias("names"))
     best = evaluate.best_entities(p.nodes).withColumnRenamed("names", "best")
-    own = known.join(p.modules.select("module", "entities"), "module", "left").crossJoin(F.broadcast(names)).crossJoin(F.broadcast(best))  # one row each
-    scored = evaluate.evaluate(own.select("name", "text", F.coalesce("entities", "best").alias("entities"), "names"), paths, judge)
+    own = known.join(p.modules.select("module", "entities"), "module", "left").crossJoin(F.broadcast(best))  # one row of 20 names
+    scored = evaluate.evaluate(own.select("name", "text", F.coalesce("entities", "best").alias("entities")), paths, p.nodes.select(F.col("name").alias("entity")), judge)
     signals = p.extractions.select("path", F.size(F.coalesce("signal_lines", F.array().cast("array<struct<line_number:int,grp:int,category:string,line_content:string>>"))).alias("signals"))
     configs = p.files.where("file_type = 'config'").select("path").join(signals, "path")
     top = p.nodes.where(F.col("kind").isin("function", "class")).orderBy(F.desc("pagerank"), "ord").limit(20)

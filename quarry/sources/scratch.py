@@ -1,12 +1,16 @@
-"""Lineage cuts in the folder that the cluster names in spark.checkpoint.dir."""
+"""Lineage cuts: tables in the folder that the cluster names in spark.checkpoint.dir, deleted when superseded."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_ROOTS: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where none is set, a new folder of this machine, on a single machine only."""
@@ -19,12 +23,42 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """A folder of any file system that Spark can reach."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _root(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{shared_folder(spark).rstrip('/')}/quarry-core-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_clean, spark, _ROOTS[app])
+    return _ROOTS[app]
+
+
+def _clean(spark: SparkSession, root: str) -> None:
+    try:
+        delete(spark, root)
+    except Exception:  # the session may be gone at exit; the cluster's clean-up has the folder then
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder."""
+    """``df`` written to the shared folder and read back: a lost executor costs no more than the step at hand."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = f"{_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing to come reads."""
+    for df in tables:
+        if path := df.__dict__.pop("cut_path", None):
+            delete(df.sparkSession, path)
 
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:

@@ -25,17 +25,6 @@ def test_edges_and_routes_of_equal_keys(spark):
     assert {tuple(r) for r in graph.merge_edges(edges, nodes).collect()} == {("a", "b", "CONTAINS"), ("a", "yy", "CONTAINS")}
 
 
-def test_communities_are_cliques_and_modularity_is_positive(spark):
-    pairs = [(f"{g}{i}", f"{g}{j}") for g in "xyz" for i in range(4) for j in range(i)] + [("x0", "y0"), ("y1", "z1")]
-    nodes = spark.createDataFrame([(f"{g}{i}", k * 4 + i) for k, g in enumerate("xyz") for i in range(4)] + [("alone", 99)], "id string, ord long")
-    edges = spark.createDataFrame(pairs, "src string, dst string")
-    found = graph.communities(nodes, edges)
-    got = {r.id: r.community for r in found.collect()}
-    assert [len({got[f"{g}{i}"] for i in range(4)}) for g in "xyz"] == [1, 1, 1] and len(set(got.values())) == 4
-    assert graph.modularity(edges, found).head()[0] > 0.5
-    assert graph.modularity(edges.limit(0), found).head()[0] == 0
-
-
 @pytest.mark.parametrize(("changed", "total", "broken", "want"), [(0, 2, 0, "none"), (3, 4, 0, "full"), (1, 4, 0, "partial"), (2, 4, 0, "partial"), (0, 2, 1, "docs_only")])
 def test_decision(spark, changed, total, broken, want):
     old = spark.createDataFrame([(str(k), "h") for k in range(total)], "path string, hash string")
