@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import short_label
-from quarry.sources.scratch import cut
+from quarry.sources.scratch import bucketed, cut, drop
 
 # Fixed values.
 PASSES = ["IMPORTS", "CALLS", "CONTAINS", "INHERITS", "HANDLES"]
@@ -70,32 +70,53 @@ def count_by(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
+def links_of(edges: DataFrame, out: DataFrame) -> DataFrame:
+    """(src, part, dst, share): the edges of a source are dealt over its parts, a vertex cut; out is (src, degree, parts)."""
+    salt = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")
+    return edges.join(out, "src").select("src", salt.alias("part"), "dst", (1 / F.col("degree")).alias("share"))
+
+
+def degrees(edges: DataFrame, most: int) -> DataFrame:
+    """(src, degree, parts): out-degrees, and over how many parts of at most some ``most`` edges a source's are dealt."""
+    return edges.groupBy("src").agg(F.count("*").alias("degree")).withColumn("parts", F.ceil(F.col("degree") / most))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
     """(id, pagerank): unweighted, uniform restart, dangling mass spread evenly.
 
     ``rounds`` fixes the number of rounds; else they end when the total change is
-    under ``tolerance`` a node.  Edges and degrees are written once, dealt out by
-    source; in a round the nodes join their own partial sums, so one shuffle of at
-    most one row a target and task carries it.
+    under ``tolerance`` a node.  Edges and degrees are written once, in buckets of
+    (source, part), so no round shuffles them: the rank of a source is copied to its
+    parts, of which a source with more than a quarter of a task's share of edges has
+    several.  Nodes join their own partial sums, so one shuffle of at most one row a
+    target and task brings a round together.  A round's table goes when the next is
+    written.
     """
+    spark = nodes.sparkSession
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    out = cut(edges.groupBy("src").agg(F.count("*").alias("degree")))
-    links = cut(edges.join(out, "src").select("src", "dst", (1 / F.col("degree")).alias("share")).repartition("src"))
-    known = nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(False).alias("sink")), "id", "left")
-    rank = cut(known.select("id", F.coalesce("sink", F.lit(True)).alias("sink"), F.lit(1.0 / n).alias("pagerank")))
-    lost = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("pagerank"))), F.lit(0.0))).head()[0]
-    none = F.lit(None)
-    for _ in range(rounds if rounds is not None else most):
-        got = links.join(rank.select(F.col("id").alias("src"), "pagerank"), "src").select(F.col("dst").alias("id"), (F.col("pagerank") * F.col("share")).alias("got"), none.cast("boolean").alias("sink"), none.cast("double").alias("before"))
-        own = rank.select("id", F.lit(0.0).alias("got"), "sink", F.col("pagerank").alias("before"))
-        sums = got.unionByName(own).groupBy("id").agg(F.sum("got").alias("got"), F.max("sink").alias("sink"), F.max("before").alias("before")).where("before is not null")
-        value = F.lit((1 - damping) / n + damping * lost / n) + damping * F.col("got")
-        rank = cut(sums.select("id", "sink", value.alias("pagerank"), "before"))
-        lost, change = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("pagerank"))), F.lit(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).head()
-        if rounds is None and change < n * tolerance:
-            break
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = cut(edges.select("src", "dst"))
+    out = cut(degrees(edges, max(1, edges.count() // (4 * tasks))))
+    with bucketed(links_of(edges, out), tasks, "src", "part") as links:
+        known = nodes.select("id").join(out.select(F.col("src").alias("id"), "parts"), "id", "left")
+        rank = cut(known.select("id", F.coalesce("parts", F.lit(0)).cast("int").alias("parts"), F.lit(1.0 / n).alias("pagerank")))
+        at_sinks = F.coalesce(F.sum(F.when(F.col("parts") == 0, F.col("pagerank"))), F.lit(0.0))
+        lost = rank.agg(at_sinks).head()[0]
+        for _ in range(rounds if rounds is not None else most):
+            copies = rank.where("parts > 0").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pagerank")
+            none = F.lit(None)
+            got = links.join(copies, ["src", "part"]).select(F.col("dst").alias("id"), (F.col("pagerank") * F.col("share")).alias("got"), none.cast("int").alias("parts"), none.cast("double").alias("before"))
+            own = rank.select("id", F.lit(0.0).alias("got"), "parts", F.col("pagerank").alias("before"))
+            sums = got.unionByName(own).groupBy("id").agg(F.sum("got").alias("got"), F.max("parts").alias("parts"), F.max("before").alias("before")).where("before is not null")
+            value = F.lit((1 - damping) / n + damping * lost / n) + damping * F.col("got")
+            last, rank = rank, cut(sums.select("id", "parts", value.alias("pagerank"), "before"))
+            drop(last)
+            lost, change = rank.agg(at_sinks, F.sum(F.abs(F.col("pagerank") - F.col("before")))).head()
+            if rounds is None and change < n * tolerance:
+                break
+    drop(edges, out)
     return rank.select("id", "pagerank")
 
 
@@ -115,6 +136,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
+def both_ways() -> Column:
+    """The two sides (id, near) of an edge, one of a loop."""
+    side = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("near"))
+    return F.when(F.col("src") == F.col("dst"), F.array(side("src", "dst"))).otherwise(F.array(side("src", "dst"), side("dst", "src")))
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
@@ -123,9 +150,9 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """One row: modularity of a partition (id, community) of an undirected graph; 0 without edges."""
     at = membership.select(F.col("id"), "community")
     both = edges.join(at.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
-    inside = both.select(F.col("a").alias("community"), F.when(F.col("a") == F.col("b"), 1).otherwise(0).alias("within"), F.lit(1).alias("ends"))
-    other = both.select(F.col("b").alias("community"), F.lit(0).alias("within"), F.lit(1).alias("ends"))
-    sums = inside.unionByName(other).groupBy("community").agg(F.sum("within").alias("l"), F.sum("ends").alias("d"))
+    within = F.when(F.col("a") == F.col("b"), 1).otherwise(0)
+    end = lambda c, w: F.struct(F.col(c).alias("community"), w.alias("within"), F.lit(1).alias("ends"))
+    sums = both.select(F.explode(F.array(end("a", within), end("b", F.lit(0)))).alias("e")).select("e.*").groupBy("community").agg(F.sum("within").alias("l"), F.sum("ends").alias("d"))
     total = sums.agg((F.sum("d") / 2).alias("m"), F.sum("l").alias("inner"), F.sum(F.col("d").cast("double") * F.col("d")).alias("squares"))
     return total.select(F.coalesce(F.col("inner") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m")), F.lit(0.0)).alias("modularity"))
 
@@ -137,7 +164,7 @@ def cohesion(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """
     at = membership.select("id", "community")
     sides = undirected(edges)
-    ways = sides.select(F.col("src").alias("id"), F.col("dst").alias("near")).unionByName(sides.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("near")))
+    ways = sides.select(F.explode(both_ways()).alias("e")).select("e.*")
     seen = ways.join(at, "id").join(at.select(F.col("id").alias("near"), F.col("community").alias("other")), "near", "left")
     same = F.coalesce(F.col("community") == F.col("other"), F.lit(False)).cast("long")
     sums = seen.groupBy("community").agg(F.floor(F.sum(same) / 2).alias("internal_edges"), F.sum(1 - same).alias("external_edges"))
@@ -175,10 +202,11 @@ def crossing_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:
 def module_dependencies(crossing: DataFrame, ranked: DataFrame, keep: int = 3) -> DataFrame:
     """Per module pair: edges, the ``keep`` best ranked targets, and whether the other way exists."""
     keys = ["source_module", "target_module"]
-    targets = crossing.select(*keys, "dst").distinct().join(ranked.select(F.col("id").alias("dst"), "pagerank", "ord"), "dst")
+    per = cut(crossing.groupBy(*keys, "dst").agg(F.count("*").alias("n")))  # the edges are read once
+    targets = per.select(*keys, "dst").join(ranked.select(F.col("id").alias("dst"), "pagerank", "ord"), "dst")
     w = Window.partitionBy(*keys).orderBy(F.desc("pagerank"), "ord")
     best = targets.withColumn("p", F.row_number().over(w)).where(F.col("p") <= keep).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", short_label(F.col("dst")).alias("label")))).alias("top"))
-    counts = crossing.groupBy(*keys).agg(F.count("*").alias("edge_count"))
+    counts = per.groupBy(*keys).agg(F.sum("n").alias("edge_count"))
     back = counts.select(F.col("target_module").alias("source_module"), F.col("source_module").alias("target_module"), F.lit(True).alias("mutual"))
     return counts.join(best, keys).join(back, keys, "left").select(*keys, "edge_count", F.transform("top", lambda t: t["label"]).alias("key_connections"), F.when(F.col("mutual"), "mutual").otherwise("uses").alias("direction"))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,6 +63,19 @@ def drop(*tables: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, buckets: int, *keys: str) -> Iterator[DataFrame]:
+    """``df`` as a table in buckets of ``keys``: joins on these shuffle the other side alone.  It goes with the block."""
+    spark = df.sparkSession
+    name, path = f"quarry_{uuid.uuid4().hex}", f"{_root(spark)}/{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
+
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """``df`` with a row number from 0 in the given order: sorted by ranges, then each range adds the sizes of those before it."""
     rows = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
