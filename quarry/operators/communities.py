@@ -8,8 +8,8 @@ these, and wants the community with the largest gain
     weight - resolution * volume of the node * volume of the community / total
 
 where its own community counts without the node itself.  All nodes move at once, so a
-gate lets a node leave community a for b only if a coin of the round says that a gives
-and b takes: no two neighbours swap, and no community loses members while it gains.
+gate lets a node leave community a for b only if a ranks below b by a hash of the turn,
+so no two neighbours swap; of the next turns the one that frees most nodes is taken.
 Joiners of one community do not see each other; a round that lowers modularity is undone
 and the next lets fewer nodes move.  A level ends when no node wants to move, or rounds
 stop to gain; its communities become the next level's nodes.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from quarry.sources.scratch import cut, drop, numbered
 
 #: A round gains if it adds more than this to the modularity; so many rounds without gain end a level.
-LEAST_GAIN, PATIENCE = 1e-7, 4
+LEAST_GAIN, PATIENCE = 5e-5, 3
+#: Turns of the gate that are compared before a round.
+TURNS = 8
 
 
 @dataclass
@@ -40,10 +42,6 @@ class Level:
     resolution: float
 
 
-def _coin(community: Column, turn: int) -> Column:
-    return F.pmod(F.xxhash64(community, F.lit(turn)), F.lit(1 << 20))
-
-
 def _look(level: Level, homes: DataFrame) -> DataFrame:
     """(id, volume, own, inner, own_volume, best, gain): each node's weight into its community and the best other one; null where there is none."""
     volumes = homes.groupBy("own").agg(F.sum("volume").alias("own_volume"))
@@ -59,38 +57,47 @@ def _look(level: Level, homes: DataFrame) -> DataFrame:
     return every.select("id", "volume", "loop", "own", inner.alias("inner"), "own_volume", (-F.col("best.least")).alias("best"), (F.col("best.value") - here).alias("gain"))
 
 
-def _quality(level: Level, looked: DataFrame) -> tuple[float, int]:
-    """Modularity of the homes that were looked at, and how many nodes want to move."""
+def _wants(level: Level) -> Column:
+    return F.col("gain") > 1e-9 * level.total
+
+
+def _gate(turn: int) -> Column:
+    """Whether this turn's coins let a node leave its community for the best other one."""
+    coin = lambda c: F.xxhash64(c, F.lit(turn))
+    return coin("own") < coin("best")
+
+
+def _quality(level: Level, looked: DataFrame, turn: int) -> tuple[float, int, int]:
+    """Modularity of the homes that were looked at, the turn among the next ones whose gate lets most nodes move, and how many these are."""
     inside = F.sum(F.col("inner") + F.col("loop")) / level.total
     spread = F.sum(F.col("volume") * F.col("own_volume")) * level.resolution / level.total**2
-    row = looked.agg((inside - spread).alias("q"), F.count_if(F.col("gain") > 1e-9 * level.total).alias("n")).head()
-    return row["q"], row["n"]
+    turns = range(turn + 1, turn + 1 + TURNS)
+    row = looked.agg((inside - spread).alias("q"), *(F.count_if(_wants(level) & _gate(k)).alias(f"n{k}") for k in turns)).head()
+    best = max(turns, key=lambda k: row[f"n{k}"])
+    return row["q"], best, row[f"n{best}"]
 
 
 def _settle(level: Level) -> tuple[DataFrame, bool]:
     """The table of (id, own, …) after the level's rounds, and whether any node moved for good."""
-    best = looked = cut(_look(level, level.nodes.withColumn("own", F.col("id"))))
-    top, wanting = _quality(level, best)
-    moved, idle, turn, share = False, 0, 0, 1.0
-    while wanting and idle < PATIENCE:
-        turn += 1
-        gives, takes = _coin(F.col("own"), turn), _coin(F.col("best"), turn)
-        allowed = (F.col("gain") > 1e-9 * level.total) & (gives < takes)
+    looked = cut(_look(level, level.nodes.withColumn("own", F.col("id"))))
+    top, turn, free = _quality(level, looked, 0)
+    moved, idle, share = False, 0, 1.0
+    while free and idle < PATIENCE:
+        allowed = _wants(level) & _gate(turn)
         if share < 1:
             allowed &= F.pmod(F.xxhash64("id", F.lit(-turn)), F.lit(1 << 20)) < int(share * (1 << 20))
         homes = looked.select("id", "volume", "loop", F.when(allowed, F.col("best")).otherwise(F.col("own")).alias("own"))
         after = cut(_look(level, homes))
-        quality, wants = _quality(level, after)
-        if quality < top - 1e-12:
-            drop(after)  # too many joined at once
-            share, idle = share / 2, idle + 1
+        quality, next_turn, next_free = _quality(level, after, turn)
+        if quality < top - 1e-12:  # too many joined at once: undo
+            drop(after)
+            share, idle, turn = share / 2, idle + 1, turn + 1
             continue
         idle = 0 if quality > top + LEAST_GAIN else idle + 1
         moved |= quality > top + 1e-12
         drop(looked)
-        best = looked = after
-        top, wanting = quality, wants
-    return best, moved
+        looked, top, turn, free = after, quality, next_turn, next_free
+    return looked, moved
 
 
 def communities(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0) -> DataFrame:
