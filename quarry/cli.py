@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from quarry import pipeline
 from quarry.sources import repo
+from quarry.sources.folders import PUSHDOWN
 
 
 def named(function: str | None) -> Callable | None:
@@ -38,7 +39,7 @@ def main(argv: list[str] | None = None) -> None:
         if name == "evaluate":
             c.add_argument("--repo", help="a folder whose files the references are held to")
     a = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("quarry").config("spark.checkpoint.dir", f"{a.output}/.checkpoints").getOrCreate()
+    spark = SparkSession.builder.appName("quarry").config("spark.checkpoint.dir", f"{a.output}/.checkpoints").config(PUSHDOWN, "true").getOrCreate()
     source = getattr(a, "source", None)
     if source and ("://" in source or source.startswith("git@")):
         source = repo.checkout(source, f"{a.output}/.source", getattr(a, "branch", None))

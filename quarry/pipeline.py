@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions import classify, text
 from quarry.operators import chunks, documents, evaluate, extract, graph, refresh, resolve
 from quarry.operators.communities import communities
-from quarry.sources import repo
+from quarry.sources import repo, snapshots
 from quarry.sources.scratch import cut, numbered
 
 
@@ -109,9 +109,10 @@ def build(found: DataFrame, ext: DataFrame, output: str | None = None, *, embed=
     deps = graph.module_dependencies(graph.crossing_edges(edges, ranked), ranked)
     out = Parsed(found, ext, ranked, edges, cut(modules), cut(deps))
     if output:
-        for name in ("files", "extractions", "nodes", "edges", "modules", "deps"):
+        for name in ("nodes", "edges", "modules", "deps"):
             repo.save(getattr(out, name), f"{output}/{name}")
-        repo.save(found.select("path", F.col("content_hash").alias("hash")), f"{output}/manifest")
+        for name, rows in (("files", found), ("extractions", ext), ("manifest", found.select("path", F.col("content_hash").alias("hash")))):
+            snapshots.replace(rows, f"{output}/{name}", "path")  # what did not change is not written
         repo.save(file_modules.select(F.col("file").alias("path"), "module"), f"{output}/assignments")
         functions = ext.select(F.col("path").alias("file"), F.explode("functions").alias("f")).select("file", "f.*")
         methods = ext.select(F.col("path").alias("file"), F.explode("classes").alias("c")).select("file", F.col("c.name").alias("cls"), F.explode("c.methods").alias("m")).select("file", "cls", F.col("m.name").alias("name"))

@@ -7,95 +7,31 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from quarry.functions import classify
-from quarry.functions.text import alias_map, line_count
-from quarry.sources.scratch import cut
+from quarry.functions.text import alias_map, line_count, module_slug
+from quarry.sources import snapshots
+from quarry.sources.folders import PUSHDOWN, RepositoryFiles, file_system
 from quarry.sources.ship import ship
 
 HISTORY = 200
 TREE_DEPTH, TREE_LINES = 4, 300
 
 
-#: Bytes of files, and files, that one task reads.
-PART_BYTES, PART_FILES = 32 << 20, 2000
-
-
-def _file_system(root: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/") or "/")
-
-
-class RepositoryFiles(DataSource):
-    """``spark.read.format("repository_files").option("path", root)``: (path, size_bytes, content) of all files below a folder.
-
-    Spark's own file sources pass over names that begin with a dot or an underscore,
-    which package files, ignore files and settings do.  Folders named in ``prune``
-    (comma-joined) are not entered; files over ``most`` bytes have no content.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "repository_files"
-
-    def schema(self) -> str:
-        return "path string, size_bytes long, content binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        prune = self.options.get("prune", "")
-        return _FilesReader(self.options["path"], set(filter(None, prune.split(","))), int(self.options.get("most", -1)))
-
-
-class _FilesReader(DataSourceReader):
-    def __init__(self, root: str, prune: set[str], most: int):
-        self.root, self.prune, self.most = root, prune, most
-
-    def partitions(self) -> list[InputPartition]:
-        """Files in order of their paths, dealt out by bytes and number."""
-        from pyarrow import fs
-
-        system, base = _file_system(self.root)
-        folders, found = [base], []
-        while folders:
-            for info in system.get_file_info(fs.FileSelector(folders.pop())):
-                if info.type == fs.FileType.Directory and info.base_name not in self.prune:
-                    folders.append(info.path)
-                elif info.type == fs.FileType.File:
-                    found.append((info.path, info.size))
-        out: list[list[tuple[str, int]]] = [[]]
-        size = 0
-        for path, n in sorted(found):
-            if out[-1] and (size + n > PART_BYTES or len(out[-1]) >= PART_FILES):
-                out.append([])
-                size = 0
-            out[-1].append((path, n))
-            size += n
-        return [InputPartition(part) for part in out]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        system, base = _file_system(self.root)
-        start = len(base.rstrip("/")) + 1
-        for path, size in partition.value:
-            content = None
-            if self.most < 0 or size <= self.most:
-                with system.open_input_stream(path) as f:
-                    content = f.read()
-            yield path[start:], size, content
-
-
 def files(spark: SparkSession, root: str, *, languages: list[str] | None = None, ignore: list[str] | None = None, every: bool = False) -> DataFrame:
     """(path, file_type, language, size_bytes, line_count, content_hash, text) of a repository's files.
 
-    Skipped folders are not entered and files over the size cap not read; ``every``
-    turns all skip rules off, as a census needs it.
+    Skipped folders are not entered and files over the size cap not read; with
+    ``folders.PUSHDOWN`` set they are not even listed as rows.  ``every`` turns all
+    skip rules off, as a census needs it.
     """
     ship(spark)
     spark.dataSource.register(RepositoryFiles)
-    reader = spark.read.format("repository_files").option("path", root)
+    reader = spark.read.format("repository_files").option("path", root).option("push", spark.conf.get(PUSHDOWN)).option("listings", 2 * spark.sparkContext.defaultParallelism)
     rows = (reader if every else reader.option("prune", ",".join(classify.SKIP_DIRS)).option("most", classify.MAX_BYTES)).load()
-    kept = rows if every else rows.where(classify.is_discovered(F.col("path"), F.col("size_bytes"), languages, ignore))
+    small = F.col("size_bytes") <= classify.MAX_BYTES  # on its own, so that it reaches the source
+    kept = rows if every else rows.where(small).where(classify.is_discovered(F.col("path"), F.col("size_bytes"), languages, ignore))
     text = F.decode(F.when(F.is_valid_utf8("content"), F.col("content")).otherwise(F.make_valid_utf8("content").cast("binary")), "UTF-8")
     return kept.select("path", classify.file_type(F.col("path")).alias("file_type"), classify.language(F.col("path")).alias("language"), "size_bytes", line_count(text).alias("line_count"), F.sha2("content", 256).alias("content_hash"), text.alias("text"))
 
@@ -107,7 +43,7 @@ def census(paths: DataFrame) -> DataFrame:
 
 def ignore_lines(spark: SparkSession, root: str) -> list[str]:
     """Lines of the ignore file at the root, none without one."""
-    system, base = _file_system(root)
+    system, base = file_system(root)
     try:
         with system.open_input_stream(f"{base.rstrip('/')}/.gitignore") as f:
             return f.read().decode("utf-8", "replace").split("\n")
@@ -117,7 +53,7 @@ def ignore_lines(spark: SparkSession, root: str) -> list[str]:
 
 def documents(spark: SparkSession, folder: str, *, recursive: bool = False) -> DataFrame:
     """(name, text) of Markdown files, flat or with all folders below; none where the folder is missing."""
-    system, base = _file_system(folder)
+    system, base = file_system(folder)
     if system.get_file_info(base).type.name == "NotFound":
         return spark.createDataFrame([], "name string, text string")
     ship(spark)
@@ -209,14 +145,12 @@ def head_commit(repo: str, timeout: int = 10) -> str | None:
 
 
 def store_vectors(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """The chunks of a repository by id; an embedding that the new rows lack is taken from the stored row of the same id and text."""
-    fresh = cut(chunks)
-    old = load(chunks.sparkSession, path)
+    """The chunks of a repository by id; an embedding that the new rows lack is taken from the stored row of the same id and text.  Slots without a changed chunk stay as they are."""
+    old = snapshots.read(chunks.sparkSession, path)
     if old is not None:
         kept = old.select(key, F.col("text").alias("_text"), F.col("embedding").alias("_old"))
-        fresh = fresh.join(kept, key, "left").withColumn("embedding", F.coalesce("embedding", F.when(F.col("_text") == F.col("text"), F.col("_old")))).select(*chunks.columns)
-        fresh = cut(fresh)
-    save(fresh, path)
+        chunks = chunks.join(kept, key, "left").withColumn("embedding", F.coalesce("embedding", F.when(F.col("_text") == F.col("text"), F.col("_old")))).select(*chunks.columns)
+    snapshots.replace(chunks, path, key)
 
 
 def save(df: DataFrame, path: str, *, by: str | None = None, how: str = "overwrite", form: str = "parquet") -> None:
@@ -225,31 +159,22 @@ def save(df: DataFrame, path: str, *, by: str | None = None, how: str = "overwri
 
 
 def load(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame | None:
-    """A stored table; None where there is none."""
+    """A stored table, whole or in slots; None where there is none."""
+    if form == "parquet" and (slotted := snapshots.read(spark, path)) is not None:
+        return slotted
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return None
     return spark.read.format(form).load(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a stored table, if it is there."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def write_documents(docs: DataFrame, folder: str, *, slug: bool = True) -> list[str]:
-    """One Markdown file per document that is not empty: few small files, written one by one, and without check sums that an edit by hand would break."""
-    from quarry.functions.text import module_slug
-
-    system, base = _file_system(folder)
-    system.create_dir(base, recursive=True)
-    names = []
-    for r in docs.where("trim(text) <> ''").select((module_slug(F.col("name")) if slug else F.col("name")).alias("n"), "text").toLocalIterator():
-        with system.open_output_stream(f"{base}/{r['n']}.md") as out:
-            out.write(r["text"].encode())
-        names.append(f"{r['n']}.md")
-    return names
+def write_documents(docs: DataFrame, folder: str, *, slug: bool = True) -> None:
+    """One Markdown file per document that is not empty, written by executors and without check sums that an edit by hand would break."""
+    ship(docs.sparkSession)
+    docs.sparkSession.dataSource.register(RepositoryFiles)
+    name = module_slug(F.col("name")) if slug else F.col("name")
+    rows = docs.where("trim(text) <> ''").select(F.concat(name, F.lit(".md")).alias("name"), F.col("text").cast("binary").alias("content"))
+    rows.write.format("repository_files").mode("append").save(folder)
 
 
 def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:

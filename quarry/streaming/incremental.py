@@ -6,21 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.extract import extractions
-from quarry.operators.refresh import upsert
-from quarry.sources.repo import load, remove, save
-
-#: Finished tables that stay beside the newest, for readers that still hold one.
-KEEP = 2
+from quarry.sources import snapshots
 
 
 def refresh_stream(spark: SparkSession, incoming: str, target: str, checkpoint: str):
-    """Parquet files (path, language, text) that arrive in ``incoming`` replace their rows in ``target``.
+    """Parquet files (path, language, text) that arrive in ``incoming`` replace their rows in ``target``, a table in slots.
 
     Of several versions of a path in a batch the one in the newest file counts, by
-    modification time, then by file name.  Batch n writes the whole table
-    ``target``/n from the one before, so a batch that runs twice gives the same
-    result; it fails where the table before is missing, and deletes those older than
-    ``KEEP`` batches.
+    modification time, then by file name.  Batch n reads and rewrites the slots of its
+    paths alone and becomes version n of the table, so a batch that runs twice gives
+    the same result; it fails where the version before is missing.
     """
     stream = spark.readStream.schema("path string, language string, text string").parquet(incoming)
     stream = stream.select("path", "language", "text", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("age"))
@@ -28,10 +23,12 @@ def refresh_stream(spark: SparkSession, incoming: str, target: str, checkpoint:
     def merge(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("path").agg(F.max_by(F.struct("language", "text"), "age").alias("row")).select("path", "row.*")
         fresh = extractions(newest)
-        old = load(spark, f"{target}/{number - 1}") if number else None
-        if number and old is None:
-            raise FileNotFoundError(f"batch {number} needs the table {target}/{number - 1}, which is missing")
-        save(upsert(old, fresh, "path") if old is not None else fresh, f"{target}/{number}")
-        remove(spark, f"{target}/{number - 1 - KEEP}")
+        if number == 0:
+            snapshots.write(fresh, target, "path", version=0)
+            return
+        snapshots.forget(spark, target, number)
+        if number - 1 not in snapshots.versions(spark, target):
+            raise FileNotFoundError(f"batch {number} needs version {number - 1} of {target}, which is missing")
+        snapshots.upsert(spark, target, fresh, version=number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -104,7 +104,7 @@ def test_commands_end_to_end(spark, tmp_path):
     assert {("file::src/util.py", "file::src/models.py", "IMPORTS"), ("file::web/a.ts", "file::web/lib/b.ts", "IMPORTS")} <= edges
     assert ("func::src/util.py::Job.run", "func::src/models.py::Base.run", "CALLS") in edges
     assert p.nodes.agg(F.sum("pagerank")).head()[0] == pytest.approx(1)
-    stored = {r.chunk_id: r for r in spark.read.parquet(f"{out}/chunks").collect()}
+    stored = {r.chunk_id: r for r in repo.load(spark, f"{out}/chunks").collect()}
     assert {"function::src/util.py::go", "function::src/util.py::Job.run", "class::src/models.py::User", "file_summary::web/a.ts::web/a.ts"} <= set(stored)
     assert all(r.embedding is not None and r.n_tokens > 0 for r in stored.values()) and "# Class: Job" in stored["function::src/util.py::Job.run"].text
     assert 0 <= spark.read.parquet(f"{out}/resolution_rate").head().rate <= 1
@@ -122,9 +122,9 @@ def test_commands_end_to_end(spark, tmp_path):
     assert (row.n_stale, row.n_new, row.decision) == (1, 0, "partial")
     assert context.read_text() == "see `web/lib/b.ts` and \n"
     assert [r.ratio for r in spark.read.parquet(f"{out}/stale_modules").collect()] != []
-    names = {f.name for r in spark.read.parquet(f"{out}/extractions").collect() for f in r.functions}
+    names = {f.name for r in repo.load(spark, f"{out}/extractions").collect() for f in r.functions}
     assert "other" in names and "go" not in names
-    after = {r.chunk_id: r for r in spark.read.parquet(f"{out}/chunks").collect()}
+    after = {r.chunk_id: r for r in repo.load(spark, f"{out}/chunks").collect()}
     assert "function::src/util.py::go" not in after and after["function::src/util.py::other"].embedding is not None
 
 

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pytest
 
+from quarry.sources import snapshots
 from quarry.streaming.incremental import refresh_stream
 
 
@@ -20,7 +21,7 @@ def test_stream_replaces_changed_files(spark, tmp_path):
 
     send(1, [("a.py", "python", "def f():\n    pass\n"), ("b.py", "python", "def g():\n    pass\n")])
     send(2, [("a.py", "python", "def h():\n    pass\n")])
-    got = {r.path: [f.name for f in r.functions] for r in spark.read.parquet(f"{target}/1").collect()}
+    got = {r.path: [f.name for f in r.functions] for r in snapshots.read(spark, target).collect()}
     assert got == {"a.py": ["h"], "b.py": ["g"]}
 
 
@@ -32,12 +33,13 @@ def test_stream_takes_the_newest_file_and_refuses_gaps(spark, tmp_path):
             os.utime(file, (1_000_000 + k, 1_000_000 + k))
     run = lambda: refresh_stream(spark, f"{incoming}/*", str(target), str(tmp_path / "cp")).awaitTermination()
     run()
-    assert [f.name for r in spark.read.parquet(f"{target}/0").collect() for f in r.functions] == ["new"]
+    assert [f.name for r in snapshots.read(spark, str(target)).collect() for f in r.functions] == ["new"]
     for k in range(4):
         spark.createDataFrame([(f"{k}.py", "python", "x = 1\n")], "path string, language string, text string").write.parquet(str(incoming / f"more{k}"))
         run()
-    assert spark.read.parquet(f"{target}/4").count() == 5 and sorted(x.name for x in target.iterdir()) == ["2", "3", "4"]
-    shutil.rmtree(target / "4")
+    assert snapshots.read(spark, str(target)).count() == 5 and snapshots.versions(spark, str(target)) == [2, 3, 4]
+    assert {r.path for r in snapshots.read(spark, str(target), 3).collect()} == {"a.py", "0.py", "1.py", "2.py"}
+    (target / "pointer-4.json").unlink()
     spark.createDataFrame([("z.py", "python", "")], "path string, language string, text string").write.parquet(str(incoming / "last"))
     with pytest.raises(Exception, match="missing"):
         run()
