@@ -68,21 +68,60 @@ def estimated_tokens(text: Column) -> Column:
     return F.greatest(F.ceil(F.length(text) / 4), F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))).cast("int")
 
 
-def counter(ranks: str) -> Callable[[list[str]], list[int]]:
-    """A batch token counter by a file of ranks (base64 tokens and numbers), as the usual byte vocabularies come."""
+class Tokenizer:
+    """A byte vocabulary from a file of ranks (base64 tokens and numbers), loaded once a process."""
 
-    def count(texts: list[str]) -> list[int]:
+    def __init__(self, ranks: str):
+        self.ranks = ranks
+
+    def _encoding(self):
         import base64
 
         import tiktoken
 
-        if ranks not in _ENCODERS:
-            with open(ranks, "rb") as f:
+        if self.ranks not in _ENCODERS:
+            with open(self.ranks, "rb") as f:
                 table = {base64.b64decode(a): int(n) for a, n in map(bytes.split, f)}
-            _ENCODERS[ranks] = tiktoken.Encoding("chunks", pat_str=WORDS, mergeable_ranks=table, special_tokens={})
-        return [len(x) for x in _ENCODERS[ranks].encode_ordinary_batch(texts, num_threads=1)]
+            _ENCODERS[self.ranks] = tiktoken.Encoding("chunks", pat_str=WORDS, mergeable_ranks=table, special_tokens={})
+        return _ENCODERS[self.ranks]
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self._encoding().encode_ordinary_batch(texts, num_threads=1)]
+
+    def cut(self, texts: list[str], most: int) -> list[tuple[str, int]]:
+        """Each text, cut after ``most`` tokens with a notice of what is left, and its tokens then; a token that ends inside a character leaves a replacement mark."""
+        out = []
+        for text, ids in zip(texts, self._encoding().encode_ordinary_batch(texts, num_threads=1), strict=True):
+            if len(ids) > most:
+                text = self._encoding().decode(ids[:most]) + notice(len(ids) - most)
+                out.append((text, len(self._encoding().encode_ordinary(text))))
+            else:
+                out.append((text, len(ids)))
+        return out
+
+
+def notice(left: int) -> str:
+    return f"\n[... truncated, {left} tokens remaining]"
+
 
-    return count
+def limited(text: Column, most: int = TRUNCATE, tokenizer: Callable[[list[str]], list[int]] | None = None) -> Column:
+    """(text, n_tokens): a text of more than ``most`` tokens is cut there, with a notice; null counts as empty.
+
+    A ``Tokenizer`` counts and cuts in one pass of an Arrow function.  Without one, or
+    with a function that only counts, tokens stand for four characters where a text is
+    cut.
+    """
+    if hasattr(tokenizer, "cut"):
+
+        @F.pandas_udf("text string, n_tokens int")
+        def exact(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame(tokenizer.cut(texts.fillna("").tolist(), most), columns=["text", "n_tokens"])
+
+        return exact(text)
+    given = F.coalesce(text, F.lit(""))
+    left = token_counts(given, tokenizer) - most
+    shown = F.when(left > 0, F.concat(F.substring(given, 1, most * 4), F.lit("\n[... truncated, "), left.cast("string"), F.lit(" tokens remaining]"))).otherwise(given)
+    return F.struct(shown.alias("text"), token_counts(shown, tokenizer).alias("n_tokens"))
 
 
 def token_counts(text: Column, count: Callable[[list[str]], list[int]] | None = None) -> Column:
@@ -97,11 +136,6 @@ def token_counts(text: Column, count: Callable[[list[str]], list[int]] | None =
     return tokens(text)
 
 
-def truncated(text: Column, most: int = TRUNCATE, count: Callable[[list[str]], list[int]] | None = None) -> Column:
-    """Texts of more than ``most`` tokens are cut to about that many, with a notice."""
-    return F.when(token_counts(text, count) > most, F.concat(F.substring(text, 1, most * 4), F.lit("\n... [truncated]"))).otherwise(text)
-
-
 def of_repository(files: DataFrame, extractions: DataFrame, nodes: DataFrame, edges: DataFrame, *, count: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
     """Chunks of all functions, methods, classes and files of a parsed repository, one row a ``chunk_id``.
 
@@ -130,7 +164,7 @@ def of_repository(files: DataFrame, extractions: DataFrame, nodes: DataFrame, ed
     whole = base.select(*head, names("exports").alias("exports"), names("classes").alias("classes"), names("functions").alias("functions"))
     kinds = [function_chunks(ranked(free.select(*methods.columns).unionByName(methods), key)), class_chunks(ranked(classes, graph.node_id("class", path, F.col("name")))), file_chunks(ranked(whole, graph.node_id("file", path)))]
     every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).dropDuplicates(["chunk_id"])
-    return every.withColumn("text", truncated(F.col("text"), count=count)).withColumn("n_tokens", token_counts(F.col("text"), count))
+    return every.withColumn("_t", limited(F.col("text"), tokenizer=count)).withColumns({"text": F.col("_t.text"), "n_tokens": F.col("_t.n_tokens")}).drop("_t")
 
 
 def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None, text: str = "text", batch: int = BATCH) -> DataFrame:

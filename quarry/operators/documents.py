@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scores
 from quarry.functions.text import markdown_table, module_slug
+from quarry.operators import graph
 from quarry.sources.scratch import cut
 
 ROUNDS = 3
@@ -84,6 +85,16 @@ def entity_lines(top: DataFrame) -> DataFrame:
     return top.where(F.col("position") <= most).select("kind", "position", line.alias("line"))
 
 
+def explorer_input(modules: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row with the prompt that asks for a module map: all modules by name, then the best functions and classes, or a note that there are none."""
+    top = entity_lines(graph.top_by_kind(ranked))
+    in_order = lambda *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\n")
+    known = module_lines(modules).agg(in_order("module").alias("m"))
+    best = top.withColumn("n", F.when(F.col("kind") == "function", 0).otherwise(1)).agg(in_order("n", "position").alias("t"))
+    said = lambda c, none: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none))
+    return known.crossJoin(best).select(F.concat(F.lit("Modules:\n"), said("m", "(no modules)"), F.lit("\n\nTop entities:\n"), said("t", "(no top entities)")).alias("prompt"))  # one row each
+
+
 def in_module(file: Column, patterns: Column) -> Column:
     """Whether a path begins with a pattern, stars and slashes at its end cut."""
     return F.exists(patterns, lambda p: file.startswith(F.regexp_replace(F.regexp_replace(p, r"\*+$", ""), "/+$", "")))
@@ -197,7 +208,7 @@ def synthesis(entries: DataFrame, found: DataFrame, deps: DataFrame) -> DataFram
     listed = entries.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "name", "description"))), lambda s: F.concat(F.lit("- **"), s["name"], F.lit("**: "), s["description"])), "\n").alias("t"))
     known = found.select(F.explode("known_signals").alias("t"), "name").agg(F.array_join(F.transform(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("name", "t"))), lambda s: s["t"])), lambda t: F.concat(F.lit("- "), t)), "\n").alias("t"))
     table = deps.agg(markdown_table(F.array_sort(F.collect_list(F.struct(F.col("source_module").alias("source"), F.col("target_module").alias("target"), "edge_count", "direction")))).alias("t"))
-    titled = [("project-overview", "# Project Overview", listed), ("conventions", "# Conventions", known), ("AGENTS", "# Agents", listed), ("dependency-index", "# Dependency Index", table)]
+    titled = [("OVERVIEW", "# Project Overview", listed), ("CONVENTIONS", "# Conventions", known), ("AGENTS", "# Agents", listed), ("dependency-index", "# Dependency Index", table)]
     out = None
     for name, title, body in titled:
         doc = body.select(F.lit(name).alias("name"), F.concat(F.lit(f"{title}\n\n"), F.coalesce("t", F.lit(""))).alias("text"))

@@ -12,13 +12,28 @@ from quarry.functions import text as text_functions
 from quarry.functions.text import basename, module_of_document, normal_name
 from quarry.sources.scratch import cut
 
-SYNTHESIS = ["project-overview.md", "conventions.md", "AGENTS.md"]  # fixed values
+SYNTHESIS = ["OVERVIEW.md", "CONVENTIONS.md", "AGENTS.md"]  # fixed values
 
 
 def is_synthesis(name: Column) -> Column:
     return name.isin(SYNTHESIS)
 
 
+def judged_entities(docs: DataFrame, modules: DataFrame, ranked: DataFrame, k: int = 10) -> DataFrame:
+    """docs (name, text, module) with the ``entities`` that each should mention.
+
+    A synthesis document is held to the globally best nodes; a document of a module to
+    the ``k`` best nodes of it, or to those that the module lists; any other to none.
+    """
+    best = best_entities(ranked).withColumnRenamed("names", "_best")
+    w = Window.partitionBy("module").orderBy(F.desc("pagerank"), "ord")
+    top = ranked.where("module is not null").withColumn("p", F.row_number().over(w)).where(F.col("p") <= k)
+    own = top.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("p", "name"))).alias("x")).select("module", F.transform("x", lambda s: s["name"]).alias("_own"))
+    both = docs.join(own, "module", "left").join(modules.select("module", F.col("entities").alias("_listed")), "module", "left").crossJoin(F.broadcast(best))  # one row
+    none = F.array().cast("array<string>")
+    return both.select(*docs.columns, F.when(is_synthesis(F.col("name")), F.col("_best")).otherwise(F.coalesce("_own", "_listed", none)).alias("entities"))
+
+
 def best_entities(ranked: DataFrame, k: int = 20, kinds: list[str] | None = None) -> DataFrame:
     """One row: names of the globally best ranked nodes, in order."""
     rows = ranked.where(F.col("kind").isin(kinds)) if kinds else ranked

@@ -144,7 +144,7 @@ def stored(spark: SparkSession, output: str) -> Parsed:
 def prompts(spark: SparkSession, output: str, embed=None) -> DataFrame:
     """(name, prompt): what an analyst would be told of each module, with the nearest chunks where an embedder is given."""
     p = stored(spark, output)
-    entries = documents.module_map_or_whole(p.modules, p.nodes)
+    entries = documents.module_entries(p.modules.select(F.col("module").alias("name")), documents.module_map(p.modules)) if p.modules.head(1) else documents.whole_repository(p.nodes)
     file_modules = p.modules.select("module", F.explode("files").alias("file"))
     signals = p.extractions.select("path", F.explode("signal_lines").alias("s")).select("path", "s.*")
     none = spark.createDataFrame([], "module string, position int, text string")
@@ -162,13 +162,15 @@ def generate(spark: SparkSession, output: str, fix=None, embed=None) -> DataFram
     p = stored(spark, output)
     repo.save(prompts(spark, output, embed), f"{output}/prompts")
     entries = documents.module_map_or_whole(p.modules, p.nodes)
+    repo.save(documents.explorer_input(p.modules, p.nodes), f"{output}/explorer_prompt")
     file_modules = p.modules.select("module", F.explode("files").alias("file"))
     signals = p.extractions.select("path", F.explode("signal_lines").alias("s")).select("path", "s.*")
     tops = p.modules.select("module", "entities")
     found = cut(documents.findings(entries, tops, documents.module_signals(signals, file_modules), p.deps))
     docs, log = documents.refine(found, fix)
-    every = cut(docs.unionByName(documents.synthesis(entries, found, p.deps)))
-    repo.write_documents(every, f"{output}/context")
+    every = cut(docs.withColumn("file", text.module_slug(F.col("name"))).unionByName(documents.synthesis(entries, found, p.deps).withColumn("file", F.col("name"))))
+    repo.write_documents(every.select(F.col("file").alias("name"), "text"), f"{output}/context", slug=False)
+    every = every.drop("file")
     report = documents.quality_report(every, log)
     repo.save(report, f"{output}/quality_report")
     return report
@@ -180,9 +182,8 @@ def assess(spark: SparkSession, output: str, *, root: str | None = None, judge=N
     paths = repo.files(spark, root, every=True).select("path") if root else p.files.select("path")
     docs = repo.documents(spark, f"{output}/context")
     known = evaluate.document_module(docs, p.modules.select("module"))
-    best = evaluate.best_entities(p.nodes).withColumnRenamed("names", "best")
-    own = known.join(p.modules.select("module", "entities"), "module", "left").crossJoin(F.broadcast(best))  # one row of 20 names
-    scored = evaluate.evaluate(own.select("name", "text", F.coalesce("entities", "best").alias("entities")), paths, p.nodes.select(F.col("name").alias("entity")), judge)
+    own = evaluate.judged_entities(known, p.modules, p.nodes).select("name", "text", "entities")
+    scored = evaluate.evaluate(own, paths, p.nodes.select(F.col("name").alias("entity")), judge)
     signals = p.extractions.select("path", F.size(F.coalesce("signal_lines", F.array().cast("array<struct<line_number:int,grp:int,category:string,line_content:string>>"))).alias("signals"))
     configs = p.files.where("file_type = 'config'").select("path").join(signals, "path")
     top = p.nodes.where(F.col("kind").isin("function", "class")).orderBy(F.desc("pagerank"), "ord").limit(20)

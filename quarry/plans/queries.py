@@ -666,7 +666,7 @@ def report(s, d):
 @query("l13_c25_synthesis", DRAFTS + """, li AS (SELECT string_agg('- **' || name || '**: ' || description, chr(10) ORDER BY name) AS t FROM ent),
 kn AS (SELECT string_agg('- ' || t, chr(10) ORDER BY name, t) AS t FROM (SELECT name, unnest(known) AS t FROM dr)),
 ta AS (SELECT '| Source | Target | Edges | Direction |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || source_module || ' | ' || target_module || ' | ' || n || ' | ' || direction || ' |', chr(10) ORDER BY source_module, target_module) AS t FROM dir)
-SELECT 'project-overview' AS name, '# Project Overview' || chr(10) || chr(10) || t AS text FROM li UNION ALL SELECT 'conventions', '# Conventions' || chr(10) || chr(10) || t FROM kn
+SELECT 'OVERVIEW' AS name, '# Project Overview' || chr(10) || chr(10) || t AS text FROM li UNION ALL SELECT 'CONVENTIONS', '# Conventions' || chr(10) || chr(10) || t FROM kn
 UNION ALL SELECT 'AGENTS', '# Agents' || chr(10) || chr(10) || t FROM li UNION ALL SELECT 'dependency-index', '# Dependency Index' || chr(10) || chr(10) || t FROM ta""", "v_edges", "v_ranked")
 def _(s, d):
     entries, found = _findings(s, d)
@@ -895,10 +895,47 @@ def _(s, d):
     return view(s, d, "v_docs").select("name", scores.usefulness(F.col("text")).alias("score"))
 
 
+@query("c24_entity_lines", "SELECT kind, position, '  ' || CASE kind WHEN 'function' THEN 'func' ELSE 'class' END || ': ' || name || ' (' || file || ') [pagerank=' || printf('%.4f', pagerank) || ']' AS line FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY pagerank DESC, ord) AS position FROM v_ranked) WHERE position <= CASE kind WHEN 'function' THEN 20 WHEN 'class' THEN 10 ELSE 0 END", "v_ranked")
+def _(s, d):
+    return documents.entity_lines(graph.top_by_kind(view(s, d, "v_ranked")))
+
+
+MODULES = "m AS (SELECT r_name AS module, count(*) AS n, round(count(*) / 7.0, 2) AS cohesion, string_agg(n_name, ', ' ORDER BY n_name) FILTER (p <= 5) AS top FROM (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS p FROM v_place) GROUP BY r_name)"
+
+
+@query("c24_module_lines", "WITH " + MODULES + " SELECT module, '- ' || module || ': ' || n || ' files, cohesion=' || printf('%.2f', cohesion) || ', top entities: ' || top AS line FROM m", "v_place")
+def _(s, d):
+    rows = view(s, d, "v_place").groupBy(F.col("r_name").alias("module")).agg(F.array_sort(F.collect_list("file")).alias("files"), F.array_sort(F.collect_list("n_name")).alias("entities"), F.round(F.count("*") / 7.0, 2).alias("cohesion"))
+    return documents.module_lines(rows)
+
+
+@query("j34_module_entries", "SELECT n_name AS name, CASE WHEN nk % 2 = 0 THEN 'Module ' || n_name || ' with 1 files' ELSE '' END AS description, CASE WHEN nk % 2 = 0 THEN file ELSE '' END AS files, CASE WHEN nk % 2 = 0 THEN round(nk / 25.0, 6) ELSE 0.5 END::DOUBLE AS importance FROM v_place", "v_place")
+def _(s, d):
+    p = view(s, d, "v_place")
+    known = p.where("nk % 2 = 0").select(F.col("n_name").alias("module"), F.array("file").alias("files"), F.array("n_name").alias("entities"), (F.col("nk") / 25.0).cast("double").alias("cohesion"))
+    return documents.module_entries(p.select(F.col("n_name").alias("name")), documents.module_map(known)).select("name", "description", "files", "importance")
+
+
+@query("f15_synthesis_documents", "SELECT name, name IN ('OVERVIEW.md', 'CONVENTIONS.md', 'AGENTS.md') AS synthesis FROM (SELECT CASE nk % 6 WHEN 0 THEN 'OVERVIEW.md' WHEN 1 THEN 'CONVENTIONS.md' WHEN 2 THEN 'AGENTS.md' WHEN 3 THEN 'dependency-index.md' ELSE n_name || '.md' END AS name FROM v_place)", "v_place")
+def _(s, d):
+    k = F.col("nk") % 6
+    name = F.when(k == 0, "OVERVIEW.md").when(k == 1, "CONVENTIONS.md").when(k == 2, "AGENTS.md").when(k == 3, "dependency-index.md").otherwise(F.concat("n_name", F.lit(".md")))
+    return view(s, d, "v_place").select(name.alias("name")).withColumn("synthesis", evaluate.is_synthesis(F.col("name")))
+
+
+@query("s11_c21_graph_round_trip", "SELECT 'node' AS type, count(*) AS n, count(DISTINCT id) AS keys FROM v_nodes UNION ALL SELECT 'link', count(*), count(DISTINCT src) FROM v_edges UNION ALL SELECT 'bad', count(*), 0 FROM v_place", "v_edges", "v_nodes", "v_place")
+def _(s, d):
+    """The graph as lines and back, beside a line a file that is none of it."""
+    nodes, edges = view(s, d, "v_nodes"), view(s, d, "v_edges")
+    noise = view(s, d, "v_place").select(F.concat(F.lit('{"type": "node", "id": '), "file").alias("value"))
+    rows = repo.graph_lines(repo.node_link(nodes, edges).unionByName(noise))
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("node.id", "link.src")).alias("keys"))
+
+
 @query("a21_ordered_distinct", "SELECT string_agg(r_name, ',' ORDER BY first) AS names FROM (SELECT r_name, min(nk) AS first FROM v_place GROUP BY r_name)", "v_place")
 def _(s, d):
-    ordered = F.array_sort(F.collect_list(F.struct("nk", "r_name")))
-    return view(s, d, "v_place").agg(F.array_distinct(F.transform(ordered, lambda x: x["r_name"])).alias("names"))
+    firsts = view(s, d, "v_place").groupBy("r_name").agg(F.min("nk").alias("first"))  # what repeats is folded before the list
+    return firsts.agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "r_name"))), lambda x: x["r_name"]).alias("names"))
 
 
 @query("a23_a24_name_universe", "SELECT string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT file) AS files FROM v_nodes WHERE kind IN ('function', 'class')", "v_nodes")

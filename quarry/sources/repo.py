@@ -177,6 +177,35 @@ def write_documents(docs: DataFrame, folder: str, *, slug: bool = True) -> None:
     rows.write.format("repository_files").mode("append").save(folder)
 
 
+NODE = "id string, kind string, name string, file string, ord bigint, pagerank double, module string"
+LINK = "src string, dst string, relation string"
+
+
 def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """JSON lines of nodes and links, for exchange with graph libraries."""
     return nodes.select(F.to_json(F.struct(F.lit("node").alias("type"), *nodes.columns)).alias("value")).unionByName(edges.select(F.to_json(F.struct(F.lit("link").alias("type"), *edges.columns)).alias("value")))
+
+
+def graph_lines(lines: DataFrame, node: str = NODE, link: str = LINK) -> DataFrame:
+    """(type, node, link, bad) of lines (value) as ``node_link`` writes them, of a table or a stream.
+
+    ``bad`` holds a line that is no JSON, has another type or lacks its key; empty lines
+    are left out.
+    """
+    strict = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parse = lambda kind: F.from_json("value", f"type string, {kind}, _bad string", strict)
+    both = lines.where("trim(value) <> ''").select("value", parse(node).alias("n"), parse(link).alias("l"))
+    kind = F.when((F.col("n.type") == "node") & F.col("n._bad").isNull() & F.col("n.id").isNotNull(), "node").when((F.col("l.type") == "link") & F.col("l._bad").isNull() & F.col("l.src").isNotNull() & F.col("l.dst").isNotNull(), "link").otherwise("bad")
+    marked = both.select("value", kind.alias("type"), F.col("n").dropFields("type", "_bad").alias("node"), F.col("l").dropFields("type", "_bad").alias("link"))
+    return marked.select("type", F.when(F.col("type") == "node", F.col("node")).alias("node"), F.when(F.col("type") == "link", F.col("link")).alias("link"), F.when(F.col("type") == "bad", F.col("value")).alias("bad"))
+
+
+def load_graph(spark: SparkSession, path: str, node: str = NODE, link: str = LINK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and the lines that are neither, of a graph that ``node_link`` wrote."""
+    rows = graph_lines(spark.read.text(path), node, link)
+    return rows.where("type = 'node'").select("node.*"), rows.where("type = 'link'").select("link.*"), rows.where("type = 'bad'").select("bad")
+
+
+def stream_graph(spark: SparkSession, folder: str, node: str = NODE, link: str = LINK) -> DataFrame:
+    """``graph_lines`` of files that arrive in a folder."""
+    return graph_lines(spark.readStream.text(folder), node, link)

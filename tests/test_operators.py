@@ -116,7 +116,7 @@ def test_commands_end_to_end(spark, tmp_path):
     assert scored.count() == len(report) and {r.usefulness for r in scored.collect()} == {0.25} and "module" in gaps.columns
     assert pipeline.update(spark, str(root), out).head()["n_stale"] == 0
     (root / "src/util.py").write_text("def other():\n    pass\n")
-    context = next(f for f in (tmp_path / "out/context").glob("*.md") if f.stem not in ("AGENTS", "conventions"))
+    context = next(f for f in (tmp_path / "out/context").glob("*.md") if f.stem not in ("AGENTS", "CONVENTIONS", "OVERVIEW", "dependency-index"))
     context.write_text("see `old/place/b.ts` and `no/such.py`\n")
     row = pipeline.update(spark, str(root), out, embed=vectors).head()
     assert (row.n_stale, row.n_new, row.decision) == (1, 0, "partial")
