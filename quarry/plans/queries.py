@@ -12,8 +12,8 @@ from quarry.functions import classify, scores, signals, text
 from quarry.operators import chunks, documents, evaluate, graph, refresh, resolve
 from quarry.operators.communities import communities
 from quarry.plans.views import oracle, table, view
-from quarry.sources import repo
-from quarry.sources.scratch import cut
+from quarry.sources import repo, vectors
+from quarry.sources.scratch import cut, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -764,6 +764,20 @@ def _(s, d):
 
 # -- chunks and vectors
 
+@query("v7_s15_s16_indexed_nearest", "SELECT count(*) AS queries, sum(least(20, n))::BIGINT AS returned, true AS recalled FROM (SELECT label, count(*) FILTER (WHERE vec_id % 50 = 0) AS q, count(*) AS n FROM embeddings GROUP BY label) g, range(q) r(i)")
+def _(s, d):
+    """The stored index against the search of all rows: as many results, and at least nine tenths of the same."""
+    rows = table(s, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query"))
+    with scratch_folder(s) as path:
+        vectors.build(rows, path, group="label")
+        found = cut(vectors.search(s, path, asked, k=20))
+    exact = chunks.nearest(rows, asked, on="label", k=20).select("query_id", "vec_id")
+    shared = exact.join(found, ["query_id", "vec_id"]).agg(F.count("*").alias("shared"))
+    sums = asked.agg(F.count("*").alias("queries")).crossJoin(found.agg(F.count("*").alias("returned"))).crossJoin(exact.agg(F.count("*").alias("all"))).crossJoin(shared)  # one row each
+    return sums.select("queries", "returned", (F.col("shared") >= 0.9 * F.col("all")).alias("recalled"))
+
+
 @query("v7_nearest", "SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, a.vec_id) AS position FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.label = b.label) WHERE position <= 20")
 def _(s, d):
     e = table(s, d, "embeddings")

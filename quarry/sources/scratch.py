@@ -76,6 +76,16 @@ def bucketed(df: DataFrame, buckets: int, *keys: str) -> Iterator[DataFrame]:
         delete(spark, path)
 
 
+@contextlib.contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of the shared one, which goes with the block."""
+    path = f"{_root(spark)}/{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """``df`` with a row number from 0 in the given order: sorted by ranges, then each range adds the sizes of those before it."""
     rows = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
