@@ -144,7 +144,12 @@ def _(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", text.line_count(F.col("text")).alias("n"))
 
 
-@query("s22_tree")
+@query("s22_tree", """
+WITH p AS (SELECT string_split(path, '/') AS parts FROM v_files),
+e AS (SELECT DISTINCT parts[1:k] AS pp, k = len(parts) AS is_file FROM p, unnest(range(1, least(len(parts), 4) + 1)) AS r(k)),
+shown AS (SELECT * FROM e WHERE len(list_filter(CASE WHEN is_file THEN pp[1:len(pp) - 1] ELSE pp END, lambda x: starts_with(x, '.') AND x <> '.github')) = 0)
+SELECT array_to_string(list_transform(pp, lambda x, i: CASE WHEN i = len(pp) AND is_file THEN '1' ELSE '0' END || x), '/') AS key, repeat('  ', len(pp) - 1) || pp[len(pp)] || CASE WHEN is_file THEN '' ELSE '/' END AS line
+FROM shown ORDER BY key LIMIT 300""", "v_files")
 def _(s, d):
     return repo.tree(view(s, d, "v_files").select("path"))
 
@@ -800,6 +805,15 @@ def _(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", chunks.estimated_tokens(F.col("text")).alias("tokens"))
 
 
+@query("c11_c12_exact_tokens")
+def _(s, d):
+    """Texts cut after 1,500 tokens of a public vocabulary, the default limit of a chunk."""
+    import public_tokenizers
+
+    limited = chunks.limited(F.col("text"), tokenizer=chunks.Tokenizer(str(public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+    return table(s, d, "documents").select("doc_id", limited.alias("t")).select("doc_id", F.length("t.text").alias("n_chars"), "t.n_tokens", F.sha2("t.text", 256).alias("hash"))
+
+
 # -- extraction over derived sources, configuration readers, remaining chunks and scores
 
 
