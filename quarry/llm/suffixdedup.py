@@ -42,6 +42,8 @@ HOT_BYTES = 4 << 20
 GRAM = 8
 #: Bytes of bucket text that a task refines at a time.
 REFINE_BYTES = 1 << 20
+#: Bytes of text whose windows a task names at a time, with some hundred bytes of work for each.
+NAME_BYTES = 1 << 19
 
 
 def anchor_length(total_bytes: int, length: int) -> int:
@@ -77,8 +79,10 @@ def window_buckets(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -
 def _numbers(keys: np.ndarray) -> np.ndarray:
     """Bucket numbers from 1 in the order of the keys; equal keys share one."""
     order = np.argsort(keys)
+    ranked = keys[order]
     fresh = np.ones(len(order), dtype=bool)
-    fresh[1:] = keys[order[1:]] != keys[order[:-1]]
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    del ranked
     out = np.empty(len(order), dtype=np.int32)
     out[order] = np.cumsum(fresh, dtype=np.int32)
     return out
@@ -91,17 +95,19 @@ def refine(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[
     every bucket that still holds several by the bucket numbers ``jump`` bytes
     later, and the next round reads the numbers that this one wrote.
     """
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    at = np.flatnonzero(room >= q)
+    room = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets)) - np.arange(len(data), dtype=np.int32)
+    at = np.flatnonzero(room >= q).astype(np.int32)  # a task's bytes are far below 2**31
     gram = np.zeros(len(at), dtype=np.uint64)
     for k in range(q):
-        gram = (gram << np.uint64(8)) | data[at + k]
+        gram <<= np.uint64(8)
+        gram |= data[at + k]
     pointer = np.zeros(len(data), dtype=np.int32)
     pointer[at] = _numbers(gram)
+    del gram
     depth = q
     while depth < length:
         jump = min(depth, length - depth)
-        at = np.flatnonzero(room >= depth + jump)
+        at = np.flatnonzero(room >= depth + jump).astype(np.int32)
         own = pointer[at]
         open_ = np.bincount(own)[own] > 1  # a bucket of one suffix is sorted already
         several = at[open_]
@@ -134,7 +140,7 @@ def covered_windows(docs: np.ndarray, texts: list[bytes], length: int, q: int) -
 
 def _name(length: int, q: int):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", NAME_BYTES):
             data, offsets = joined_bytes(batch.column(1))
             bucket, row, first, last = window_buckets(data, offsets, length, q)
             ids = np.asarray(batch.column(0))
@@ -145,7 +151,7 @@ def _name(length: int, q: int):
 
 def _send(length: int, q: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", NAME_BYTES):
             data, offsets = joined_bytes(batch.column(2))
             bucket, row, first, last = window_buckets(data, offsets, length, q)
             wanted = batch.column(3).to_pylist()
