@@ -12,7 +12,7 @@ from quarry.functions import classify, scores, signals, text
 from quarry.operators import chunks, documents, evaluate, graph, refresh, resolve
 from quarry.operators.communities import communities
 from quarry.plans.views import oracle, table, view
-from quarry.sources import repo, vectors
+from quarry.sources import repo, snapshots, vectors
 from quarry.sources.scratch import cut, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,6 +421,44 @@ def _(s, d):
     return graph.module_subgraph(view(s, d, "v_edges"), view(s, d, "v_ranked"), "ASIA")
 
 
+@query("g14_module_crossings", """
+WITH x AS (SELECT e.relation, a.name AS a, b.name AS b, a.module AS source_module, b.module AS target_module FROM v_edges e JOIN v_ranked a ON a.id = e.src JOIN v_ranked b ON b.id = e.dst WHERE relation IN ('CALLS', 'IMPORTS') AND a.module <> b.module),
+l AS (SELECT source_module AS module, a || ' → ' || b || ' (in ' || target_module || ') [' || relation || ']' AS line FROM x UNION ALL SELECT target_module, a || ' (in ' || source_module || ') → ' || b || ' [' || relation || ']' FROM x)
+SELECT module, position, line FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY line) AS position FROM l) WHERE position <= 40""", "v_edges", "v_ranked")
+def _(s, d):
+    return graph.module_crossings(view(s, d, "v_edges"), view(s, d, "v_ranked")).select("module", "position", "line")
+
+
+@query("k4_best_functions_and_classes", "SELECT string_agg(name, ',' ORDER BY pagerank DESC, ord) AS names FROM (SELECT * FROM v_ranked WHERE kind IN ('function', 'class') ORDER BY pagerank DESC, ord LIMIT 20)", "v_ranked")
+def _(s, d):
+    return evaluate.best_entities(view(s, d, "v_ranked"), kinds=["function", "class"])
+
+
+@query("l2_whole_repository", """
+SELECT 'root' AS name, 'Whole repository' AS description, (SELECT string_agg(DISTINCT file, ',' ORDER BY file) FROM v_nodes) AS files,
+  (SELECT string_agg(name, ',' ORDER BY ord) FROM (SELECT name, ord FROM v_nodes WHERE kind = 'function' ORDER BY ord LIMIT 10)) || ',' || (SELECT string_agg(name, ',' ORDER BY ord) FROM (SELECT name, ord FROM v_nodes WHERE kind = 'class' ORDER BY ord LIMIT 5)) AS key_entities, 0.5::DOUBLE AS importance""", "v_nodes")
+def _(s, d):
+    return documents.whole_repository(view(s, d, "v_nodes"))
+
+
+@query("s13_s14_u8_slotted_refresh", "SELECT path, hash, 'now' AS state FROM v_files UNION ALL SELECT path, hash, 'before' FROM v_manifest", "v_files", "v_manifest")
+def _(s, d):
+    """A manifest in slots, replaced by the files of today: both versions as they are read back."""
+    with scratch_folder(s) as path:
+        snapshots.write(view(s, d, "v_manifest"), path, "path")
+        snapshots.replace(view(s, d, "v_files").select("path", "hash"), path, "path")
+        read = lambda version: snapshots.read(s, path, version)
+        return cut(read(None).withColumn("state", F.lit("now")).unionByName(read(0).withColumn("state", F.lit("before"))))
+
+
+@query("s17_s18_documents_round_trip", "SELECT regexp_replace(lower(n_name), '[_ ]+', '-', 'g') || '.md' AS name, text FROM v_docs", "v_docs")
+def _(s, d):
+    """Documents written a file a row by tasks, and read back."""
+    with scratch_folder(s) as path:
+        repo.write_documents(view(s, d, "v_docs").select(F.col("n_name").alias("name"), "text"), path)
+        return cut(repo.documents(s, path))
+
+
 @query("t1_w2_last_wins", "SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey")
 def _(s, d):
     return graph.last_wins(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
