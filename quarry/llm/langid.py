@@ -7,8 +7,8 @@ text, damped by a square root and scaled to unit length.
 
 The models are fitted on the driver on a bounded sample of labelled rows: at
 most about ``per_language`` documents of each language of at most
-``longest_sample`` characters, picked by a hash of the id.  Predictions see the
-whole text and nothing else.
+``longest_sample`` characters, picked by a hash of the id; rows of one id are taken or left together.
+Predictions see the whole text and nothing else.
 
 A null text, and a text without any letter, is ``und`` with score 0, as is every
 text when no labelled row exists.  Ties go to the alphabetically first family or

@@ -9,8 +9,9 @@ time.  Then the emptiest bins are dissolved: their pieces are cut to fill the
 gaps of the others, so a group ends with at most one bin that is not full.
 
 A group holds about ``group_docs`` documents at any input size; a third of all
-rows under one source, text or id spreads like the others, as groups depend on
-id and text together.  A null or empty text is the separator alone.  Equal lengths
+rows under one source, one text or one id spreads like the others, as groups depend
+on id and text together.  Rows that are equal in both meet in one group, whatever
+their number: ids are taken to tell copies apart.  A null or empty text is the separator alone.  Equal lengths
 are ordered by id; rows with equal ids, null ones included, are packed as separate
 documents, told apart by ``start`` and order only.  Long texts are cut into whole
 sequences first.  An empty table gives an empty result.

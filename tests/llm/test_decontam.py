@@ -127,3 +127,13 @@ def test_find_returns_proximity_matches(spark):
         got = {r.doc_id: (list(r.near_item_ids), list(r.near_words)) for r in decontam.find(df, bench, span=20, part_windows=part_windows).collect()}
         assert got == plain_near(docs, items, 20)
     assert sum(bool(x[0]) for x in got.values()) > 20
+
+
+def test_proximity_of_empty_tables_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "one two three four", "x", 5), (2, None, "y", 6)], "doc_id bigint, text string, item_id string, n_words bigint")
+    bench = spark.createDataFrame([("a", "two four", 1)], "item_id string, text string, doc_id bigint")
+    got = {r.doc_id: (r.n_words, list(r.near_item_ids), list(r.near_words)) for r in decontam.find(df, bench, span=20).collect()}
+    assert got == {1: (4, ["a"], [1, 2, 3]), 2: (0, [], [])}
+    none = decontam.find(df, bench.limit(0), span=20).collect()
+    assert all(not r.near_item_ids and not r.near_words for r in none) and len(none) == 2
+    assert decontam.find(df.limit(0), bench, span=20).count() == 0

@@ -30,3 +30,10 @@ def test_prediction_reads_the_text_only(spark):
     a = langid.identify(docs, model).collect()
     b = langid.identify(docs.selectExpr("doc_id", "text", "'xx' as lang", "1 as score", "'z' as id"), model).collect()
     assert sorted(a) == sorted(b)
+
+
+def test_repeated_and_missing_ids_in_the_sample(spark):
+    rows = [(7, "the cat and the dog went home", "en")] * 30 + [(8, "der Hund und die Katze gehen heim", "de")] * 30 + [(None, "the end of the day", "en"), (9, "the end", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.identify(df, langid.train(df)).collect()
+    assert len(got) == 62 and {r.lang_pred for r in got if r.doc_id == 7} == {"en"} and {r.lang_pred for r in got if r.doc_id == 8} == {"de"}

@@ -89,6 +89,19 @@ def test_packing_of_repeated_and_missing_ids(spark):
         assert s[0][0] == 0 and sum(n for _, n in s) <= 1024 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:]))
 
 
+def test_packing_of_a_table_of_equal_rows(spark):
+    rows = spark.createDataFrame([(1, "same text here", "en", "s", 14)] * 700, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = packing.pack(rows, BYTE, RANKS).collect()
+    n = len(Tokenizer.from_file(BYTE).encode("same text here", add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in got) == 700 * n and {r.doc_tokens for r in got} == {n}
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    ends = {}
+    for seq, offset, length in places:
+        assert offset == ends.get(seq, 0)
+        ends[seq] = offset + length
+    assert max(ends.values()) <= 1024 and len(ends) == -(-700 * n // 1024)
+
+
 def test_both_libraries_agree_on_long_mixed_texts():
     slow, fast, rng = Tokenizer.from_file(BYTE), packing._encoder(BYTE, RANKS), random.Random(31)
     bits = ["'s", "'ll", "don't", " ", "  ", "\n", "\t ", "\u00a0", "é", "Æ", "ß", "123", "a1", "_", "-", "<|endoftext|>", "<|", "wörd", "X" * 40, "\r\n", "$%&", "\u00ad"]
