@@ -1,4 +1,4 @@
-"""Command line: parse, generate, evaluate, refresh, run."""
+"""Command line: parse, generate, evaluate, refresh, run, benchmark."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 from quarry import pipeline
+from quarry.operators import documents
 from quarry.sources import repo
 from quarry.sources.folders import PUSHDOWN
 
@@ -38,6 +39,9 @@ def main(argv: list[str] | None = None) -> None:
             c.add_argument(f"--{hook}", help="a callable, as module:name")
         if name == "evaluate":
             c.add_argument("--repo", help="a folder whose files the references are held to")
+    c = commands.add_parser("benchmark", help="parse, generate and evaluate several repositories, one after the other")
+    c.add_argument("sources", nargs="+", help="folders or addresses of repositories")
+    c.add_argument("--output", default="quarry-output")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("quarry").config("spark.checkpoint.dir", f"{a.output}/.checkpoints").config(PUSHDOWN, "true").getOrCreate()
     source = getattr(a, "source", None)
@@ -53,6 +57,11 @@ def main(argv: list[str] | None = None) -> None:
         scored, gaps = pipeline.assess(spark, a.output, root=a.repo, judge=named(a.judge))
         scored.select("name", "composite_score").show(truncate=False)
         gaps.show(truncate=False)
+    elif a.command == "benchmark":
+        roots = [repo.checkout(x, f"{a.output}/.source{k}") if "://" in x or x.startswith("git@") else x for k, x in enumerate(a.sources)]
+        results = pipeline.run_benchmark(spark, roots, a.output)
+        results.show(truncate=False)
+        documents.benchmark_totals(results).show()
     elif a.command == "refresh":
         pipeline.update(spark, source, a.output, embed=named(a.embed), count=named(a.count)).show(truncate=False)
     else:

@@ -235,10 +235,11 @@ def _(s, d):
     return view(s, d, "v_ranked").select("id", text.percent(F.col("pagerank")).alias("percent"), text.fixed(F.col("pagerank"), 6).alias("fixed"))
 
 
-@query("c20_common_prefix", "SELECT a.file AS a, b.file AS b, CASE WHEN a.file = b.file THEN 2 WHEN a.r_name = b.r_name THEN 1 ELSE 0 END::BIGINT AS n FROM v_place a, v_place b", "v_place")
+@query("c20_common_prefix", "SELECT a.file AS a, b.file AS b, CASE WHEN a.file = b.file THEN 2 WHEN a.r_name = b.r_name THEN 1 ELSE 0 END::BIGINT AS n FROM v_place a JOIN v_place b ON b.nk = (a.nk * 7 + 3) % 25 OR b.nk = (a.nk + 5) % 25", "v_place")
 def _(s, d):
-    p = view(s, d, "v_place").select("file")
-    return p.select(F.col("file").alias("a")).join(p.select(F.col("file").alias("b"))).select("a", "b", text.common_prefix_parts(F.col("a"), F.col("b")).alias("n"))
+    p = view(s, d, "v_place")
+    a = p.select(F.col("file").alias("a"), F.explode(F.array_distinct(F.array((F.col("nk") * 7 + 3) % 25, (F.col("nk") + 5) % 25))).alias("nk"))
+    return a.join(p.select("nk", F.col("file").alias("b")), "nk").select("a", "b", text.common_prefix_parts(F.col("a"), F.col("b")).alias("n"))
 
 
 # -- graph

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import pipeline
 from quarry.functions import classify, scores
-from quarry.operators import evaluate, extract, graph, providers, refresh, resolve
+from quarry.operators import documents, evaluate, extract, graph, providers, refresh, resolve
 from quarry.sources import repo, scratch
 
 
@@ -189,3 +189,24 @@ def test_path_rules(spark):
     skipped = {"node_modules/x": True, "a/dist/b.py": True, "dist": False, "mydist/b.py": False, "a/.git/b": True}
     df = spark.createDataFrame(list(skipped.items()), "path string, want boolean")
     assert {r.path: r.x for r in df.select("path", classify.in_skipped_dir(F.col("path")).alias("x")).collect()} == skipped
+
+
+def test_benchmark_goes_on_after_an_error(spark, tmp_path, monkeypatch, capsys):
+    """The loop over repositories, its sink and its totals, by the command."""
+    from quarry import cli
+
+    def parse(session, root, output):
+        if root == "bad":
+            raise OSError("not there")
+        return pipeline.Parsed(session.createDataFrame([("a.py", 3), ("b.py", 4)], "path string, line_count int"), *[None] * 5)
+
+    monkeypatch.setattr(pipeline, "parse", parse)
+    monkeypatch.setattr(pipeline, "generate", lambda session, output: None)
+    monkeypatch.setattr(pipeline, "assess", lambda session, output: (session.createDataFrame([(0.5,), (0.7,)], "composite_score double"), None))
+    monkeypatch.setattr(cli.SparkSession, "builder", type("Builder", (), {"appName": lambda self, _: self, "config": lambda self, *_: self, "getOrCreate": lambda self: spark})())
+    cli.main(["benchmark", "one", "bad", "two", "--output", str(tmp_path)])
+    rows = {r.repo: r for r in spark.read.json(f"{tmp_path}/benchmark").collect()}
+    assert set(rows) == {"one", "bad", "two"} and rows["one"].files == 2 and rows["one"].lines == 7 and rows["two"].score == pytest.approx(0.6)
+    assert rows["bad"].error == "OSError: not there" and rows["one"].error is None
+    totals = documents.benchmark_totals(repo.load(spark, f"{tmp_path}/benchmark", "json")).head()
+    assert totals.failed == 1 and totals.score == pytest.approx(0.6) and "not there" in capsys.readouterr().out
