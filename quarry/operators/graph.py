@@ -242,12 +242,12 @@ def impact(deps: DataFrame) -> DataFrame:
 
 def module_subgraphs(edges: DataFrame, modules: DataFrame, most: int = 60) -> DataFrame:
     """(module, position, label): per module its distinct labelled CALLS and IMPORTS edges with an end inside, the first ``most`` by label."""
-    picked = edges.where(F.col("relation").isin(CROSSING))
     m = modules.where("module is not null").select("id", "module")
-    touching = picked.join(m.withColumnRenamed("id", "src"), "src").unionByName(picked.join(m.withColumnRenamed("id", "dst"), "dst"))
     label = F.concat(short_label(F.col("src")), F.lit(" -"), F.col("relation"), F.lit("-> "), short_label(F.col("dst")))
+    # both ends of an edge as rows, so that the edges are read once; ranks of equal labels are equal, so tasks keep few before modules meet
+    ends = edges.where(F.col("relation").isin(CROSSING)).select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), label.alias("label"))
     w = Window.partitionBy("module").orderBy("label")
-    return touching.select("module", label.alias("label")).distinct().withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
+    return ends.join(m, "id").select("module", "label", F.dense_rank().over(w).alias("position")).where(F.col("position") <= most).distinct()
 
 
 def module_subgraph(edges: DataFrame, modules: DataFrame, module: str, most: int = 60) -> DataFrame:

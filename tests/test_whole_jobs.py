@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quarry.operators import graph
 from quarry.plans import queries
 
 
@@ -38,3 +39,16 @@ def by_spark(spark, tables: str, name: str) -> list[tuple]:
 def test_common_prefixes_of_all_pairs(spark, tables):
     got = by_spark(spark, tables, "c20_common_prefix")
     assert len(got) == 25 * 25 and got == by_sql(tables, "c20_common_prefix")
+
+
+def test_module_edges_read_the_edges_once(spark, tables, tmp_path):
+    assert by_spark(spark, tables, "g13_k7_module_edges") == by_sql(tables, "g13_k7_module_edges")
+    rows = [(f"a::{k}", f"b::{k % 7}", "CALLS") for k in range(90)] + [(f"a::{k}", f"a::{k}", "IMPORTS") for k in range(5)] + [("x::a::3", "b::3", "CALLS"), ("a::1", "b::1", "CONTAINS")]
+    spark.createDataFrame(rows, "src string, dst string, relation string").write.parquet(f"{tmp_path}/edges")
+    modules = spark.createDataFrame([(f"a::{k}", "m") for k in range(90)] + [(f"b::{k}", "n" if k % 2 else None) for k in range(7)] + [("x::a::3", "m")], "id string, module string")
+    found = graph.module_subgraphs(spark.read.parquet(f"{tmp_path}/edges"), modules)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [src") == 1
+    label = lambda s, d, r: f"{s.split('::')[-1]} -{r}-> {d.split('::')[-1]}"
+    want = {"m": sorted({label(*r) for r in rows if r[2] != "CONTAINS"})[:60], "n": sorted({label(*r) for r in rows if r[2] == "CALLS" and r[1] in ("b::1", "b::3", "b::5")})[:60]}
+    got = {(r.module, r.position, r.label) for r in found.collect()}
+    assert got == {(m, k + 1, x) for m in want for k, x in enumerate(want[m])} and len(want["m"]) == 60
