@@ -41,6 +41,13 @@ def test_common_prefixes_of_all_pairs(spark, tables):
     assert len(got) == 25 * 25 and got == by_sql(tables, "c20_common_prefix")
 
 
+def test_synthesis_reads_the_crossing_edges_once(spark, tables, monkeypatch):
+    calls, crossing = [], graph.crossing_edges
+    monkeypatch.setattr(graph, "crossing_edges", lambda *a: calls.append(1) or crossing(*a))
+    assert by_spark(spark, tables, "l13_c25_synthesis") == by_sql(tables, "l13_c25_synthesis")
+    assert len(calls) == 1
+
+
 def test_module_edges_read_the_edges_once(spark, tables, tmp_path):
     assert by_spark(spark, tables, "g13_k7_module_edges") == by_sql(tables, "g13_k7_module_edges")
     rows = [(f"a::{k}", f"b::{k % 7}", "CALLS") for k in range(90)] + [(f"a::{k}", f"a::{k}", "IMPORTS") for k in range(5)] + [("x::a::3", "b::3", "CALLS"), ("a::1", "b::1", "CONTAINS")]
