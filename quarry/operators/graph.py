@@ -71,9 +71,10 @@ def count_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def links_of(edges: DataFrame, out: DataFrame) -> DataFrame:
-    """(src, part, dst, share): the edges of a source are dealt over its parts, a vertex cut; out is (src, degree, parts)."""
+    """(src, part, dst): the edges of a source of several parts are dealt over these, a vertex cut; out is (src, degree, parts)."""
+    hubs = F.broadcast(out.where("parts > 1").select("src", "parts"))  # some four for each task
     salt = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")
-    return edges.join(out, "src").select("src", salt.alias("part"), "dst", (1 / F.col("degree")).alias("share"))
+    return edges.join(hubs, "src", "left").select("src", F.coalesce(salt, F.lit(0)).alias("part"), "dst")
 
 
 def degrees(edges: DataFrame, most: int) -> DataFrame:
@@ -86,9 +87,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
 
     ``rounds`` fixes the number of rounds; else they end when the total change is
     under ``tolerance`` a node.  Edges and degrees are written once, in buckets of
-    (source, part), so no round shuffles them: the rank of a source is copied to its
-    parts, of which a source with more than a quarter of a task's share of edges has
-    several.  Nodes join their own partial sums, so one shuffle of at most one row a
+    (source, part), so no round shuffles or sorts them: a table of the sources' shares is
+    built for each bucket, and the share of a source is copied to its parts, of which a
+    source with more than a quarter of a task's share of edges has several.  Nodes join their own partial sums, so one shuffle of at most one row a
     target and task brings a round together.  A round's table goes when the next is
     written.
     """
@@ -100,18 +101,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
     edges = cut(edges.select("src", "dst"))
     out = cut(degrees(edges, max(1, edges.count() // (4 * tasks))))
     with bucketed(links_of(edges, out), tasks, "src", "part") as links:
-        known = nodes.select("id").join(out.select(F.col("src").alias("id"), "parts"), "id", "left")
-        rank = cut(known.select("id", F.coalesce("parts", F.lit(0)).cast("int").alias("parts"), F.lit(1.0 / n).alias("pagerank")))
+        known = nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left")
+        rank = cut(known.select("id", "degree", F.coalesce("parts", F.lit(0)).cast("int").alias("parts"), F.lit(1.0 / n).alias("pagerank")))
         at_sinks = F.coalesce(F.sum(F.when(F.col("parts") == 0, F.col("pagerank"))), F.lit(0.0))
         lost = rank.agg(at_sinks).head()[0]
         for _ in range(rounds if rounds is not None else most):
-            copies = rank.where("parts > 0").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pagerank")
+            share = (F.col("pagerank") / F.col("degree")).alias("got")
+            copies = rank.where("parts > 0").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), share)
             none = F.lit(None)
-            got = links.join(copies, ["src", "part"]).select(F.col("dst").alias("id"), (F.col("pagerank") * F.col("share")).alias("got"), none.cast("int").alias("parts"), none.cast("double").alias("before"))
-            own = rank.select("id", F.lit(0.0).alias("got"), "parts", F.col("pagerank").alias("before"))
-            sums = got.unionByName(own).groupBy("id").agg(F.sum("got").alias("got"), F.max("parts").alias("parts"), F.max("before").alias("before")).where("before is not null")
+            got = links.join(copies.hint("shuffle_hash"), ["src", "part"]).select(F.col("dst").alias("id"), "got", none.cast("long").alias("degree"), none.cast("int").alias("parts"), none.cast("double").alias("before"))
+            own = rank.select("id", F.lit(0.0).alias("got"), "degree", "parts", F.col("pagerank").alias("before"))
+            sums = got.unionByName(own).groupBy("id").agg(F.sum("got").alias("got"), *(F.max(c).alias(c) for c in ("degree", "parts", "before"))).where("before is not null")
             value = F.lit((1 - damping) / n + damping * lost / n) + damping * F.col("got")
-            last, rank = rank, cut(sums.select("id", "parts", value.alias("pagerank"), "before"))
+            last, rank = rank, cut(sums.select("id", "degree", "parts", value.alias("pagerank"), "before"))
             drop(last)
             lost, change = rank.agg(at_sinks, F.sum(F.abs(F.col("pagerank") - F.col("before")))).head()
             if rounds is None and change < n * tolerance:

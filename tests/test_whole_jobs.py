@@ -59,3 +59,15 @@ def test_module_edges_read_the_edges_once(spark, tables, tmp_path):
     want = {"m": sorted({label(*r) for r in rows if r[2] != "CONTAINS"})[:60], "n": sorted({label(*r) for r in rows if r[2] == "CALLS" and r[1] in ("b::1", "b::3", "b::5")})[:60]}
     got = {(r.module, r.position, r.label) for r in found.collect()}
     assert got == {(m, k + 1, x) for m in want for k, x in enumerate(want[m])} and len(want["m"]) == 60
+
+
+def test_edges_are_dealt_without_a_join_of_all_sources(spark, tables):
+    edges = spark.range(4000).selectExpr("CASE WHEN id % 4 = 0 THEN 'hub' ELSE concat('s', id % 50) END AS src", "concat('t', id) AS dst")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.links_of(edges, graph.degrees(edges, 250))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert by_spark(spark, tables, "g4_pagerank") == [(i, pytest.approx(p, abs=2e-6)) for i, p in by_sql(tables, "g4_pagerank")]
