@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import fixed, import_list
@@ -86,20 +86,32 @@ class Tokenizer:
         return _ENCODERS[self.ranks]
 
     def __call__(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self._encoding().encode_ordinary_batch(texts, num_threads=1)]
+        encode = self._encoding().encode_ordinary
+        return [len(encode(text)) for text in texts]
 
     def cut(self, texts: list[str], most: int) -> list[tuple[str, int]]:
-        """Each text, cut after ``most`` tokens with a notice of what is left, and its tokens then; a token that ends inside a character leaves a replacement mark."""
-        out = []
-        for text, ids in zip(texts, self._encoding().encode_ordinary_batch(texts, num_threads=1), strict=True):
+        """Each text, cut after ``most`` tokens with a notice of what is left, and its tokens then; a token that ends inside a character leaves a replacement mark.
+
+        The ids of one text are held at a time.
+        """
+        encoding, out = self._encoding(), []
+        for text in texts:
+            ids = encoding.encode_ordinary(text)
             if len(ids) > most:
-                text = self._encoding().decode(ids[:most]) + notice(len(ids) - most)
-                out.append((text, len(self._encoding().encode_ordinary(text))))
+                text = encoding.decode(ids[:most]) + notice(len(ids) - most)
+                out.append((text, len(encoding.encode_ordinary(text))))
             else:
                 out.append((text, len(ids)))
         return out
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts cross to Python by the thousand, not ten thousand, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def notice(left: int) -> str:
     return f"\n[... truncated, {left} tokens remaining]"
 

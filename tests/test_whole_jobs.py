@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quarry.operators import graph
+from quarry.operators import chunks, graph
 from quarry.plans import queries
 
 
@@ -71,3 +71,20 @@ def test_edges_are_dealt_without_a_join_of_all_sources(spark, tables):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert by_spark(spark, tables, "g4_pagerank") == [(i, pytest.approx(p, abs=2e-6)) for i, p in by_sql(tables, "g4_pagerank")]
+
+
+def test_a_tokenizer_holds_the_ids_of_one_text_at_a_time(monkeypatch):
+    class Encoding:
+        def encode_ordinary(self, text):
+            return list(text)
+
+        def decode(self, ids):
+            return "".join(ids)
+
+        def __getattr__(self, name):  # no call that takes all texts of a batch together
+            raise AssertionError(name)
+
+    tokenizer = chunks.Tokenizer("none")
+    monkeypatch.setattr(tokenizer, "_encoding", lambda: Encoding())
+    shown = "abc" + chunks.notice(2)
+    assert tokenizer.cut(["abcde", "", "ab"], 3) == [(shown, len(shown)), ("", 0), ("ab", 2)] and tokenizer(["abc", ""]) == [3, 0]
