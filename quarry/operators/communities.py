@@ -1,128 +1,271 @@
-"""Louvain communities on DataFrames: local moves as joins, then contraction, level after level.
+"""Louvain communities on DataFrames: local moves in blocks of nodes, then contraction, level after level.
 
 A level's graph has both directions of each edge, (src, dst, w), a loop for what lies
-inside a contracted node, and for each node its volume, the sum of its weights.  In a
-round every node learns its weight into each neighbouring community and the volumes of
-these, and wants the community with the largest gain
+inside a contracted node, and for each node its volume, the sum of its weights.  A node
+wants the neighbouring community with the largest gain
 
     weight - resolution * volume of the node * volume of the community / total
 
-where its own community counts without the node itself.  All nodes move at once, so a
-gate lets a node leave community a for b only if a ranks below b by a hash of the turn,
-so no two neighbours swap; of the next turns the one that frees most nodes is taken.
-Joiners of one community do not see each other; a round that lowers modularity is undone
-and the next lets fewer nodes move.  A level ends when no node wants to move, or rounds
-stop to gain; its communities become the next level's nodes.
+where its own community counts without the node itself.
 
-No row holds more than a pair of nodes or of communities, and no group is gathered: sums
-are combined before each shuffle, a hub's edges and a large community's members are
-rows of joins whose other side has one row a key, which adaptive execution splits.
+A level's nodes are dealt by hash into blocks of about BLOCK edges, packed once.  In a round a block gets the community of each node that it touches, and
+the volumes of these; what is shuffled is a row for each block and node, not each edge.
+A task then moves its block's nodes batch after batch, each batch seeing what those before
+it did, while other blocks' nodes seem to stand still.  In a round half of the blocks move, in
+the next the other half, so that neighbours seldom swap; a lone node joins another lone one
+only if it ranks below that by a hash of the round.  Blocks that move together do not see each
+other's joiners; a round that lowers modularity is undone and the next lets fewer nodes move.
+A level ends when no node wants to move, or rounds stop to gain; its communities become the
+next level's nodes.
+
+No task holds more than a block, the nodes that it touches, and no driver any.  A node with
+more edges than a block is a hub and in none: its edges stay rows of joins whose other side
+has one row a key, and sums are combined before each shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.sources.scratch import cut, drop, numbered
 
 #: A round gains if it adds more than this to the modularity; so many rounds without gain end a level.
 LEAST_GAIN, PATIENCE = 5e-5, 3
-#: Turns of the gate that are compared before a round.
-TURNS = 8
+#: Edges of a block, batches that its nodes move in, and how often a round goes through them; a lone block goes on until none moves, so often at most.
+BLOCK, BATCHES, SWEEPS, MOST_SWEEPS = 1 << 21, 32, 2, 64
 
 
 @dataclass
 class Level:
-    edges: DataFrame
     nodes: DataFrame
+    packed: DataFrame
+    touched: DataFrame
+    hubs: DataFrame | None
+    blocks: int
     total: float
     resolution: float
 
 
-def _look(level: Level, homes: DataFrame) -> DataFrame:
-    """(id, volume, own, inner, own_volume, best, gain): each node's weight into its community and the best other one; null where there is none."""
-    volumes = homes.groupBy("own").agg(F.sum("volume").alias("own_volume"))
-    near = level.edges.where("src <> dst").join(homes.select(F.col("id").alias("dst"), F.col("own").alias("near")), "dst").groupBy("src", "near").agg(F.sum("w").alias("w"))
-    seen = near.join(homes.select(F.col("id").alias("src"), "volume", "own"), "src").join(volumes.select(F.col("own").alias("near"), F.col("own_volume").alias("near_volume")), "near")
-    stay = F.col("near") == F.col("own")
-    value = F.col("w") - level.resolution / level.total * F.col("volume") * F.col("near_volume")
-    best = F.max(F.when(~stay, F.struct(value.alias("value"), (-F.col("near")).alias("least")))).alias("best")
-    per = seen.groupBy("src").agg(F.sum(F.when(stay, F.col("w"))).alias("inner"), best)
-    every = homes.join(per.withColumnRenamed("src", "id"), "id", "left").join(volumes, "own")
-    inner = F.coalesce("inner", F.lit(0.0))
-    here = inner - level.resolution / level.total * F.col("volume") * (F.col("own_volume") - F.col("volume"))
-    return every.select("id", "volume", "loop", "own", inner.alias("inner"), "own_volume", (-F.col("best.least")).alias("best"), (F.col("best.value") - here).alias("gain"))
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as one row: all nodes that it touches, which of them are its own, where the edges of these begin, their other ends by place, and weights unless all are 1."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    src, dst, w = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in range(3))
+    order = np.argsort(src, kind="stable")
+    src, dst, w = src[order], dst[order], w[order]
+    own, first = np.unique(src, return_index=True)
+    ids = np.unique(np.concatenate([own, dst]))
+    cols = [ids, np.searchsorted(ids, own).astype(np.int32), np.append(first, len(src)), np.searchsorted(ids, dst).astype(np.int32), np.zeros(0) if (w == 1).all() else w]
+    yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["block", "ids", "own", "first", "near", "w"])
+
+
+def _touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            at = np.frombuffer(ids.as_buffer(), np.int64)
+            yield pa.record_batch([pa.array(np.full(len(at), block, np.int32)), pa.array(at)], names=["block", "id"])
+
+
+def _unpack(packed: pa.Table, known: pa.Table):
+    """A block's arrays, and what is known of its nodes in their order."""
+    ids, own, first, near, w = (np.frombuffer(packed[c][0].as_buffer(), t) for c, t in (("ids", np.int64), ("own", np.int32), ("first", np.int64), ("near", np.int32), ("w", np.float64)))
+    order = np.argsort(np.asarray(known["id"]))
+    return ids, own, first, near, w if len(w) else np.ones(len(near)), {c: np.asarray(known[c])[order] for c in known.column_names if c != "block"}
+
+
+def _move(scale: float, least: float, alone: bool, share: float, turn: int, still: set[int]):
+    """(id, own, inner): where each of a block's nodes goes, and its weight into the community that it came from; ``scale`` is resolution / total, blocks in ``still`` stay."""
+
+    def move(packed: pa.Table, known: pa.Table) -> pa.Table:
+        if not packed.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "own": pa.array([], pa.int64()), "inner": pa.array([], pa.float64())})
+        ids, own, first, near, w, of = _unpack(packed, known)
+        names, home = np.unique(of["own"], return_inverse=True)
+        volume, size, members = of["volume"][own], np.zeros(len(names)), np.zeros(len(names), np.int64)
+        size[home], members[home] = of["own_volume"], of["members"]
+        coin = (names.astype(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+        degree = np.diff(first)
+        inner = np.bincount(np.repeat(np.arange(len(own)), degree), w * (home[near] == np.repeat(home[own], degree)), minlength=len(own))
+        block = packed["block"][0].as_py()
+        rng = np.random.default_rng([turn, block])
+        for _ in range(0 if block in still else MOST_SWEEPS if alone else SWEEPS):
+            moved = 0
+            for batch in np.array_split(rng.permutation(len(own)), min(len(own), BATCHES)):
+                count = degree[batch]
+                row = np.repeat(np.arange(len(batch)), count)
+                edge = np.repeat(first[batch] - np.cumsum(count) + count, count) + np.arange(len(row))
+                key = row * len(names) + home[near[edge]]
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                into = np.add.reduceat(w[edge[order]], start)
+                row, to = np.divmod(key[start], len(names))
+                mine, own_volume = home[own[batch]], volume[batch]
+                stay = to == mine[row]
+                value = into - scale * own_volume[row] * size[to]
+                here = -scale * own_volume * (size[mine] - own_volume)
+                here[row[stay]] += into[stay]
+                value[stay] = -np.inf
+                begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # every node of a block has an edge
+                top = np.maximum.reduceat(value, begin)
+                best = np.full(len(batch), len(names))
+                np.minimum.at(best, row[value == top[row]], to[value == top[row]])  # ties go to the least community
+                go = top - here > least
+                if share < 1:
+                    go &= rng.random(len(batch)) < share
+                batch, mine, best, own_volume = batch[go], mine[go], best[go], own_volume[go]
+                if not alone:
+                    go = (members[mine] > 1) | (members[best] > 1) | (coin[mine] < coin[best])
+                    batch, mine, best, own_volume = batch[go], mine[go], best[go], own_volume[go]
+                for change, of_node in ((size, own_volume), (members, 1)):
+                    np.subtract.at(change, mine, of_node)
+                    np.add.at(change, best, of_node)
+                home[own[batch]] = best
+                moved += len(batch)
+            if not moved:
+                break
+        return pa.table({"id": ids[own], "own": names[home[own]], "inner": inner})
+
+    return move
+
 
+def _merge(packed: pa.Table, known: pa.Table) -> pa.Table:
+    """A block's edges between communities, summed."""
+    if not packed.num_rows:
+        return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
+    _, own, first, near, w, of = _unpack(packed, known)
+    names, home = np.unique(of["own"], return_inverse=True)
+    key, at = np.unique(np.repeat(home[own], np.diff(first)) * len(names) + home[near], return_inverse=True)
+    return pa.table({"src": names[key // len(names)], "dst": names[key % len(names)], "w": np.bincount(at, w, minlength=len(key))})
 
-def _wants(level: Level) -> Column:
-    return F.col("gain") > 1e-9 * level.total
 
+def _level(ways: DataFrame, total: float, resolution: float) -> Level:
+    """The level of edges (src, dst, w) with loops, packed."""
+    plain = F.col("src") != F.col("dst")
+    per = ways.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("volume"), F.sum(F.when(plain, 0.0).otherwise(F.col("w"))).alias("loop"), F.count_if(plain).alias("degree"))
+    nodes = cut(per)
+    row = nodes.agg(F.sum("degree").alias("edges"), F.coalesce(F.max("degree"), F.lit(0)).alias("most")).head()
+    edges, hubs = ways.where(plain), None
+    if row["most"] > BLOCK:
+        large = nodes.where(F.col("degree") > BLOCK).select(F.col("id").alias("src"))  # fewer than there are blocks
+        hubs, edges = cut(edges.join(F.broadcast(large), "src")), edges.join(F.broadcast(large), "src", "left_anti")
+    blocks = max(1, -(-row["edges"] // BLOCK))
+    dealt = edges.repartition(blocks, "src")
+    packed = cut(dealt.select("src", "dst", "w").mapInArrow(_pack, "block int, ids binary, own binary, first binary, near binary, w binary"))
+    touched = cut(packed.select("block", "ids").mapInArrow(_touched, "block int, id bigint").groupBy("id").agg(F.collect_list("block").alias("blocks")))
+    return Level(nodes, packed, touched, hubs, blocks, total, resolution)
 
-def _gate(turn: int) -> Column:
-    """Whether this turn's coins let a node leave its community for the best other one."""
-    coin = lambda c: F.xxhash64(c, F.lit(turn))
-    return coin("own") < coin("best")
 
+def _in_blocks(level: Level, rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on each block and the rows of the nodes that it touches."""
+    known = level.touched.join(rows, "id").withColumn("block", F.explode("blocks")).drop("blocks")
+    return level.packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(work, schema)
 
-def _quality(level: Level, looked: DataFrame, turn: int) -> tuple[float, int, int]:
-    """Modularity of the homes that were looked at, the turn among the next ones whose gate lets most nodes move, and how many these are."""
+
+def _hub_moves(level: Level, sized: DataFrame) -> DataFrame:
+    """What ``_move`` gives, for hubs."""
+    scale = level.resolution / level.total
+    ends = sized.select(F.col("id").alias("dst"), F.col("own").alias("near"), F.col("own_volume").alias("near_volume"), F.col("coin").alias("near_coin"))
+    near = level.hubs.join(ends, "dst").groupBy("src", "near").agg(F.sum("w").alias("w"), F.first("near_volume").alias("near_volume"), F.first("near_coin").alias("near_coin"))
+    seen = near.join(sized.withColumnRenamed("id", "src"), "src")
+    stay = F.col("near") == F.col("own")
+    value = F.col("w") - scale * F.col("volume") * F.col("near_volume")
+    best = F.max(F.when(~stay, F.struct(value.alias("value"), (-F.col("near")).alias("least"), "near_coin"))).alias("best")
+    per = seen.groupBy(F.col("src").alias("id"), "own", "coin", "volume", "own_volume").agg(F.coalesce(F.sum(F.when(stay, F.col("w"))), F.lit(0.0)).alias("inner"), best)
+    here = F.col("inner") - scale * F.col("volume") * (F.col("own_volume") - F.col("volume"))
+    go = (F.col("best.value") - here > 1e-9 * level.total) & (F.col("coin") < F.col("best.near_coin"))
+    return per.select("id", F.when(go, -F.col("best.least")).otherwise(F.col("own")).alias("own"), "inner")
+
+
+def _round(level: Level, homes: DataFrame, turn: int, share: float) -> tuple[DataFrame, float, int]:
+    """The homes (id, own, ...) after a round, the modularity of those before it, and how many nodes moved."""
+    homes = homes.select("id", "own", "volume", "loop")
+    sizes = homes.groupBy("own").agg(F.sum("volume").alias("own_volume"), F.count("*").alias("members"))
+    sized = homes.join(sizes, "own").select("id", "own", "volume", "loop", "own_volume", "members")
+    alone = level.blocks == 1 and level.hubs is None
+    dealt = np.random.default_rng(turn // 2).permutation(level.blocks).tolist()
+    half = level.blocks // 2
+    still = set() if level.blocks == 1 else set(dealt[:half] if turn % 2 else dealt[half:])
+    move = _move(level.resolution / level.total, 1e-9 * level.total, alone, share, turn, still)
+    moves = _in_blocks(level, sized.drop("loop"), move, "id bigint, own bigint, inner double")
+    if level.hubs is not None:
+        moves = moves.unionByName(_hub_moves(level, sized.withColumn("coin", F.xxhash64("own", F.lit(turn)))))
+    kept = sized.withColumnRenamed("own", "was").join(moves, "id", "left")
+    after = cut(kept.select("id", F.coalesce("own", "was").alias("own"), "was", "volume", "loop", "own_volume", F.coalesce("inner", F.lit(0.0)).alias("inner")))
     inside = F.sum(F.col("inner") + F.col("loop")) / level.total
     spread = F.sum(F.col("volume") * F.col("own_volume")) * level.resolution / level.total**2
-    turns = range(turn + 1, turn + 1 + TURNS)
-    row = looked.agg((inside - spread).alias("q"), *(F.count_if(_wants(level) & _gate(k)).alias(f"n{k}") for k in turns)).head()
-    best = max(turns, key=lambda k: row[f"n{k}"])
-    return row["q"], best, row[f"n{best}"]
+    row = after.agg((inside - spread).alias("q"), F.count_if(F.col("own") != F.col("was")).alias("n")).head()
+    return after, row["q"], row["n"]
 
 
 def _settle(level: Level) -> tuple[DataFrame, bool]:
-    """The table of (id, own, …) after the level's rounds, and whether any node moved for good."""
-    looked = cut(_look(level, level.nodes.withColumn("own", F.col("id"))))
-    top, turn, free = _quality(level, looked, 0)
-    moved, idle, share = False, 0, 1.0
-    while free and idle < PATIENCE:
-        allowed = _wants(level) & _gate(turn)
-        if share < 1:
-            allowed &= F.pmod(F.xxhash64("id", F.lit(-turn)), F.lit(1 << 20)) < int(share * (1 << 20))
-        homes = looked.select("id", "volume", "loop", F.when(allowed, F.col("best")).otherwise(F.col("own")).alias("own"))
-        after = cut(_look(level, homes))
-        quality, next_turn, next_free = _quality(level, after, turn)
-        if quality < top - 1e-12:  # too many joined at once: undo
+    """The table of (id, own, ...) after the level's rounds, and whether any node moved for good."""
+    homes, moved, idle, share, turn = level.nodes.withColumn("own", F.col("id")), False, 0, 1.0, 1
+    after, top, n = _round(level, homes, turn, share)
+    alone = level.blocks == 1 and level.hubs is None
+    while idle < PATIENCE and (n or not alone):
+        turn += 1
+        if not n:  # none in this half
             drop(after)
-            share, idle, turn = share / 2, idle + 1, turn + 1
+            idle += 1
+            after, _, n = _round(level, homes, turn, share)
+            continue
+        later, quality, more = _round(level, after, turn, share)
+        if quality < top - 1e-12:  # too many joined at once: undo
+            drop(after, later)
+            share, idle = share / 2, idle + 1
+            after, _, n = _round(level, homes, turn, share)
             continue
         idle = 0 if quality > top + LEAST_GAIN else idle + 1
         moved |= quality > top + 1e-12
-        drop(looked)
-        looked, top, turn, free = after, quality, next_turn, next_free
-    return looked, moved
+        drop(homes)
+        homes, top, after, n = after, quality, later, more
+    drop(after)
+    return homes, moved
+
+
+def _contracted(level: Level, homes: DataFrame) -> DataFrame:
+    """Edges between the communities, with what lies inside as loops."""
+    own = homes.select("id", "own")
+    parts = _in_blocks(level, own, _merge, "src bigint, dst bigint, w double").unionByName(homes.where("loop <> 0").select(F.col("own").alias("src"), F.col("own").alias("dst"), F.col("loop").alias("w")))
+    if level.hubs is not None:
+        a, b = own.select(F.col("id").alias("src"), F.col("own").alias("a")), own.select(F.col("id").alias("dst"), F.col("own").alias("b"))
+        parts = parts.unionByName(level.hubs.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
+    return cut(parts.groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
 
 def communities(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0) -> DataFrame:
-    """(id, community) of nodes (id, ord) and undirected edges (src, dst), numbered by the order of each community's first node; a node without edges is alone."""
-    every = cut(numbered(nodes.select("id", "ord"), "n", "ord", "id"))
+    """(id, community) of nodes (id, ord) and undirected edges (src, dst), numbered by the order of each community's first node; a node without edges is alone.
+
+    Rows of equal ids are one node and get a row each.
+    """
+    every = cut(numbered(nodes.groupBy("id").agg(F.min("ord").alias("ord"), F.count("*").alias("rows")), "n", "ord", "id"))
     at = every.select("id", "n")
-    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    pairs = pairs.join(at.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
+    pairs = edges.where("src <> dst").join(at.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*", F.lit(1.0).alias("w"))
     ways = cut(ways)
     total = float(ways.agg(F.coalesce(F.sum("w"), F.lit(0.0))).head()[0])
     member = at.select("id", F.col("n").alias("own"))
     while total:
-        weights = ways.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("volume"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop"))
-        level = Level(ways, cut(weights), total, resolution)
+        level = _level(ways, total, resolution)
         settled, moved = _settle(level)
-        homes = settled.select("id", "own")
+        tables = [ways, level.nodes, level.packed, level.touched, settled, *([level.hubs] if level.hubs is not None else [])]
         if not moved:
-            drop(ways, level.nodes, settled)
+            drop(*tables)
             break
-        up = homes.select(F.col("id").alias("own"), F.col("own").alias("top"))
+        up = settled.select(F.col("id").alias("own"), F.col("own").alias("top"))
         before, member = member, cut(member.join(up, "own", "left").select("id", F.coalesce("top", "own").alias("own")))
-        a, b = homes.select(F.col("id").alias("src"), F.col("own").alias("a")), homes.select(F.col("id").alias("dst"), F.col("own").alias("b"))
-        merged = cut(ways.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-        drop(ways, level.nodes, settled, before)
-        ways = merged
+        ways = _contracted(level, settled)
+        drop(*tables, before)
     first = member.join(at, "id").groupBy("own").agg(F.min("n").alias("first"))
-    return member.join(numbered(first, "community", "first").select("own", "community"), "own").select("id", "community")
+    found = member.join(numbered(first, "community", "first").select("own", "community"), "own").join(every.select("id", "rows"), "id")
+    return found.select("id", "community", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_")).drop("_")

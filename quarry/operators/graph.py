@@ -149,12 +149,16 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
-    """One row: modularity of a partition (id, community) of an undirected graph; 0 without edges."""
-    at = membership.select(F.col("id"), "community")
-    both = edges.join(at.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
-    within = F.when(F.col("a") == F.col("b"), 1).otherwise(0)
-    end = lambda c, w: F.struct(F.col(c).alias("community"), w.alias("within"), F.lit(1).alias("ends"))
-    sums = both.select(F.explode(F.array(end("a", within), end("b", F.lit(0)))).alias("e")).select("e.*").groupBy("community").agg(F.sum("within").alias("l"), F.sum("ends").alias("d"))
+    """One row: modularity of a partition (id, community) of an undirected graph; 0 without edges.
+
+    An id with several rows counts each of its edges for each of them; such rows are counted first, not joined.
+    """
+    at = membership.groupBy("id", "community").agg(F.count("*").alias("n"))
+    both = edges.join(at.select(F.col("id").alias("src"), F.col("community").alias("a"), F.col("n").alias("na")), "src").join(at.select(F.col("id").alias("dst"), F.col("community").alias("b"), F.col("n").alias("nb")), "dst")
+    pairs = both.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("ends"))
+    within = F.when(F.col("a") == F.col("b"), F.col("ends")).otherwise(0)
+    end = lambda c, w: F.struct(F.col(c).alias("community"), w.alias("within"), "ends")
+    sums = pairs.select(F.explode(F.array(end("a", within), end("b", F.lit(0).cast("long")))).alias("e")).select("e.*").groupBy("community").agg(F.sum("within").alias("l"), F.sum("ends").alias("d"))
     total = sums.agg((F.sum("d") / 2).alias("m"), F.sum("l").alias("inner"), F.sum(F.col("d").cast("double") * F.col("d")).alias("squares"))
     return total.select(F.coalesce(F.col("inner") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m")), F.lit(0.0)).alias("modularity"))
 

@@ -90,3 +90,24 @@ def test_cliques_lone_nodes_loops_and_no_edges(spark):
     assert [len({got[f"{g}{i}"] for i in range(4)}) for g in "xyz"] == [1, 1, 1] and len(set(got.values())) == 4
     assert sorted(r.community for r in communities(nodes, edges.limit(0)).collect()) == list(range(13))
     assert communities(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_many_blocks_hubs_and_rows_of_equal_ids(spark, monkeypatch):
+    """Blocks of a few edges, and a node with more edges than a block, give no worse a partition; rows of equal ids are one node."""
+    from quarry.operators import communities as module
+
+    n, pairs = planted()
+    pairs = pairs + [(k, 90) for k in range(90)]
+    monkeypatch.setattr(module, "BLOCK", 80)
+    nodes = spark.createDataFrame([(f"n{k}", k) for k in range(n + 1)] + [("n7", 500), ("n7", 501)], "id string, ord long")
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    rows = communities(nodes, edges).collect()
+    assert len(rows) == n + 3 and len({r.community for r in rows if r.id == "n7"}) == 1
+    assert quality(pairs, {int(r.id[1:]): r.community for r in rows}) >= quality(pairs, greedy(n + 1, pairs)) - 0.02
+
+
+def test_modularity_counts_an_edge_for_each_row_of_its_ends(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    at = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", 2), ("d", 2)], "id string, community long")
+    # the rows that a join gives: a-b four times, twice within 1; b-c twice, once within 2; c-d within 2; seven ends in each
+    assert graph.modularity(edges, at).head()[0] == pytest.approx(4 / 7 - (7 * 7 + 7 * 7) / (4 * 7 * 7))
