@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._base import CHUNK_BYTES, chunks, joined_bytes, lower_az, prefix_hash, span_hash, table, word_spans
+from quarry.llm._base import CHUNK_BYTES, chunks, table, word_hashes
 
 #: Digits, a-z and everything beyond ASCII; A-Z are lower-cased before.
 WORD = np.zeros(256, dtype=bool)
@@ -57,10 +57,8 @@ _NONE = np.zeros(0, dtype=np.int64)
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the row of each, and the number of words of each row."""
-    data, offsets = joined_bytes(column)
-    data = lower_az(data)
-    starts, ends, row = word_spans(data, offsets, WORD)
-    return span_hash(prefix_hash(data), starts, ends).view(np.int64), row, np.bincount(row, minlength=len(column))
+    hashes, counts = word_hashes(column, WORD)
+    return hashes.view(np.int64), np.repeat(np.arange(len(column)), counts), counts
 
 
 def _item_windows(width: int):

@@ -1,12 +1,13 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 
-from quarry.llm import decontam
+from quarry.llm import _base, decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -137,3 +138,19 @@ def test_proximity_of_empty_tables_and_clashing_names(spark):
     none = decontam.find(df, bench.limit(0), span=20).collect()
     assert all(not r.near_item_ids and not r.near_words for r in none) and len(none) == 2
     assert decontam.find(df.limit(0), bench, span=20).count() == 0
+
+
+def test_hashing_words_takes_bounded_memory(monkeypatch):
+    """Two megabytes of texts, as a block of the index has them, are hashed in parts; the parts change no hash."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, n)) for n in rng.integers(0, 500, 1000)]
+    column = pa.array([*texts, None, "", "Ab-cd"])
+    decontam.words_of(column.slice(0, 10))
+    tracemalloc.start()
+    got = decontam.words_of(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6, peak
+    monkeypatch.setattr(_base, "HASH_BYTES", 1 << 30, raising=False)
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, decontam.words_of(column), strict=True))
+    assert got[2].tolist()[-3:] == [0, 0, 2] and got[2].sum() == len(got[0]) == len(got[1])
