@@ -239,3 +239,76 @@ def test_windows_are_shuffled_once_for_their_leaders(spark, monkeypatch):
     docs, _ = corpus(3)
     assert passages.find(spark.createDataFrame(docs, "doc_id bigint, text string")).count()
     assert "met" not in plans and "Join" not in plans["shared"].split("mapInArrow")[0].split("MapInArrow")[0]
+
+
+def plain_windows(h, least):
+    """One node after the other from the root; of equal hashes the middle one."""
+    out, stack = [], [(0, len(h) - 1)]
+    while stack:
+        lo, hi = stack.pop()
+        if hi - lo + 1 >= least:
+            c = min((k for k in range(lo, hi + 1) if h[k] == min(h[lo : hi + 1])), key=lambda k: abs(k - (lo + hi) / 2))
+            out.append((lo, c, hi))
+            stack += [(lo, c - 1), (c + 1, hi)]
+    return sorted(out)
+
+
+def test_windows_of_many_texts_equal_those_node_by_node():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        least, offsets = int(rng.choice([1, 2, 7, 20])), np.append(0, np.cumsum(rng.integers(0, 60, 5)))
+        value = rng.integers(0, int(rng.choice([2, 20, 2**60])), offsets[-1]).astype(np.uint64)
+        text, spans = passages.windows_of_texts(value, offsets, least, passages._repeats(value, offsets))
+        for k, (a, z) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            assert sorted(map(tuple, (spans[text == k] - a).tolist())) == plain_windows(value[a:z].tolist(), least)
+
+
+def test_only_pairs_without_a_similar_piece_are_left_unlooked_at():
+    rng, found, left = np.random.default_rng(7), 0, 0
+    for _ in range(300):
+        v, sides, offsets = int(rng.choice([8, 40, 2**60])), ([], []), ([0], [0])
+        for _ in range(4):
+            base = rng.integers(0, v, int(rng.integers(0, 120)))
+            for s in (0, 1):
+                own = np.where(rng.random(len(base)) < rng.random() / 5, rng.integers(0, v, len(base)), base)
+                sides[s].append(np.concatenate([rng.integers(0, v, int(rng.integers(0, 30))), own]))
+                offsets[s].append(offsets[s][-1] + len(sides[s][-1]))
+        (x, y), (xo, yo) = (np.concatenate(t) for t in sides), (np.array(o) for o in offsets)
+        may, _ = passages.may_be_similar(x, xo, y, yo, 20, 0.8)
+        for k in range(4):
+            pieces = passages.similar_pieces(sides[0][k], sides[1][k], 20, 0.8, 0)
+            assert may[k] or not pieces
+            found, left = found + bool(pieces), left + (not may[k])
+    assert found > 100 and left > 100
+
+
+def test_windows_that_few_functions_support_do_not_meet(spark, monkeypatch):
+    """60 documents with a line of 16 words, of which pairs share a passage: hardly a pair meets by fewer functions than a passage needs."""
+    met, label_of = [], passages.table
+
+    def table(df, label):
+        out = label_of(df, label)
+        if label == "unmet":
+            met.extend(out.select("id", "other", "f").distinct().groupBy("id", "other").count().collect())
+        return out
+
+    monkeypatch.setattr(passages, "table", table)
+    rng = random.Random(15)
+    vocab = [f"w{k}" for k in range(50000)]
+    line, docs = text_of(rng, vocab, 16), []
+    for k in range(50):
+        own = text_of(rng, vocab, 60)
+        for _ in range(2 if k % 5 == 0 else 1):
+            docs.append((len(docs), " ".join([*text_of(rng, vocab, 60), *line, *own, *text_of(rng, vocab, 30)])))
+    got = passages.find(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    pairs = {(b[0], a[0]) for a, b in zip(docs, docs[1:]) if a[1].split()[76:136] == b[1].split()[76:136]}
+    assert {(r.doc_id, r.other_doc_id) for r in got} == pairs and len(pairs) == 10
+    assert sum(r[2] < 3 for r in met) < 300  # 1529 where any two windows of equal value met
+
+
+def test_copies_alone_have_their_words_counted(spark):
+    """A filter on the number of words would be moved to before the join and match a pattern in every text."""
+    docs, _ = corpus(3)
+    out = passages.find(spark.createDataFrame([*docs, (100, docs[1][1])], "doc_id bigint, text string"))
+    assert out.where("similarity = 1 and doc_id = 100").count() == 1
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
