@@ -42,6 +42,10 @@ LEAST_GAIN, PATIENCE = 5e-5, 3
 BLOCK, BATCHES, SWEEPS, MOST_SWEEPS = 1 << 21, 32, 2, 64
 
 
+#: What a task answers for a slice of the nodes at once, in all blocks together.
+ANSWERS = 1 << 21
+
+
 @dataclass
 class Level:
     nodes: DataFrame
@@ -49,36 +53,92 @@ class Level:
     touched: DataFrame
     hubs: DataFrame | None
     blocks: int
+    bits: int
     total: float
     resolution: float
 
 
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them (as numpy.unique, which takes longer)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    begin = _begins(ordered)
+    at = np.empty(len(values), np.int32)
+    at[order] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.append(begin, len(values))))
+    return ordered[begin], at
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's edges as one row: all nodes that it touches, which of them are its own, where the edges of these begin, their other ends by place, and weights unless all are 1."""
+    """A partition's edges as one row: all nodes that it touches, which of them are its own, their ids and volumes, where the edges of these begin, their other ends by place, and weights unless all are 1."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    src, dst, w = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in range(3))
-    order = np.argsort(src, kind="stable")
-    src, dst, w = src[order], dst[order], w[order]
-    own, first = np.unique(src, return_index=True)
-    ids = np.unique(np.concatenate([own, dst]))
-    cols = [ids, np.searchsorted(ids, own).astype(np.int32), np.append(first, len(src)), np.searchsorted(ids, dst).astype(np.int32), np.zeros(0) if (w == 1).all() else w]
-    yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["block", "ids", "own", "first", "near", "w"])
+    src, dst = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in range(2))
+    w = np.concatenate([np.asarray(b.column(2)) for b in held]) if held[0].num_columns > 2 else None
+    del held
+    order = np.argsort(src)
+    src, dst, w = src[order], dst[order], None if w is None else w[order]
+    plain = src != dst
+    first = _begins(src)
+    names = src[first]
+    volume = np.diff(np.append(first, len(src))).astype(np.float64) if w is None else np.add.reduceat(w, first)
+    kept = np.add.reduceat(plain, first, dtype=np.int64)
+    if not kept.any():
+        return
+    src, dst, w = src[plain], dst[plain], None if w is None else w[plain]
+    own, volume, first = names[kept > 0], volume[kept > 0], np.append(0, np.cumsum(kept[kept > 0]))
+    ids, at = _places(np.concatenate([own, dst]))
+    cols = [ids, at[: len(own)], own, volume, first, at[len(own) :], np.zeros(0) if w is None or (w == 1).all() else w]
+    yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["block", "ids", *PACKED])
+
+
+#: A block's arrays and their types.
+PACKED = {"own": np.int32, "own_ids": np.int64, "own_volumes": np.float64, "first": np.int64, "near": np.int32, "w": np.float64}
+
+
+def _touched(bits: int):
+    """(part, block, at): the nodes that a block touches in each slice of 2**bits ids, by their place in it."""
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(ids.as_buffer(), np.int64)
+                parts = ids >> bits
+                start = _begins(parts)
+                parts = parts[start]
+                at = [x.tobytes() for x in np.split((ids & ((1 << bits) - 1)).astype(np.uint16), start[1:])]
+                yield pa.record_batch([pa.array(parts), pa.array(np.full(len(parts), block, np.int32)), pa.array(at, pa.binary())], names=["part", "block", "at"])
+
+    return touched
+
+
+def _answer(bits: int, types: dict[str, type]):
+    """(part, block, ...): what is known of the nodes that each block touches in a slice, an array a column."""
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        place = np.zeros(1 << bits, np.int32)
+        place[np.asarray(known["id"]) & ((1 << bits) - 1)] = np.arange(known.num_rows)
+        wanted = [place[np.frombuffer(x.as_buffer(), np.uint16)] for x in asked["at"]]
+        cols = {c: np.asarray(known[c]).astype(t) for c, t in types.items()}
+        return pa.table({"part": asked["part"], "block": asked["block"], **{c: pa.array([col[x].tobytes() for x in wanted], pa.binary()) for c, col in cols.items()}})
+
+    return answer
 
 
-def _touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            at = np.frombuffer(ids.as_buffer(), np.int64)
-            yield pa.record_batch([pa.array(np.full(len(at), block, np.int32)), pa.array(at)], names=["block", "id"])
+def _unpack(packed: pa.Table, known: pa.Table, types: dict[str, type]):
+    """A block's arrays, and what is known of the nodes that it touches, in the order of their ids."""
+    arrays = {c: np.frombuffer(packed[c][0].as_buffer(), t) for c, t in PACKED.items()}
+    order = np.argsort(np.asarray(known["part"]))
+    return arrays, {c: np.concatenate([np.frombuffer(known[c][k].as_buffer(), t) for k in order.tolist()]) for c, t in types.items()}
 
 
-def _unpack(packed: pa.Table, known: pa.Table):
-    """A block's arrays, and what is known of its nodes in their order."""
-    ids, own, first, near, w = (np.frombuffer(packed[c][0].as_buffer(), t) for c, t in (("ids", np.int64), ("own", np.int32), ("first", np.int64), ("near", np.int32), ("w", np.float64)))
-    order = np.argsort(np.asarray(known["id"]))
-    return ids, own, first, near, w if len(w) else np.ones(len(near)), {c: np.asarray(known[c])[order] for c in known.column_names if c != "block"}
+#: What a round and a contraction ask of the nodes.
+STATE, OWN = {"own": np.int64, "own_volume": np.float64, "members": np.int32}, {"own": np.int64}
 
 
 def _move(scale: float, least: float, alone: bool, share: float, turn: int, still: set[int]):
@@ -87,13 +147,16 @@ def _move(scale: float, least: float, alone: bool, share: float, turn: int, stil
     def move(packed: pa.Table, known: pa.Table) -> pa.Table:
         if not packed.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "own": pa.array([], pa.int64()), "inner": pa.array([], pa.float64())})
-        ids, own, first, near, w, of = _unpack(packed, known)
-        names, home = np.unique(of["own"], return_inverse=True)
-        volume, size, members = of["volume"][own], np.zeros(len(names)), np.zeros(len(names), np.int64)
+        block_of, of = _unpack(packed, known, STATE)
+        own, ids, volume, first, near, w = (block_of[c] for c in PACKED)
+        names, home = _places(of["own"])
+        size, members = np.zeros(len(names)), np.zeros(len(names), np.int64)
         size[home], members[home] = of["own_volume"], of["members"]
         coin = (names.astype(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
         degree = np.diff(first)
-        inner = np.bincount(np.repeat(np.arange(len(own)), degree), w * (home[near] == np.repeat(home[own], degree)), minlength=len(own))
+        same = home[near] == np.repeat(home[own], degree)
+        inner = np.add.reduceat(w * same if len(w) else same, first[:-1], dtype=np.float64)  # every node of a block has an edge
+        del same
         block = packed["block"][0].as_py()
         rng = np.random.default_rng([turn, block])
         for _ in range(0 if block in still else MOST_SWEEPS if alone else SWEEPS):
@@ -103,10 +166,13 @@ def _move(scale: float, least: float, alone: bool, share: float, turn: int, stil
                 row = np.repeat(np.arange(len(batch)), count)
                 edge = np.repeat(first[batch] - np.cumsum(count) + count, count) + np.arange(len(row))
                 key = row * len(names) + home[near[edge]]
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                into = np.add.reduceat(w[edge[order]], start)
+                if len(w):
+                    order = np.argsort(key)
+                    key, weights = key[order], w[edge[order]]
+                else:
+                    key.sort()
+                start = _begins(key)
+                into = np.add.reduceat(weights, start) if len(w) else np.diff(np.append(start, len(key))).astype(np.float64)
                 row, to = np.divmod(key[start], len(names))
                 mine, own_volume = home[own[batch]], volume[batch]
                 stay = to == mine[row]
@@ -114,7 +180,7 @@ def _move(scale: float, least: float, alone: bool, share: float, turn: int, stil
                 here = -scale * own_volume * (size[mine] - own_volume)
                 here[row[stay]] += into[stay]
                 value[stay] = -np.inf
-                begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # every node of a block has an edge
+                begin = _begins(row)
                 top = np.maximum.reduceat(value, begin)
                 best = np.full(len(batch), len(names))
                 np.minimum.at(best, row[value == top[row]], to[value == top[row]])  # ties go to the least community
@@ -132,7 +198,7 @@ def _move(scale: float, least: float, alone: bool, share: float, turn: int, stil
                 moved += len(batch)
             if not moved:
                 break
-        return pa.table({"id": ids[own], "own": names[home[own]], "inner": inner})
+        return pa.table({"id": ids, "own": names[home[own]], "inner": inner})
 
     return move
 
@@ -141,33 +207,45 @@ def _merge(packed: pa.Table, known: pa.Table) -> pa.Table:
     """A block's edges between communities, summed."""
     if not packed.num_rows:
         return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
-    _, own, first, near, w, of = _unpack(packed, known)
-    names, home = np.unique(of["own"], return_inverse=True)
-    key, at = np.unique(np.repeat(home[own], np.diff(first)) * len(names) + home[near], return_inverse=True)
-    return pa.table({"src": names[key // len(names)], "dst": names[key % len(names)], "w": np.bincount(at, w, minlength=len(key))})
+    block_of, of = _unpack(packed, known, OWN)
+    own, _, _, first, near, w = (block_of[c] for c in PACKED)
+    names, home = _places(of["own"])
+    key = np.repeat(home[own].astype(np.int64), np.diff(first)) * len(names) + home[near]
+    if len(w):
+        order = np.argsort(key)
+        key, w = key[order], w[order]
+    else:
+        key.sort()
+    start = _begins(key)
+    sums = np.add.reduceat(w, start) if len(w) else np.diff(np.append(start, len(key))).astype(np.float64)
+    return pa.table({"src": names[key[start] // len(names)], "dst": names[key[start] % len(names)], "w": sums})
 
 
 def _level(ways: DataFrame, total: float, resolution: float) -> Level:
-    """The level of edges (src, dst, w) with loops, packed."""
-    plain = F.col("src") != F.col("dst")
-    per = ways.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("volume"), F.sum(F.when(plain, 0.0).otherwise(F.col("w"))).alias("loop"), F.count_if(plain).alias("degree"))
+    """The level of edges (src, dst, w) with loops, packed; without w, edges of weight 1."""
+    plain, w = F.col("src") != F.col("dst"), F.col("w") if "w" in ways.columns else F.lit(1.0)
+    per = ways.groupBy(F.col("src").alias("id")).agg(F.sum(w).alias("volume"), F.sum(F.when(plain, 0.0).otherwise(w)).alias("loop"), F.count_if(plain).alias("degree"))
     nodes = cut(per)
     row = nodes.agg(F.sum("degree").alias("edges"), F.coalesce(F.max("degree"), F.lit(0)).alias("most")).head()
-    edges, hubs = ways.where(plain), None
+    edges, hubs = ways, None
     if row["most"] > BLOCK:
         large = nodes.where(F.col("degree") > BLOCK).select(F.col("id").alias("src"))  # fewer than there are blocks
-        hubs, edges = cut(edges.join(F.broadcast(large), "src")), edges.join(F.broadcast(large), "src", "left_anti")
+        hubs, edges = cut(edges.where(plain).withColumn("w", w).join(F.broadcast(large), "src")), edges.join(F.broadcast(large), "src", "left_anti")
     blocks = max(1, -(-row["edges"] // BLOCK))
-    dealt = edges.repartition(blocks, "src")
-    packed = cut(dealt.select("src", "dst", "w").mapInArrow(_pack, "block int, ids binary, own binary, first binary, near binary, w binary"))
-    touched = cut(packed.select("block", "ids").mapInArrow(_touched, "block int, id bigint").groupBy("id").agg(F.collect_list("block").alias("blocks")))
-    return Level(nodes, packed, touched, hubs, blocks, total, resolution)
+    bits = min(16, max(8, (ANSWERS // blocks).bit_length() - 1))
+    dealt = edges.select("src", "dst", *(["w"] if "w" in ways.columns else [])).repartition(blocks, "src")
+    packed = cut(dealt.mapInArrow(_pack, ", ".join(["block int", "ids binary", *(f"{c} binary" for c in PACKED)])))
+    touched = cut(packed.select("block", "ids").mapInArrow(_touched(bits), "part bigint, block int, at binary"))
+    return Level(nodes, packed, touched, hubs, blocks, bits, total, resolution)
 
 
-def _in_blocks(level: Level, rows: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` on each block and the rows of the nodes that it touches."""
-    known = level.touched.join(rows, "id").withColumn("block", F.explode("blocks")).drop("blocks")
-    return level.packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(work, schema)
+def _in_blocks(level: Level, rows: DataFrame, types: dict[str, type], work, schema: str) -> DataFrame:
+    """``work`` on each block and what is known of the nodes that it touches, which slices of the nodes answer in arrays."""
+    schema_of = ", ".join(["part bigint", "block int", *(f"{c} binary" for c in types)])
+    known = rows.select(F.shiftright("id", level.bits).alias("part"), "id", *types)
+    answers = level.touched.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_answer(level.bits, types), schema_of)
+    tasks = 2 * level.blocks  # hashes of few blocks deal them unevenly
+    return level.packed.drop("ids").repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(work, schema)
 
 
 def _hub_moves(level: Level, sized: DataFrame) -> DataFrame:
@@ -195,7 +273,7 @@ def _round(level: Level, homes: DataFrame, turn: int, share: float) -> tuple[Dat
     half = level.blocks // 2
     still = set() if level.blocks == 1 else set(dealt[:half] if turn % 2 else dealt[half:])
     move = _move(level.resolution / level.total, 1e-9 * level.total, alone, share, turn, still)
-    moves = _in_blocks(level, sized.drop("loop"), move, "id bigint, own bigint, inner double")
+    moves = _in_blocks(level, sized, STATE, move, "id bigint, own bigint, inner double")
     if level.hubs is not None:
         moves = moves.unionByName(_hub_moves(level, sized.withColumn("coin", F.xxhash64("own", F.lit(turn)))))
     kept = sized.withColumnRenamed("own", "was").join(moves, "id", "left")
@@ -235,25 +313,31 @@ def _settle(level: Level) -> tuple[DataFrame, bool]:
 def _contracted(level: Level, homes: DataFrame) -> DataFrame:
     """Edges between the communities, with what lies inside as loops."""
     own = homes.select("id", "own")
-    parts = _in_blocks(level, own, _merge, "src bigint, dst bigint, w double").unionByName(homes.where("loop <> 0").select(F.col("own").alias("src"), F.col("own").alias("dst"), F.col("loop").alias("w")))
+    parts = _in_blocks(level, own, OWN, _merge, "src bigint, dst bigint, w double").unionByName(homes.where("loop <> 0").select(F.col("own").alias("src"), F.col("own").alias("dst"), F.col("loop").alias("w")))
     if level.hubs is not None:
         a, b = own.select(F.col("id").alias("src"), F.col("own").alias("a")), own.select(F.col("id").alias("dst"), F.col("own").alias("b"))
         parts = parts.unionByName(level.hubs.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
     return cut(parts.groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0, in_order: bool = False) -> DataFrame:
     """(id, community) of nodes (id, ord) and undirected edges (src, dst), numbered by the order of each community's first node; a node without edges is alone.
 
-    Rows of equal ids are one node and get a row each.
+    Rows of equal ids are one node and get a row each.  With ``in_order`` ids are whole numbers that are
+    not negative and rise with ``ord``, all ends of edges are among them, and each edge comes once (as
+    ``graph.undirected`` gives them): then nothing is numbered or joined again.
     """
-    every = cut(numbered(nodes.groupBy("id").agg(F.min("ord").alias("ord"), F.count("*").alias("rows")), "n", "ord", "id"))
+    if in_order:
+        every = cut(nodes.groupBy("id").agg(F.count("*").alias("rows")).select("id", "rows", F.col("id").alias("n")))
+        pairs = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    else:
+        every = cut(numbered(nodes.groupBy("id").agg(F.min("ord").alias("ord"), F.count("*").alias("rows")), "n", "ord", "id"))
+        at = every.select("id", "n")
+        pairs = edges.where("src <> dst").join(at.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
+    total = 2.0 * pairs.count()
     at = every.select("id", "n")
-    pairs = edges.where("src <> dst").join(at.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*", F.lit(1.0).alias("w"))
-    ways = cut(ways)
-    total = float(ways.agg(F.coalesce(F.sum("w"), F.lit(0.0))).head()[0])
     member = at.select("id", F.col("n").alias("own"))
     while total:
         level = _level(ways, total, resolution)
@@ -266,6 +350,7 @@ def communities(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0)
         before, member = member, cut(member.join(up, "own", "left").select("id", F.coalesce("top", "own").alias("own")))
         ways = _contracted(level, settled)
         drop(*tables, before)
+    drop(pairs)
     first = member.join(at, "id").groupBy("own").agg(F.min("n").alias("first"))
     found = member.join(numbered(first, "community", "first").select("own", "community"), "own").join(every.select("id", "rows"), "id")
     return found.select("id", "community", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_")).drop("_")

@@ -111,3 +111,74 @@ def test_modularity_counts_an_edge_for_each_row_of_its_ends(spark):
     at = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", 2), ("d", 2)], "id string, community long")
     # the rows that a join gives: a-b four times, twice within 1; b-c twice, once within 2; c-d within 2; seven ends in each
     assert graph.modularity(edges, at).head()[0] == pytest.approx(4 / 7 - (7 * 7 + 7 * 7) / (4 * 7 * 7))
+
+
+def test_blocks_are_answered_in_arrays_and_ids_in_order_are_not_numbered_again(spark, monkeypatch):
+    """A row for each block and slice of nodes, not for each block and node; numbers in order give what names give."""
+    from quarry.operators import communities as module
+
+    n, pairs = planted()
+    pairs = pairs + [(k, 90) for k in range(89)]
+    monkeypatch.setattr(module, "BLOCK", 80)
+    seen, level_of = [], module._level
+
+    def level(*given):
+        out = level_of(*given)
+        seen.append((out.touched.count(), out.nodes.count(), out.blocks))
+        return out
+
+    monkeypatch.setattr(module, "_level", level)
+    nodes = spark.createDataFrame([(k, k) for k in range(n + 1)] + [(7, 7)], "id long, ord long")
+    edges = spark.createDataFrame([(min(p), max(p)) for p in pairs], "src long, dst long")
+    rows = communities(nodes, edges, in_order=True).collect()
+    touched, many, blocks = seen[0]
+    assert many == n + 1 and blocks > 1 and touched <= blocks  # all ids are in one slice
+    got = {r.id: r.community for r in rows}
+    assert len(rows) == n + 2 and sorted(got) == list(range(n + 1))
+    assert quality(pairs, got) >= quality(pairs, greedy(n + 1, pairs)) - 0.02
+    firsts = {}
+    for k in range(n + 1):
+        firsts.setdefault(got[k], k)
+    assert [firsts[c] for c in sorted(firsts)] == sorted(firsts.values()) and sorted(firsts) == list(range(len(firsts)))
+
+
+def test_numbers_in_order_give_what_names_give(spark):
+    n, pairs = planted()
+    names = spark.createDataFrame([(f"n{k}", k) for k in range(n)], "id string, ord long"), spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    numbers = spark.createDataFrame([(5 * k, k) for k in range(n)], "id long, ord long"), spark.createDataFrame([(5 * min(p), 5 * max(p)) for p in pairs], "src long, dst long")
+    by_name = {int(r.id[1:]): r.community for r in communities(*names).collect()}
+    by_number = {r.id // 5: r.community for r in communities(*numbers, in_order=True).collect()}
+    assert sorted(by_name) == sorted(by_number) and quality(pairs, by_number) == pytest.approx(quality(pairs, by_name), abs=0.02)
+
+
+def test_slices_beyond_the_first_and_sparse_ids(spark, monkeypatch):
+    """Ids far apart fall into many slices, whose answers come back in the order of ids."""
+    from quarry.operators import communities as module
+
+    n, pairs = ring_of_cliques()
+    monkeypatch.setattr(module, "BLOCK", 20)
+    nodes = spark.createDataFrame([(k * 100_003, k) for k in range(n)], "id long, ord long")
+    edges = spark.createDataFrame([(min(p) * 100_003, max(p) * 100_003) for p in pairs], "src long, dst long")
+    got = {r.id // 100_003: r.community for r in communities(nodes, edges, in_order=True).collect()}
+    assert quality(pairs, got) >= quality(pairs, greedy(n, pairs)) - 0.02
+
+
+def test_numbered_edges_are_those_of_the_view(spark, tmp_path):
+    """Also for names that several customers share, names that are null and keys of no row."""
+    from quarry.plans import queries
+    from quarry.plans.views import view
+
+    d = "/root/testdata/sf0.001"
+    for name in "nation region customer supplier part orders lineitem".split():
+        rows = spark.read.parquet(f"{d}/{name}.parquet")
+        if name == "customer":
+            rows = rows.selectExpr("*", "CASE WHEN c_custkey = 3 THEN NULL ELSE concat('c', c_custkey % 40) END AS x").drop("c_name").withColumnRenamed("x", "c_name")
+        if name == "supplier":
+            rows = rows.where("s_suppkey <> 2").selectExpr("*", "CASE WHEN s_suppkey = 4 THEN NULL ELSE concat('s', s_suppkey % 6) END AS x").drop("s_name").withColumnRenamed("x", "s_name")
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    nodes = view(spark, str(tmp_path), "v_nodes").where("id IS NOT NULL")
+    numbers = {name: k for k, name in enumerate(sorted({r.id for r in nodes.collect()}))}
+    known = nodes.join(spark.createDataFrame(list(numbers.items()), "id string, n long"), "id").selectExpr("n AS id", "kind", "ord", "file")
+    got = {(r.src, r.dst) for r in queries._numbered_edges(spark, str(tmp_path), known).collect()}
+    want = {(numbers[r.src], numbers[r.dst]) for r in view(spark, str(tmp_path), "v_edges").where("src IS NOT NULL AND dst IS NOT NULL").collect()}
+    assert got == want and len(got) > 100
