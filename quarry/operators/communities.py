@@ -9,7 +9,8 @@ wants the neighbouring community with the largest gain
 where its own community counts without the node itself.
 
 A level's nodes are dealt by hash into blocks of about BLOCK edges, packed once.  In a round a block gets the community of each node that it touches, and
-the volumes of these; what is shuffled is a row for each block and node, not each edge.
+the volumes of these: slices of the nodes answer with an array for each block, so that neither
+edges nor what blocks touch are shuffled as rows.
 A task then moves its block's nodes batch after batch, each batch seeing what those before
 it did, while other blocks' nodes seem to stand still.  In a round half of the blocks move, in
 the next the other half, so that neighbours seldom swap; a lone node joins another lone one
@@ -54,6 +55,7 @@ class Level:
     hubs: DataFrame | None
     blocks: int
     bits: int
+    loops: float
     total: float
     resolution: float
 
@@ -141,19 +143,23 @@ def _unpack(packed: pa.Table, known: pa.Table, types: dict[str, type]):
 STATE, OWN = {"own": np.int64, "own_volume": np.float64, "members": np.int32}, {"own": np.int64}
 
 
+#: What a round gives for a node.
+MOVED = {"id": pa.int64(), "own": pa.int64(), "was": pa.int64(), "volume": pa.float64(), "own_volume": pa.float64(), "inner": pa.float64()}
+
+
 def _move(scale: float, least: float, alone: bool, share: float, turn: int, still: set[int]):
-    """(id, own, inner): where each of a block's nodes goes, and its weight into the community that it came from; ``scale`` is resolution / total, blocks in ``still`` stay."""
+    """A row of MOVED for each of a block's nodes: where it goes, the community that it came from, and its weight into that; ``scale`` is resolution / total, blocks in ``still`` stay."""
 
     def move(packed: pa.Table, known: pa.Table) -> pa.Table:
         if not packed.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "own": pa.array([], pa.int64()), "inner": pa.array([], pa.float64())})
+            return pa.schema(MOVED.items()).empty_table()
         block_of, of = _unpack(packed, known, STATE)
         own, ids, volume, first, near, w = (block_of[c] for c in PACKED)
         names, home = _places(of["own"])
         size, members = np.zeros(len(names)), np.zeros(len(names), np.int64)
         size[home], members[home] = of["own_volume"], of["members"]
         coin = (names.astype(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-        degree = np.diff(first)
+        degree, was = np.diff(first), names[home[own]]
         same = home[near] == np.repeat(home[own], degree)
         inner = np.add.reduceat(w * same if len(w) else same, first[:-1], dtype=np.float64)  # every node of a block has an edge
         del same
@@ -198,19 +204,22 @@ def _move(scale: float, least: float, alone: bool, share: float, turn: int, stil
                 moved += len(batch)
             if not moved:
                 break
-        return pa.table({"id": ids, "own": names[home[own]], "inner": inner})
+        return pa.table({"id": ids, "own": names[home[own]], "was": was, "volume": volume, "own_volume": of["own_volume"][own], "inner": inner})
 
     return move
 
 
 def _merge(packed: pa.Table, known: pa.Table) -> pa.Table:
-    """A block's edges between communities, summed."""
+    """A block's edges between communities, summed; of an edge's two directions the one that does not fall."""
     if not packed.num_rows:
         return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
     block_of, of = _unpack(packed, known, OWN)
     own, _, _, first, near, w = (block_of[c] for c in PACKED)
     names, home = _places(of["own"])
-    key = np.repeat(home[own].astype(np.int64), np.diff(first)) * len(names) + home[near]
+    src, dst = np.repeat(home[own].astype(np.int64), np.diff(first)), home[near]
+    rises = src <= dst
+    key, w = src[rises] * len(names) + dst[rises], w[rises] if len(w) else w
+    del src, dst, rises
     if len(w):
         order = np.argsort(key)
         key, w = key[order], w[order]
@@ -226,7 +235,7 @@ def _level(ways: DataFrame, total: float, resolution: float) -> Level:
     plain, w = F.col("src") != F.col("dst"), F.col("w") if "w" in ways.columns else F.lit(1.0)
     per = ways.groupBy(F.col("src").alias("id")).agg(F.sum(w).alias("volume"), F.sum(F.when(plain, 0.0).otherwise(w)).alias("loop"), F.count_if(plain).alias("degree"))
     nodes = cut(per)
-    row = nodes.agg(F.sum("degree").alias("edges"), F.coalesce(F.max("degree"), F.lit(0)).alias("most")).head()
+    row = nodes.agg(F.sum("degree").alias("edges"), F.coalesce(F.max("degree"), F.lit(0)).alias("most"), F.sum("loop").alias("loops")).head()
     edges, hubs = ways, None
     if row["most"] > BLOCK:
         large = nodes.where(F.col("degree") > BLOCK).select(F.col("id").alias("src"))  # fewer than there are blocks
@@ -236,7 +245,7 @@ def _level(ways: DataFrame, total: float, resolution: float) -> Level:
     dealt = edges.select("src", "dst", *(["w"] if "w" in ways.columns else [])).repartition(blocks, "src")
     packed = cut(dealt.mapInArrow(_pack, ", ".join(["block int", "ids binary", *(f"{c} binary" for c in PACKED)])))
     touched = cut(packed.select("block", "ids").mapInArrow(_touched(bits), "part bigint, block int, at binary"))
-    return Level(nodes, packed, touched, hubs, blocks, bits, total, resolution)
+    return Level(nodes, packed, touched, hubs, blocks, bits, row["loops"], total, resolution)
 
 
 def _in_blocks(level: Level, rows: DataFrame, types: dict[str, type], work, schema: str) -> DataFrame:
@@ -260,25 +269,25 @@ def _hub_moves(level: Level, sized: DataFrame) -> DataFrame:
     per = seen.groupBy(F.col("src").alias("id"), "own", "coin", "volume", "own_volume").agg(F.coalesce(F.sum(F.when(stay, F.col("w"))), F.lit(0.0)).alias("inner"), best)
     here = F.col("inner") - scale * F.col("volume") * (F.col("own_volume") - F.col("volume"))
     go = (F.col("best.value") - here > 1e-9 * level.total) & (F.col("coin") < F.col("best.near_coin"))
-    return per.select("id", F.when(go, -F.col("best.least")).otherwise(F.col("own")).alias("own"), "inner")
+    return per.select("id", F.when(go, -F.col("best.least")).otherwise(F.col("own")).alias("own"), F.col("own").alias("was"), "volume", "own_volume", "inner")
 
 
 def _round(level: Level, homes: DataFrame, turn: int, share: float) -> tuple[DataFrame, float, int]:
     """The homes (id, own, ...) after a round, the modularity of those before it, and how many nodes moved."""
-    homes = homes.select("id", "own", "volume", "loop")
+    homes = homes.select("id", "own", "volume")
     sizes = homes.groupBy("own").agg(F.sum("volume").alias("own_volume"), F.count("*").alias("members"))
-    sized = homes.join(sizes, "own").select("id", "own", "volume", "loop", "own_volume", "members")
+    sized = homes.join(sizes, "own").select("id", "own", "volume", "own_volume", "members")
     alone = level.blocks == 1 and level.hubs is None
     dealt = np.random.default_rng(turn // 2).permutation(level.blocks).tolist()
     half = level.blocks // 2
     still = set() if level.blocks == 1 else set(dealt[:half] if turn % 2 else dealt[half:])
     move = _move(level.resolution / level.total, 1e-9 * level.total, alone, share, turn, still)
-    moves = _in_blocks(level, sized, STATE, move, "id bigint, own bigint, inner double")
+    moves = _in_blocks(level, sized, STATE, move, "id bigint, own bigint, was bigint, volume double, own_volume double, inner double")
     if level.hubs is not None:
         moves = moves.unionByName(_hub_moves(level, sized.withColumn("coin", F.xxhash64("own", F.lit(turn)))))
-    kept = sized.withColumnRenamed("own", "was").join(moves, "id", "left")
-    after = cut(kept.select("id", F.coalesce("own", "was").alias("own"), "was", "volume", "loop", "own_volume", F.coalesce("inner", F.lit(0.0)).alias("inner")))
-    inside = F.sum(F.col("inner") + F.col("loop")) / level.total
+    lone = level.nodes.where("degree = 0")  # in no block, and nobody's neighbours
+    after = cut(moves.unionByName(lone.select("id", F.col("id").alias("own"), F.col("id").alias("was"), "volume", F.col("volume").alias("own_volume"), F.lit(0.0).alias("inner"))))
+    inside = (F.sum("inner") + level.loops) / level.total
     spread = F.sum(F.col("volume") * F.col("own_volume")) * level.resolution / level.total**2
     row = after.agg((inside - spread).alias("q"), F.count_if(F.col("own") != F.col("was")).alias("n")).head()
     return after, row["q"], row["n"]
@@ -313,11 +322,22 @@ def _settle(level: Level) -> tuple[DataFrame, bool]:
 def _contracted(level: Level, homes: DataFrame) -> DataFrame:
     """Edges between the communities, with what lies inside as loops."""
     own = homes.select("id", "own")
-    parts = _in_blocks(level, own, OWN, _merge, "src bigint, dst bigint, w double").unionByName(homes.where("loop <> 0").select(F.col("own").alias("src"), F.col("own").alias("dst"), F.col("loop").alias("w")))
+    loops = level.nodes.where("loop <> 0").join(own, "id").select(F.col("own").alias("src"), F.col("own").alias("dst"), F.col("loop").alias("w"))
+    parts = _in_blocks(level, own, OWN, _merge, "src bigint, dst bigint, w double").unionByName(loops)
     if level.hubs is not None:
         a, b = own.select(F.col("id").alias("src"), F.col("own").alias("a")), own.select(F.col("id").alias("dst"), F.col("own").alias("b"))
-        parts = parts.unionByName(level.hubs.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
-    return cut(parts.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+        parts = parts.unionByName(level.hubs.join(a, "src").join(b, "dst").where("a <= b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
+    once = cut(parts.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    ways = _both(once)
+    ways.cut_path = once.cut_path
+    return ways
+
+
+def _both(once: DataFrame) -> DataFrame:
+    """Both directions of edges (src, dst, ...), and loops once."""
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), *once.columns[2:])
+    ends = F.when(F.col("src") == F.col("dst"), F.array(way("src", "dst"))).otherwise(F.array(way("src", "dst"), way("dst", "src")))
+    return once.select(F.explode(ends).alias("e")).select("e.*")
 
 
 def communities(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0, in_order: bool = False) -> DataFrame:
@@ -329,13 +349,13 @@ def communities(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0,
     """
     if in_order:
         every = cut(nodes.groupBy("id").agg(F.count("*").alias("rows")).select("id", "rows", F.col("id").alias("n")))
-        pairs = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        pairs = edges.where("src <> dst").select("src", "dst")
     else:
         every = cut(numbered(nodes.groupBy("id").agg(F.min("ord").alias("ord"), F.count("*").alias("rows")), "n", "ord", "id"))
         at = every.select("id", "n")
         pairs = edges.where("src <> dst").join(at.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
+        pairs = cut(pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+    ways = _both(pairs)
     total = 2.0 * pairs.count()
     at = every.select("id", "n")
     member = at.select("id", F.col("n").alias("own"))
